@@ -33,3 +33,10 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def smallest(df: DataFrame, key, rows: int) -> DataFrame:
+    """At most ``rows`` rows, those of the smallest key (a hash); only keys are sorted."""
+    keyed = df.withColumn("_key", key)
+    cut_at = keyed.select("_key").orderBy("_key").limit(rows).agg({"_key": "max"}).first()[0]
+    return keyed.where(keyed["_key"] <= cut_at).limit(rows).drop("_key") if cut_at is not None else df.limit(0)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortica.llm._store import smallest
 from cohortica.llm._text import Chunk, chunks
 
 BITS = 15
@@ -137,14 +138,9 @@ def remainder():
 
 def fit(docs: DataFrame, max_rows: int = 2000) -> Model:
     """A model from at most ``max_rows`` labelled rows, never of those held out (those of smallest hash)."""
-    rows = (
-        docs.where("text is not null and lang is not null and doc_id is not null")
-        .where(remainder() != 2)
-        .select("text", "lang", F.xxhash64("doc_id").alias("_k"), "doc_id")
-        .orderBy("_k", "doc_id", "text", "lang")
-        .limit(max_rows)
-        .collect()
-    )
+    learn = docs.where("text is not null and lang is not null and doc_id is not null").where(remainder() != 2)
+    rows = smallest(learn.select("doc_id", "text", "lang"), F.xxhash64("doc_id"), max_rows).collect()
+    rows.sort(key=lambda r: (str(r["doc_id"]), r["text"], r["lang"]))  # an order of its own, whatever the partitions
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortica.llm._store import smallest
 from cohortica.llm._text import IS_WORD, Chunk, chunks
 
 SYMBOLS = b"#*$%&|<>"
@@ -125,7 +126,7 @@ def plan_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: in
     The sample is the rows with the smallest text hashes.  Each rule is timed on
     fresh chunks, so that what rules share is charged to each of them.
     """
-    texts = [r[0] for r in docs.select("text").where("text is not null").orderBy(F.xxhash64("text")).limit(sample_rows).collect()]
+    texts = [r[0] for r in smallest(docs.select("text").where("text is not null"), F.xxhash64("text"), sample_rows).collect()]
     column = pa.array(texts, pa.large_string())
     measured = []
     for rule in rules:
