@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ from cohortica.llm._store import save
 from cohortica.llm._text import BASE, Chunk, U, chunks, mix, powers, utf8
 
 INSTANCE = "name bigint, c1 bigint, c2 bigint, k bigint, ab bigint"
-SPAN = 1024  # ab = a * SPAN + (b - a)
+SPAN = 1024  # ab = (a * SPAN + (b - a)) * SPAN + (place of the anchor - b)
+GROUP = 64  # contexts of a name that are compared as they are
 _BACK = tuple(U(pow(int(b), -1, 2**64)) for b in BASE)
 
 
@@ -37,6 +39,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", text).alias("k"), text.alias("text"))
 
 
+@lru_cache(maxsize=8)
+def _table(base: int, n: int) -> np.ndarray:
+    return powers(U(base), n)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return _table(int(base), 1 << max(1, n).bit_length())[:n] if n < 1 << 21 else powers(base, n)
+
+
 class Hasher:
     """128-bit hashes of any ranges of a sequence of 64-bit units."""
 
@@ -44,20 +55,25 @@ class Hasher:
         n = len(units)
         self.sums, self.back = [], []
         for j in range(2):
-            v = (units if j == 0 else mix(units ^ U(0x5851F42D4C957F2D))) * powers(BASE[j], n)
+            v = (units if j == 0 else mix(units ^ U(0x5851F42D4C957F2D))) * _powers(BASE[j], n)
             self.sums.append(np.concatenate([np.zeros(1, U), np.cumsum(v, dtype=U)]))
-            self.back.append(powers(_BACK[j], n + 1))
+            self.back.append(_powers(_BACK[j], n + 1))
 
     def of(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(mix((s[b] - s[a]) * p[a] + (b - a).astype(U)) for s, p in zip(self.sums, self.back, strict=True))
 
+    def grams(self, k: int) -> np.ndarray:
+        """Hash of each run of k units."""
+        s, n = self.sums[0], len(self.sums[0]) - k
+        return mix((s[k:] - s[:-k]) * self.back[0][:n]) if n > 0 else np.zeros(0, U)
+
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U else x.astype(np.int64), pa.int64())
 
 
 def emit(c: Chunk, keys: np.ndarray, first: np.ndarray, at: np.ndarray, row: np.ndarray, name: np.ndarray, place: np.ndarray, hasher: Hasher, width: int) -> pa.RecordBatch:
-    """Instances of a chunk.  at: window starts, ascending; row, name, place: of each, its row, anchor's name and anchor's place; first: the rows' first units."""
+    """Instances of a chunk.  at: window starts, ascending; row, name, place: of each, its row, anchor's name and the unit where the anchor is; first: the rows' first units."""
     if not len(at):
         z = pa.array([], pa.int64())
         return pa.RecordBatch.from_arrays([z] * 5, names=["name", "c1", "c2", "k", "ab"])
@@ -67,7 +83,7 @@ def emit(c: Chunk, keys: np.ndarray, first: np.ndarray, at: np.ndarray, row: np.
     e = np.append(s[1:], len(at)) - 1
     a, b = at[s], at[e]
     c1, c2 = hasher.of(a, b + width)
-    return pa.RecordBatch.from_arrays([signed(x) for x in (name[s], c1, c2, keys[c.rows[row[s]]], (a - first[row[s]]) * SPAN + (b - a))], names=["name", "c1", "c2", "k", "ab"])
+    return pa.RecordBatch.from_arrays([signed(x) for x in (name[s], c1, c2, keys[c.rows[row[s]]], ((a - first[row[s]]) * SPAN + (b - a)) * SPAN + (place[s] - b))], names=["name", "c1", "c2", "k", "ab"])
 
 
 def twice(rows: DataFrame, *by: str) -> DataFrame:
@@ -75,10 +91,11 @@ def twice(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
 
 
-def repeats(docs: DataFrame, instances: Callable[[Chunk, np.ndarray], pa.RecordBatch], windows: Callable[[Chunk], tuple[np.ndarray, Hasher]], width: int) -> DataFrame:
+def repeats(docs: DataFrame, instances: Callable[[Chunk, np.ndarray], pa.RecordBatch], windows: Callable[[Chunk], tuple[np.ndarray, Hasher]], width: int, small: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """k, spans: of every text with repeats, the ranges [lo, hi) of units in repeated windows (may overlap).
 
     docs: as of ``keyed``.  windows: of a chunk, the rows' first units and the hasher of its units.
+    small: compares the contexts of names with at most ``GROUP`` of them; without it, and for larger names, windows are hashed one by one.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,9 +109,16 @@ def repeats(docs: DataFrame, instances: Callable[[Chunk, np.ndarray], pa.RecordB
     contexts = shared.groupBy("name", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("k"), F.first("ab").alias("ab"))
     contexts = save(contexts, "contexts")
     whole = shared.join(contexts.where("n > 1").select("name", "c1", "c2"), ["name", "c1", "c2"]).select("k", "ab")
-    whole = whole.select("k", F.expr(f"ab div {SPAN}").alias("lo"), F.expr(f"ab div {SPAN} + ab % {SPAN} + {width}").alias("hi"))
+    a, more = f"ab div {SPAN * SPAN}", f"ab div {SPAN} % {SPAN}"
+    spans = whole.select("k", F.expr(a).alias("lo"), F.expr(f"{a} + {more} + {width}").alias("hi"))
 
-    open_ = contexts.join(twice(contexts, "name"), "name").select("k", (F.col("ab") * 2 + (F.col("n") == 1).cast("int")).alias("ab"))
+    # ab, twice over, plus 1 for a context that one instance has
+    sizes = contexts.groupBy("name").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    open_ = contexts.join(sizes, "name").select("name", "m", "k", (F.col("ab") * 2 + (F.col("n") == 1).cast("int")).alias("ab"))
+    if small is not None:
+        few = open_.where(F.col("m") <= GROUP)
+        spans = spans.unionByName(small(docs.join(few.groupBy("k").agg(F.collect_list(F.struct("name", "ab")).alias("open")), "k")))
+        open_ = open_.where(F.col("m") > GROUP)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,6 +130,7 @@ def repeats(docs: DataFrame, instances: Callable[[Chunk, np.ndarray], pa.RecordB
                 p = np.concatenate(packed)
                 row = np.repeat(np.arange(c.n), n)
                 single, ab = p & 1, p >> 1
+                ab = ab // SPAN
                 a, more = ab // SPAN, ab % SPAN + 1
                 at = np.repeat(a - (np.cumsum(more) - more), more) + np.arange(int(more.sum()))
                 row, single = np.repeat(row, more), np.repeat(single, more)
@@ -116,7 +141,7 @@ def repeats(docs: DataFrame, instances: Callable[[Chunk, np.ndarray], pa.RecordB
     tested = save(at_issue.select("k", "abs", "text").mapInArrow(compare, "w1 bigint, w2 bigint, k bigint, at bigint, single bigint"), "windows")
     # rows of equal content repeat each other, so that none of their windows is single
     edges = tested.where("single = 1").join(twice(tested, "w1", "w2"), ["w1", "w2"]).select("k", F.col("at").alias("lo"), (F.col("at") + width).alias("hi"))
-    return whole.unionByName(edges).groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return spans.unionByName(edges).groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def removed(spans: list, n: int) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortica.llm import langid, packing, quality, tokens
+from cohortica.llm import chat, decontaminate, jaccard, langid, lines, packing, quality, recompress, suffixes, tokens
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -15,6 +15,18 @@ def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.dedup_words(_docs(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_copies(_docs(spark, sf_dir), k=3, percent=90)
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_bytes(_docs(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.shards(tokens.training_order(tokens.sequences(_docs(spark, sf_dir), VOCABULARY)))
 
@@ -32,5 +44,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_docs(spark, sf_dir)).drop("rejected_by")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_training_order, op5_best_fit_packing, op8_language_id, op10_quality_rules)}
+def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _docs(spark, sf_dir, "conversations")
+    return chat.preferences(chat.neighbours(turns), turns)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_docs(spark, sf_dir), _docs(spark, sf_dir, "benchmark"))
+
+
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_docs(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+        op1_recompression,
+        op2_ngram_jaccard,
+        op3_suffix_dedup,
+        op4_training_order,
+        op5_best_fit_packing,
+        op6_preference_pairs,
+        op7_decontamination,
+        op8_language_id,
+        op9_fuzzy_lines,
+        op10_quality_rules,
+    )
+}
 ORACLE: dict[str, str] = {}

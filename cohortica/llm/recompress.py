@@ -65,7 +65,7 @@ def _smallest(sym: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def anchors(h: np.ndarray, row: np.ndarray, width: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window starts, and of each the anchor's name and place (a number of its own per symbol).
+    """Window starts, and of each the anchor's name and its first unit.
 
     h: the units' names; row: the rows they belong to, ascending.
     """
@@ -83,8 +83,8 @@ def anchors(h: np.ndarray, row: np.ndarray, width: int, rounds: int = ROUNDS) ->
     def choose(level: int) -> None:
         inv = _inverse(start, n)
         best = _smallest(sym, inv[left], inv[right])
-        name[live] = mix(sym[best] + U(level) * _R)
-        place[live] = start[best] * (rounds + 1) + level
+        name[live] = mix(sym[best] + U(level * int(_R) & (2**64 - 1)))
+        place[live] = start[best]
 
     choose(0)
     for r in range(rounds):
@@ -100,7 +100,7 @@ def anchors(h: np.ndarray, row: np.ndarray, width: int, rounds: int = ROUNDS) ->
             ok = left < right
             live, left, right = live[ok], left[ok], right[ok]
             start, sym, own = _join(start, sym, own, head, lambda a, _, size: mix(a * _A + size.astype(U) * _R + U(1)))
-        opens = (mix(sym + U(r + 1) * _A) & U(1)) == 1
+        opens = (mix(sym + U((r + 1) * int(_A) & (2**64 - 1))) & U(1)) == 1
         tail = np.zeros(len(sym), bool)
         tail[1:] = opens[:-1] & ~opens[1:] & (own[1:] == own[:-1])
         inv = _inverse(start, n)
@@ -111,7 +111,7 @@ def anchors(h: np.ndarray, row: np.ndarray, width: int, rounds: int = ROUNDS) ->
             right = np.where(opens[j], start[j], right)
             ok = left < right
             live, left, right = live[ok], left[ok], right[ok]
-        start, sym, own = _join(start, sym, own, ~tail, lambda a, b, _, r=r: mix(a * _A + mix(b + U(r) * _R) * _B))
+        start, sym, own = _join(start, sym, own, ~tail, lambda a, b, _, r=r: mix(a * _A + mix(b + U(r * int(_R) & (2**64 - 1))) * _B))
         if not len(live):
             break
         choose(r + 1)
