@@ -9,8 +9,9 @@ except near their ends, where a symbol may join with what lies outside.  How
 far in the ends reach follows from the window alone: one symbol a round and
 side at most, and none where the outermost symbol cannot join outwards.
 
-Every window takes as its anchor the smallest name among the symbols of the
-deepest round that lie wholly within what its own words fix.  Equal windows
+Every window takes as its anchor, among the symbols of the deepest round that
+lie wholly within what its own words fix, the ``TOGETHER`` neighbours of
+smallest joint name (all of them where they are fewer).  Equal windows
 have equal anchors, so a Spark count of anchors reveals the long repeats, and
 their contexts and windows verify them (see ``_repeats``).
 """
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame
 from cohortica.llm._repeats import Hasher, emit, keyed, kept, removed, repeats
 from cohortica.llm._text import Chunk, U, mix
 
-ROUNDS = 5
+ROUNDS = 4
+TOGETHER = 3
 RUN_ROUNDS = (0, 2)
 _A, _B, _R = U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 
@@ -82,9 +84,16 @@ def anchors(h: np.ndarray, row: np.ndarray, width: int, rounds: int = ROUNDS) ->
 
     def choose(level: int) -> None:
         inv = _inverse(start, n)
-        best = _smallest(sym, inv[left], inv[right])
-        name[live] = mix(sym[best] + U(level * int(_R) & (2**64 - 1)))
-        place[live] = start[best]
+        lo, hi = inv[left], inv[right]
+        joint = sym
+        for j in range(1, TOGETHER + 1):
+            if j > 1:
+                joint = mix(joint[:-1] * _A + sym[j - 1 :] * _B)
+            own = hi - lo >= j if j == TOGETHER else hi - lo == j
+            if own.any():
+                best = _smallest(joint, lo[own], hi[own] - j + 1)
+                name[live[own]] = mix(joint[best] + U(level * int(_R) + j & (2**64 - 1)))
+                place[live[own]] = start[best]
 
     choose(0)
     for r in range(rounds):
