@@ -92,6 +92,8 @@ def train(texts: list[str], labels: list[str], dims: int = 16, epochs: int = 6,
     below the rejection threshold.
     """
     langs = sorted(set(labels))
+    if not langs:
+        return Model([], np.zeros((0, 2 << BITS), np.float32), np.zeros(0), 1.0, 0.0)
     y = np.array([langs.index(x) for x in labels], int)
     k = len(langs)
     rng = np.random.default_rng(seed)
