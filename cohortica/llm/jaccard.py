@@ -14,8 +14,9 @@ So a link between two members of which one does not link with p needs a shared
 token outside p, and, by the prefix argument once more, one among the first
 tokens of x outside p.  The bucket's token is combined with each of those: the
 frequent class goes from single tokens to combinations of 2, then of 3, and so
-on, until every bucket is of one component.  Buckets of rare tokens end after
-the pivot.  Every link of different components is found; none is dropped.
+on, until every bucket is of one component.  Buckets of rare tokens, of at most ``RARE``
+sets, are compared as they are.  Every link of different components is found;
+none is dropped.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from cohortica.llm._text import Chunk, U, chunks, mix
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+RARE = 12
 _C = U(0x9E3779B97F4A7C15)
 
 
@@ -159,27 +161,30 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, part: float = 0.
     found = save(sets(rows, k, percent, part), "sets")
     nodes = save(found.where("n > 0").groupBy("s").agg(F.first("k").alias("k"), F.min("doc_id").alias("doc")), "nodes")
 
-    members = prefixes(found, percent)
+    members = prefixes(found, percent).withColumn("b", F.xxhash64("b"))
     label: DataFrame | None = None
     links: DataFrame | None = None
     while True:
         # buckets of two components or more
         named = members.withColumn("c", F.col("s")) if label is None else members.join(label.select(F.col("node").alias("s"), "root"), "s", "left").select("b", "s", "n", F.coalesce("root", "s").alias("c"))
         named = save(named, "members")
-        mixed = named.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("b", "least")
+        mixed = named.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("b", "least", "m")
         named = cut(named.join(mixed, "b"))
         if named.isEmpty():
             break
-        pivot = named.where("n = least").groupBy("b").agg(F.min("s").alias("p"))
-        paired = cut(named.join(pivot, "b").where("p <> s").select("b", "p", F.col("s").alias("x"), "n"))
-        pairs = paired.select("p", "x").distinct()
+        rare, often = named.where(F.col("m") <= RARE), named.where(F.col("m") > RARE)
+        pivot = often.where("n = least").groupBy("b").agg(F.min("s").alias("p"))
+        paired = cut(often.join(pivot, "b").where("p <> s").select("b", "p", F.col("s").alias("x"), "n"))
+        one, two = (rare.select("b", F.col("s").alias(v), F.col("n").alias(f"n{v}"), F.col("c").alias(f"c{v}")) for v in "px")
+        alike = one.join(two, "b").where(f"p < x and cp <> cx and 100 * least(np, nx) >= {percent} * greatest(np, nx)")
+        pairs = cut(paired.select("p", "x").unionByName(alike.select("p", "x")).distinct())
         ids = pairs.select(F.col("p").alias("s")).unionByName(pairs.select(F.col("x").alias("s"))).distinct().join(nodes.select("s", "k"), "s")
         texts = rows.select("k", "text").join(ids, "k").groupBy("s").agg(F.first("text").alias("text"))
         said = save(compare(pairs, texts, k, percent), "compared")
         new = said.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
         links = new if links is None else links.unionByName(new)
         label = components(links)
-        members = paired.join(said.select("p", "x", "rest"), ["p", "x"]).select(F.col("b").alias("b0"), F.col("x").alias("s"), "n", F.explode("rest").alias("t")).select(F.xxhash64("b0", "t").alias("b"), "s", "n")
+        members = paired.join(said.select("p", "x", "rest"), ["p", "x"]).select(F.col("b").alias("b0"), F.col("x").alias("s"), "n", F.explode("rest").alias("t")).select(F.col("b0").bitwiseXOR(F.xxhash64("t")).alias("b"), "s", "n").distinct()  # a set of tokens, in whatever order
 
     doc_of = nodes.select("s", "doc")
     if label is not None:
