@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortica.llm._store import save
+from cohortica.llm._store import discard, save
 from cohortica.llm._text import BASE, Chunk, U, chunks, mix, powers, utf8
 
 INSTANCE = "name bigint, c1 bigint, c2 bigint, k bigint, ab bigint"
@@ -106,6 +106,7 @@ def repeats(docs: DataFrame, instances: Callable[[Chunk, np.ndarray], pa.RecordB
 
     found = save(docs.select("k", "text").mapInArrow(parse, INSTANCE), "instances")
     shared = save(found.join(twice(found, "name"), "name"), "shared")
+    discard(found)
     contexts = shared.groupBy("name", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("k"), F.first("ab").alias("ab"))
     contexts = save(contexts, "contexts")
     whole = shared.join(contexts.where("n > 1").select("name", "c1", "c2"), ["name", "c1", "c2"]).select("k", "ab")
