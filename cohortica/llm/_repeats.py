@@ -105,7 +105,9 @@ def repeats(docs: DataFrame, instances: Callable[[Chunk, np.ndarray], pa.RecordB
                 yield instances(c, keys)
 
     found = save(docs.select("k", "text").mapInArrow(parse, INSTANCE), "instances")
-    shared = save(found.join(twice(found, "name"), "name"), "shared")
+    # counts are tables of their own when they are joined back: only then can Spark split a frequent key of the join
+    names = save(twice(found, "name"), "names")
+    shared = save(found.join(names, "name"), "shared")
     discard(found)
     contexts = shared.groupBy("name", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("k"), F.first("ab").alias("ab"))
     contexts = save(contexts, "contexts")
@@ -114,7 +116,7 @@ def repeats(docs: DataFrame, instances: Callable[[Chunk, np.ndarray], pa.RecordB
     spans = whole.select("k", F.expr(a).alias("lo"), F.expr(f"{a} + {more} + {width}").alias("hi"))
 
     # ab, twice over, plus 1 for a context that one instance has
-    sizes = contexts.groupBy("name").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    sizes = save(contexts.groupBy("name").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
     open_ = contexts.join(sizes, "name").select("name", "m", "k", (F.col("ab") * 2 + (F.col("n") == 1).cast("int")).alias("ab"))
     if small is not None:
         few = open_.where(F.col("m") <= GROUP)
@@ -141,7 +143,8 @@ def repeats(docs: DataFrame, instances: Callable[[Chunk, np.ndarray], pa.RecordB
     at_issue = docs.join(open_.groupBy("k").agg(F.collect_list("ab").alias("abs")), "k")
     tested = save(at_issue.select("k", "abs", "text").mapInArrow(compare, "w1 bigint, w2 bigint, k bigint, at bigint, single bigint"), "windows")
     # rows of equal content repeat each other, so that none of their windows is single
-    edges = tested.where("single = 1").join(twice(tested, "w1", "w2"), ["w1", "w2"]).select("k", F.col("at").alias("lo"), (F.col("at") + width).alias("hi"))
+    again = save(twice(tested, "w1", "w2"), "again")
+    edges = tested.where("single = 1").join(again, ["w1", "w2"]).select("k", F.col("at").alias("lo"), (F.col("at") + width).alias("hi"))
     return spans.unionByName(edges).groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 

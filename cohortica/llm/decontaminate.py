@@ -86,6 +86,7 @@ def _windows(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataF
     found = docs.join(hits, "k").groupBy("k").agg(F.first("text").alias("text"), F.first("hits").alias("hits"))
     d = _at(grams(found.select("k", "hits", words(F.col("text")).alias("w")), gram), window, gram).select("k", "h", F.col("i").alias("di"), F.col("lead").alias("dl"), F.col("around").alias("da"))
     b = _at(kept.select("item_id", "w", "g", F.col("f").alias("hits")), window, gram).select("item_id", "h", F.col("lead").alias("bl"), F.col("around").alias("ba")).distinct()
+    b = cut(b)
     reach = window - gram
     same = F.filter(
         F.sequence(F.lit(0), F.lit(reach)),

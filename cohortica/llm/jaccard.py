@@ -107,7 +107,7 @@ def prefixes(found: DataFrame, percent: int) -> DataFrame:
     """b (bucket), s, n: the prefix tokens that more than one row has."""
     some = found.where("n > 0")
     tokens = some.select("s", "n", F.explode("first").alias("t"))
-    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    often = save(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "tokens")  # a table, so that a frequent token's join can be split
     seen = tokens.join(often, "t").groupBy("s", "t").agg(F.first("n").alias("n"), F.first("df").alias("df"))
     size = some.groupBy("s").agg(F.first(F.size("first")).alias("m"))
     need_ = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
@@ -169,11 +169,12 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, part: float = 0.
         named = members.withColumn("c", F.col("s")) if label is None else members.join(label.select(F.col("node").alias("s"), "root"), "s", "left").select("b", "s", "n", F.coalesce("root", "s").alias("c"))
         named = save(named, "members")
         mixed = named.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("b", "least", "m")
+        mixed = cut(mixed)
         named = cut(named.join(mixed, "b"))
         if named.isEmpty():
             break
         rare, often = named.where(F.col("m") <= RARE), named.where(F.col("m") > RARE)
-        pivot = often.where("n = least").groupBy("b").agg(F.min("s").alias("p"))
+        pivot = cut(often.where("n = least").groupBy("b").agg(F.min("s").alias("p")))
         paired = cut(often.join(pivot, "b").where("p <> s").select("b", "p", F.col("s").alias("x"), "n"))
         one, two = (rare.select("b", F.col("s").alias(v), F.col("n").alias(f"n{v}"), F.col("c").alias(f"c{v}")) for v in "px")
         alike = one.join(two, "b").where(f"p < x and cp <> cx and 100 * least(np, nx) >= {percent} * greatest(np, nx)")
