@@ -100,7 +100,11 @@ def t_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
-def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
-    p = t_tail(t.to_numpy(float, na_value=np.nan), df.to_numpy(float, na_value=np.nan))
-    return pd.Series(p).where(~np.isnan(p), None)
+def t_pvalue(t: Column | str, df: Column | str) -> Column:
+    """Two-sided p, a batch at a time."""
+
+    def run(t: pd.Series, df: pd.Series) -> pd.Series:
+        p = t_tail(t.to_numpy(float, na_value=np.nan), df.to_numpy(float, na_value=np.nan))
+        return pd.Series(p).where(~np.isnan(p), None)
+
+    return F.pandas_udf(run, "double")(t, df)
