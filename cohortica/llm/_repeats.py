@@ -7,7 +7,8 @@ equal names.  So only instances of names that occur twice can hold repeats:
 
 * instances with an equal name and equal contexts: all their windows repeat;
 * names with several different contexts: one instance of each context stands
-  for it, and its windows are compared one by one, by 128-bit hashes.
+  for it; its windows are compared in cells, by all that a cell's windows have
+  in common, and in the end one by one, by 128-bit hashes.
 
 Copies never form pairs: each step counts keys with map-side combining and
 joins the counts back, so a group of any size costs its rows and no more.
@@ -91,11 +92,12 @@ def twice(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
 
 
-def repeats(docs: DataFrame, instances: Callable[[Chunk, np.ndarray], pa.RecordBatch], windows: Callable[[Chunk], tuple[np.ndarray, Hasher]], width: int, small: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def repeats(docs: DataFrame, instances: Callable[[Chunk, np.ndarray], pa.RecordBatch], windows: Callable[[Chunk], tuple[np.ndarray, Hasher]], width: int, cell: int, small: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """k, spans: of every text with repeats, the ranges [lo, hi) of units in repeated windows (may overlap).
 
     docs: as of ``keyed``.  windows: of a chunk, the rows' first units and the hasher of its units.
-    small: compares the contexts of names with at most ``GROUP`` of them; without it, and for larger names, windows are hashed one by one.
+    small: compares the contexts of names with at most ``GROUP`` of them.  All others are cut into cells of ``cell`` windows with
+    names of their own, and only windows of cells that still have several contexts are hashed one by one.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,48 +106,85 @@ def repeats(docs: DataFrame, instances: Callable[[Chunk, np.ndarray], pa.RecordB
             for c in chunks(b.column("text")):
                 yield instances(c, keys)
 
-    found = save(docs.select("k", "text").mapInArrow(parse, INSTANCE), "instances")
-    # counts are tables of their own when they are joined back: only then can Spark split a frequent key of the join
-    names = save(twice(found, "name"), "names")
-    shared = save(found.join(names, "name"), "shared")
-    discard(found)
-    contexts = shared.groupBy("name", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("k"), F.first("ab").alias("ab"))
-    contexts = save(contexts, "contexts")
-    whole = shared.join(contexts.where("n > 1").select("name", "c1", "c2"), ["name", "c1", "c2"]).select("k", "ab")
+    made = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(save(df, name))
+        return made[-1]
+
     a, more = f"ab div {SPAN * SPAN}", f"ab div {SPAN} % {SPAN}"
-    spans = whole.select("k", F.expr(a).alias("lo"), F.expr(f"{a} + {more} + {width}").alias("hi"))
 
-    # ab, twice over, plus 1 for a context that one instance has
-    sizes = save(contexts.groupBy("name").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
-    open_ = contexts.join(sizes, "name").select("name", "m", "k", (F.col("ab") * 2 + (F.col("n") == 1).cast("int")).alias("ab"))
+    def level(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Spans of the instances whose contexts recur; one instance of each context of the names with several."""
+        # counts are tables of their own when they are joined back: only then can Spark split a frequent key of the join
+        names = keep(twice(found, "name"), "names")
+        shared = keep(found.join(names, "name"), "shared")
+        discard(found)
+        contexts = keep(shared.groupBy("name", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("single"), F.first("k").alias("k"), F.first("ab").alias("ab")), "contexts")
+        whole = shared.where("single = 1").join(contexts.where("n > 1").select("name", "c1", "c2"), ["name", "c1", "c2"])
+        sizes = keep(contexts.groupBy("name").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "sizes")
+        # ab, twice over, plus 1 for a context that one instance has
+        alone = (F.when(F.col("n") == 1, F.col("single")).otherwise(0)).cast("int")
+        return whole.select("k", F.expr(a).alias("lo"), F.expr(f"{a} + {more} + {width}").alias("hi")), contexts.join(sizes, "name").select("name", "m", "k", (F.col("ab") * 2 + alone).alias("ab"))
+
+    spans, open_ = level(save(docs.select("k", "text").mapInArrow(parse, INSTANCE).withColumn("single", F.lit(1)), "instances"))
     if small is not None:
         few = open_.where(F.col("m") <= GROUP)
         spans = spans.unionByName(small(docs.join(few.groupBy("k").agg(F.collect_list(F.struct("name", "ab")).alias("open")), "k")))
         open_ = open_.where(F.col("m") > GROUP)
 
+    def opened(b: pa.RecordBatch) -> Iterator[tuple]:
+        """Of each chunk: hasher, rows' first units, and of each open instance its row, single, a, b and anchor."""
+        lists = b.column("abs")
+        for c in chunks(b.column("text")):
+            first, hasher = windows(c)
+            packed = [np.array(lists[int(i)].as_py(), np.int64) for i in c.rows]
+            p = np.concatenate(packed)
+            row = np.repeat(np.arange(c.n), [len(x) for x in packed])
+            ab = p >> 1
+            lo = ab // (SPAN * SPAN)
+            hi = lo + ab // SPAN % SPAN
+            yield c, hasher, first[row], row, p & 1, lo, hi, hi + ab % SPAN
+
+    def spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Instances cut at multiples of ``cell`` units before the anchor, and named by all that the windows of a cell have in common."""
+        for b in batches:
+            keys = b.column("k").to_numpy(zero_copy_only=False)
+            for c, hasher, first, row, single, lo, hi, anchor in opened(b):
+                near, far = (anchor - hi) // cell, (anchor - lo) // cell
+                n = far - near + 1
+                at = spread(near, n)
+                first, row, single, lo, hi, anchor = (np.repeat(x, n) for x in (first, row, single, lo, hi, anchor))
+                x, y = np.maximum(lo, anchor - at * cell - cell + 1), np.minimum(hi, anchor - at * cell)
+                g1, _ = hasher.of(first + anchor - at * cell, first + anchor - at * cell - cell + 1 + width)
+                c1, c2 = hasher.of(first + x, first + y + width)
+                yield pa.RecordBatch.from_arrays([signed(mix(g1 + at.astype(U))), signed(c1), signed(c2), signed(keys[c.rows[row]]), signed((x * SPAN + (y - x)) * SPAN + (anchor - y)), pa.array(single.astype(np.int32))], names=["name", "c1", "c2", "k", "ab", "single"])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, lists = b.column("k").to_numpy(zero_copy_only=False), b.column("abs")
-            for c in chunks(b.column("text")):
-                first, hasher = windows(c)
-                packed = [np.array(lists[int(i)].as_py(), np.int64) for i in c.rows]
-                n = np.array([len(p) for p in packed])
-                p = np.concatenate(packed)
-                row = np.repeat(np.arange(c.n), n)
-                single, ab = p & 1, p >> 1
-                ab = ab // SPAN
-                a, more = ab // SPAN, ab % SPAN + 1
-                at = np.repeat(a - (np.cumsum(more) - more), more) + np.arange(int(more.sum()))
-                row, single = np.repeat(row, more), np.repeat(single, more)
-                w1, w2 = hasher.of(first[row] + at, first[row] + at + width)
-                yield pa.RecordBatch.from_arrays([signed(w1), signed(w2), signed(keys[c.rows[row]]), signed(at), signed(single)], names=["w1", "w2", "k", "at", "single"])
-
-    at_issue = docs.join(open_.groupBy("k").agg(F.collect_list("ab").alias("abs")), "k")
-    tested = save(at_issue.select("k", "abs", "text").mapInArrow(compare, "w1 bigint, w2 bigint, k bigint, at bigint, single bigint"), "windows")
+            keys = b.column("k").to_numpy(zero_copy_only=False)
+            for c, hasher, first, row, single, lo, hi, _ in opened(b):
+                n = hi - lo + 1
+                at = spread(lo, n)
+                first, row, single = (np.repeat(x, n) for x in (first, row, single))
+                w1, w2 = hasher.of(first + at, first + at + width)
+                yield pa.RecordBatch.from_arrays([signed(w1), signed(w2), signed(keys[c.rows[row]]), signed(at * 2 + single)], names=["w1", "w2", "k", "at"])
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        return docs.join(rows.groupBy("k").agg(F.collect_list("ab").alias("abs")), "k").select("k", "abs", "text")
+
+    more_spans, open_ = level(save(with_text(open_).mapInArrow(refine, INSTANCE + ", single int"), "cells"))
     # rows of equal content repeat each other, so that none of their windows is single
-    again = save(twice(tested, "w1", "w2"), "again")
-    edges = tested.where("single = 1").join(again, ["w1", "w2"]).select("k", F.col("at").alias("lo"), (F.col("at") + width).alias("hi"))
-    return spans.unionByName(edges).groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    tested = keep(with_text(open_).mapInArrow(compare, "w1 bigint, w2 bigint, k bigint, at bigint"), "windows")
+    again = keep(twice(tested, "w1", "w2"), "again")
+    edges = tested.where("at % 2 = 1").join(again, ["w1", "w2"]).select("k", F.expr("at div 2").alias("lo"), F.expr(f"at div 2 + {width}").alias("hi"))
+    out = save(spans.unionByName(more_spans).unionByName(edges).groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    for used in made:
+        discard(used)
+    return out
 
 
 def removed(spans: list, n: int) -> np.ndarray:

@@ -147,7 +147,7 @@ def dedup_words(docs: DataFrame, width: int = 35) -> DataFrame:
     ``docs`` are ignored.
     """
     rows = keyed(docs)
-    found = repeats(rows, instances(width), lambda c: (c.word_offs[:-1], Hasher(c.word_hash)), width)
+    found = repeats(rows, instances(width), lambda c: (c.word_offs[:-1], Hasher(c.word_hash)), width, 8)
 
     def cut(data: np.ndarray, spans: list) -> tuple:
         c = Chunk(data, np.array([0, len(data)]), np.zeros(1, np.int64))

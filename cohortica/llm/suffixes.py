@@ -141,7 +141,7 @@ def dedup_bytes(docs: DataFrame, width: int = 400) -> DataFrame:
     kept (the bytes that stay); other columns of ``docs`` are ignored.
     """
     rows = keyed(docs)
-    found = repeats(rows, instances(width), lambda c: (c.offs[:-1], Hasher(BYTE[c.data])), width, small_groups(width))
+    found = repeats(rows, instances(width), lambda c: (c.offs[:-1], Hasher(BYTE[c.data])), width, 16, small_groups(width))
 
     def cut(data: np.ndarray, spans: list) -> tuple:
         out = removed(spans, len(data))
