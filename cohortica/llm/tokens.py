@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,20 +133,20 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = 512) -> DataFrame:
 
         part, made = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids_, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            ids_, texts = b.column("doc_id"), b.column("text").to_pylist()
             for a in range(0, b.num_rows, 256):
                 stream, offs = encoder(vocabulary).batch(texts[a : a + 256])
-                rows: tuple[list, list, list, list] = ([], [], [], [])
-                for i, (lo, hi) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
-                    for k in range(lo, hi, length):
-                        piece = stream[k : min(hi, k + length)]
-                        rows[0].append(ids_[a + i])
-                        rows[1].append((k - lo) // length)
-                        rows[2].append(len(piece))
-                        rows[3].append(np.pad(piece, (0, length - len(piece)), constant_values=END).astype("<u2").tobytes())
-                n = len(rows[0])
+                lens = np.diff(offs)
+                many = -(-lens // length)
+                first = np.cumsum(many) - many
+                n = int(many.sum())
+                out = np.full(n * length, END, "<u2")
+                out[np.arange(len(stream)) + np.repeat(first * length - offs[:-1], lens)] = stream
+                doc = np.repeat(np.arange(len(lens)), many)
+                chunk = np.arange(n) - first[doc]
+                records = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * 2 * length, 2 * length, dtype=np.int32)), pa.py_buffer(out)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int32()), pa.array(range(made, made + n), pa.int64()), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.binary())],
+                    [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(made, made + n)), ids_.take(pa.array(a + doc)), pa.array(chunk), pa.array(np.minimum(lens[doc] - chunk * length, length)), records],
                     names=["part", "at", "doc_id", "chunk", "n_tokens", "tokens"],
                 )
                 made += n
@@ -165,19 +166,18 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = 512) -> DataFrame:
 def training_order(numbered: DataFrame, key: int = 20240229) -> DataFrame:
     """Adds the global slot of every numbered sequence."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seq = b.column("seq").to_numpy(zero_copy_only=False)
-            slot = feistel(seq, b.column("total")[0].as_py(), key) if len(seq) else seq
-            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), *(b.column(x) for x in ("seq", "doc_id", "chunk", "n_tokens", "tokens"))], names=["slot", "seq", "doc_id", "chunk", "n_tokens", "tokens"])
+    @F.pandas_udf("bigint")
+    def slot(seq: pd.Series, total: pd.Series) -> pd.Series:
+        return pd.Series(feistel(seq.to_numpy(), int(total.iloc[0]), key) if len(seq) else seq)
 
-    return numbered.mapInArrow(run, "slot bigint, seq bigint, doc_id bigint, chunk bigint, n_tokens bigint, tokens binary")
+    return numbered.select(slot("seq", "total").alias("slot"), "seq", "total", "doc_id", "chunk", "n_tokens", "tokens")  # only the numbers go to Python
 
 
 def shards(ordered: DataFrame, length: int = 512, per_shard: int = 1024) -> DataFrame:
     """One row per shard of ``per_shard`` slots: its records end to end, with stride 2 * length, and what they are.
 
-    The range is on the shard of a slot, so that no shard spans two tasks.
+    Slots are a permutation of 0 .. total - 1, so the ranges of shards are known
+    and even without a sample; no shard spans two tasks.
     """
     spark = ordered.sparkSession
     stride = 2 * length
@@ -210,8 +210,8 @@ def shards(ordered: DataFrame, length: int = 512, per_shard: int = 1024) -> Data
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
-        ordered.select(F.expr(f"slot div {per_shard}").alias("shard"), "slot", "doc_id", "chunk", "n_tokens", "tokens")
-        .repartitionByRange(n, "shard")
+        ordered.select(F.expr(f"slot div {per_shard}").alias("shard"), "slot", "doc_id", "chunk", "n_tokens", "tokens", F.expr(f"cast(slot div {per_shard} * {n} div ((total - 1) div {per_shard} + 1) as int)").alias("_range"))
+        .repartitionById(n, "_range")
         .sortWithinPartitions("shard", "slot")
         .mapInArrow(run, "shard bigint, first_slot bigint, n_slots bigint, stride bigint, doc_ids array<bigint>, chunks array<bigint>, n_tokens array<bigint>, payload binary")
     )
