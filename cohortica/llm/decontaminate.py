@@ -24,70 +24,65 @@ def words(text):
     return F.filter(F.split(F.translate(text, _UP, _LOW), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def _pairs(column: str, step: int, op):
-    """op(x[i], x[i + step]) for every i."""
-    c = F.col(column)
-    n = F.greatest(F.size(c) - step, F.lit(0))
-    return F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(step + 1), n), op)
-
-
-def grams(rows: DataFrame, size: int) -> DataFrame:
-    """Adds g, the hashes of all runs of ``size`` words (column w), by doubling."""
-    rows = rows.withColumn("g", F.transform("w", lambda x: F.xxhash64(x)))
-    have = 1
-    while have < size:
-        step = min(have, size - have)
-        rows = rows.withColumn("g", _pairs("g", step, lambda a, b: F.xxhash64(a, b)))
-        have += step
-    return rows
-
-
-def winnow(rows: DataFrame, width: int) -> DataFrame:
-    """Adds f, the distinct hashes that are least in some window of ``width`` of g."""
-    rows, have = rows.withColumn("f", F.col("g")), 1
-    while have < width:
-        step = min(have, width - have)
-        rows = rows.withColumn("f", _pairs("f", step, lambda a, b: F.least(a, b)))
-        have += step
-    return rows.withColumn("f", F.array_distinct("f"))
-
-
-def _at(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """Adds x: structs of a kept hash's place i, its hash h, and the words ``around`` it with the number ``lead`` of words before it."""
+def let(value, f):
+    """f(value) with the value worked out once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _doubled(x, size: int, op):
+    """op over every run of ``size`` neighbours of x, by doubling."""
+
+    def step(x, have: int):
+        if have >= size:
+            return x
+        by = min(have, size - have)
+        n = F.greatest(F.size(x) - by, F.lit(0))
+        return let(F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(by + 1), n), op), lambda y: step(y, have + by))
+
+    return step(x, 1)
+
+
+def grams(w, size: int):
+    """Hashes of all runs of ``size`` words."""
+    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _doubled(h, size, lambda a, b: F.xxhash64(a, b)))
+
+
+def winnowed(g, width: int):
+    """The distinct hashes that are least in some window of ``width`` of g."""
+    return F.array_distinct(_doubled(g, width, lambda a, b: F.least(a, b)))
+
+
+def _around(w, gram: int, window: int, sought):
+    """Of each run of ``gram`` words with a hash in ``sought``: h, its place i, and the words ``around`` it, ``lead`` of them before it."""
     reach = window - gram
-    return rows.withColumn(
-        "x",
-        F.filter(
-            F.transform("g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))),
-            lambda x: F.array_contains("hits", x["h"]),
-        ),
-    ).select(
-        *[c for c in rows.columns if c not in ("w", "g", "hits")],
-        F.explode(
-            F.transform(
-                "x",
-                lambda x: F.struct(
-                    x["h"].alias("h"),
-                    x["i"].alias("i"),
-                    F.least(x["i"], F.lit(reach)).alias("lead"),
-                    F.slice("w", F.greatest(x["i"] - reach, F.lit(0)) + 1, F.least(x["i"], F.lit(reach)) + gram + reach).alias("around"),
-                ),
-            )
-        ).alias("x"),
-    ).select("*", "x.*").drop("x")
+
+    def of(g):
+        hits = F.filter(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: F.array_contains(sought, x["h"]))
+        return F.transform(
+            hits,
+            lambda x: F.struct(
+                x["h"].alias("h"),
+                x["i"].alias("i"),
+                F.least(x["i"], F.lit(reach)).alias("lead"),
+                F.slice(w, F.greatest(x["i"] - reach, F.lit(0)) + 1, F.least(x["i"], F.lit(reach)) + gram + reach).alias("around"),
+            ),
+        )
+
+    return let(grams(w, gram), of)
 
 
 def _windows(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
     """k, item_id, at, size: the windows of items that occur in documents.  docs: k, text; items: item_id, w."""
-    kept = cut(winnow(grams(items, gram), window - gram + 1).select("item_id", "w", "g", "f"))
-    sought = kept.select(F.explode("f").alias("h")).distinct()
-    marked = winnow(grams(docs.select("k", words(F.col("text")).alias("w")), gram), window - gram + 1).select("k", F.explode("f").alias("h"))
+    reach = window - gram
+    kept = cut(items.withColumn("f", let(F.col("w"), lambda w: let(grams(w, gram), lambda g: winnowed(g, reach + 1)))))
+    sought = cut(kept.select(F.explode("f").alias("h")).distinct())
+    marked = docs.select("k", F.explode_outer(let(words(F.col("text")), lambda w: let(grams(w, gram), lambda g: winnowed(g, reach + 1)))).alias("h"))
     hits = cut(marked.join(sought, "h").groupBy("k").agg(F.collect_set("h").alias("hits")))  # at most the benchmark's hashes
     found = docs.join(hits, "k").groupBy("k").agg(F.first("text").alias("text"), F.first("hits").alias("hits"))
-    d = _at(grams(found.select("k", "hits", words(F.col("text")).alias("w")), gram), window, gram).select("k", "h", F.col("i").alias("di"), F.col("lead").alias("dl"), F.col("around").alias("da"))
-    b = _at(kept.select("item_id", "w", "g", F.col("f").alias("hits")), window, gram).select("item_id", "h", F.col("lead").alias("bl"), F.col("around").alias("ba")).distinct()
-    b = cut(b)
-    reach = window - gram
+    d = found.select("k", F.explode(let(words(F.col("text")), lambda w: _around(w, gram, window, F.col("hits")))).alias("x"))
+    d = d.select("k", F.col("x.h").alias("h"), F.col("x.i").alias("di"), F.col("x.lead").alias("dl"), F.col("x.around").alias("da"))
+    b = kept.select("item_id", F.explode(_around(F.col("w"), gram, window, F.col("f"))).alias("x"))
+    b = cut(b.select("item_id", F.col("x.h").alias("h"), F.col("x.lead").alias("bl"), F.col("x.around").alias("ba")).distinct())
     same = F.filter(
         F.sequence(F.lit(0), F.lit(reach)),
         lambda o: (o <= F.col("dl")) & (o <= F.col("bl")) & (F.size(F.slice("da", F.col("dl") - o + 1, window)) == window) & (F.slice("da", F.col("dl") - o + 1, window) == F.slice("ba", F.col("bl") - o + 1, window)),
@@ -95,6 +90,22 @@ def _windows(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataF
     return d.join(b, "h").select("k", "item_id", "di", F.explode(same).alias("o")).select("k", "item_id", (F.col("di") - F.col("o")).alias("at"), F.lit(window).alias("size"))
 
 
+def occurrences(rows: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """k, item_id, at, size: all windows of items in keyed rows; None when no item has a word."""
+    items = cut(benchmark.select("item_id", words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w")).where("size(w) > 0").dropDuplicates())
+    sizes = {min(r[0], WINDOW) for r in items.select(F.least(F.size("w"), F.lit(WINDOW))).distinct().collect()}  # at most ten numbers
+    parts = []
+    for size in sorted(sizes):
+        of = items.where(F.size("w") >= WINDOW) if size == WINDOW else items.where(F.size("w") == size)
+        parts.append(_windows(rows.select("k", "text"), of, size, min(size, GRAM)))
+    if not parts:
+        return None
+    spans = parts[0]
+    for p in parts[1:]:
+        spans = spans.unionByName(p)
+    return cut(spans.distinct())
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every document with what it holds of the benchmark.
 
@@ -105,20 +116,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words; an item without an item_id counts for n_hit alone.
     """
     rows = keyed(docs)
-    items = cut(benchmark.select("item_id", words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w")).where("size(w) > 0").dropDuplicates())
-    sizes = {min(r[0], WINDOW) for r in items.select(F.least(F.size("w"), F.lit(WINDOW))).distinct().collect()}  # at most ten numbers
-    parts = []
-    for size in sorted(sizes):
-        of = items.where(F.size("w") >= WINDOW) if size == WINDOW else items.where(F.size("w") == size)
-        parts.append(_windows(rows.select("k", "text"), of, size, min(size, GRAM)))
+    spans = occurrences(rows, benchmark)
     counted = rows.select("doc_id", "k", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     empty = F.sha2(F.lit(""), 256)
-    if not parts:
+    if spans is None:
         return counted.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), empty.alias("items_sha256"), F.lit(False).alias("contaminated"))
-    spans = parts[0]
-    for p in parts[1:]:
-        spans = spans.unionByName(p)
-    spans = cut(spans.distinct())
     covered = spans.select("k", "at", "size").distinct().select("k", F.explode(F.expr("sequence(at, at + size - 1)")).alias("p")).distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n_hit"))
     named = spans.select("k", "item_id").distinct().groupBy("k").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
     return (
@@ -132,3 +134,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.col("n_hit").isNotNull().alias("contaminated"),
         )
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no window of the benchmark, as they are; null texts stay."""
+    rows = docs.withColumn("_k", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    spans = occurrences(keyed(docs), benchmark)
+    if spans is None:
+        return docs
+    return rows.join(spans.select(F.col("k").alias("_k")).distinct(), "_k", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

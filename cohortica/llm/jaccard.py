@@ -146,20 +146,10 @@ def compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return rows.select("p", "x", "pt", "xt").mapInArrow(run, "p bigint, x bigint, linked boolean, rest array<bigint>")
 
 
-def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, part: float = 0.15) -> DataFrame:
-    """Every document with n_shingles and component_id, the smallest doc_id reachable by links.
-
-    Two documents link when their sets of k-word shingles (A-Z in lower case,
-    words between ASCII white space) have a similarity of percent / 100; equal
-    sets are one node.  A text with fewer than k words is one shingle.  A text
-    without words, or null, links with nothing and is its own component.
-    ``part``: share of the hash range whose tokens are counted to order them.
-    Rows that share a doc_id are nodes of their own; a null doc_id never names
-    a component of others.  Sets are named by 64-bit hashes.
-    """
-    rows = keyed(docs)
+def _groups(rows: DataFrame, k: int, percent: int, part: float) -> tuple[DataFrame, DataFrame]:
+    """Of keyed rows: doc_id, k, n, s of each, and s, root of each set with words."""
     found = save(sets(rows, k, percent, part), "sets")
-    nodes = save(found.where("n > 0").groupBy("s").agg(F.first("k").alias("k"), F.min("doc_id").alias("doc")), "nodes")
+    nodes = save(found.where("n > 0").groupBy("s").agg(F.first("k").alias("k")), "nodes")
 
     members = prefixes(found, percent).withColumn("b", F.xxhash64("b"))
     label: DataFrame | None = None
@@ -187,9 +177,37 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, part: float = 0.
         label = components(links)
         members = paired.join(said.select("p", "x", "rest"), ["p", "x"]).select(F.col("b").alias("b0"), F.col("x").alias("s"), "n", F.explode("rest").alias("t")).select(F.col("b0").bitwiseXOR(F.xxhash64("t")).alias("b"), "s", "n").distinct()  # a set of tokens, in whatever order
 
-    doc_of = nodes.select("s", "doc")
-    if label is not None:
-        rooted = doc_of.join(label.select(F.col("node").alias("s"), "root"), "s", "left").select("s", "doc", F.coalesce("root", "s").alias("root"))
-        least = rooted.groupBy("root").agg(F.min("doc").alias("doc"))
-        doc_of = rooted.drop("doc").join(least, "root").select("s", "doc")
-    return found.select("doc_id", "n", "s").join(doc_of, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("doc", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    if label is None:
+        return found, nodes.select("s", F.col("s").alias("root"))
+    return found, nodes.select("s").join(label.select(F.col("node").alias("s"), "root"), "s", "left").select("s", F.coalesce("root", "s").alias("root"))
+
+
+def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, part: float = 0.15) -> DataFrame:
+    """Every document with n_shingles and component_id, the smallest doc_id reachable by links.
+
+    Two documents link when their sets of k-word shingles (A-Z in lower case,
+    words between ASCII white space) have a similarity of percent / 100; equal
+    sets are one node.  A text with fewer than k words is one shingle.  A text
+    without words, or null, links with nothing and is its own component.
+    ``part``: share of the hash range whose tokens are counted to order them.
+    Rows that share a doc_id are nodes of their own; a null doc_id never names
+    a component of others.  Sets are named by 64-bit hashes.
+    """
+    found, groups = _groups(keyed(docs), k, percent, part)
+    rooted = found.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("doc")).join(groups, "s")
+    least = cut(rooted.groupBy("root").agg(F.min("doc").alias("least")))
+    doc_of = rooted.join(least, "root").select("s", "least")
+    return found.select("doc_id", "n", "s").join(doc_of, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80, part: float = 0.15) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one of smallest (doc_id, text hash).
+
+    Rows of equal content count as one; texts without words are in no group and stay.
+    """
+    found, groups = _groups(keyed(docs), k, percent, part)
+    rooted = found.where("n > 0").select("doc_id", "k", "s").join(groups, "s")
+    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "k")).alias("f")).select("f.k").unionByName(found.where("n = 0").select("k").distinct())
+    rows = docs.withColumn("_k", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = rows.join(first.select(F.col("k").alias("_k")), "_k", "left_semi")
+    return kept.dropDuplicates(["_k"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -146,6 +146,18 @@ def fit(docs: DataFrame, max_rows: int = 2000) -> Model:
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
+def _predict(column: pa.Array, c: Chunk, m: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and whether it is rejected, of the rows of a chunk."""
+    some = np.array([x is not None and _ANY_LETTER.search(x) is not None for x in column.slice(int(c.rows[0]), c.n).to_pylist()], bool)
+    if m.langs:
+        best, p = m.predict(c)
+        said = [m.langs[j] if ok else "und" for j, ok in zip(best, some, strict=True)]
+        p = np.where(some, p, 0.0)
+    else:
+        said, p = ["und"] * c.n, np.zeros(c.n)
+    return said, p, (p < m.threshold) | np.array([x == "und" for x in said], bool)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every document.
 
@@ -161,14 +173,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             column = b.column("text")
             for c in chunks(column):
-                some = np.array([x is not None and _ANY_LETTER.search(x) is not None for x in column.slice(int(c.rows[0]), c.n).to_pylist()], bool)
-                if m.langs:
-                    best, p = m.predict(c)
-                    said = [m.langs[j] if ok else "und" for j, ok in zip(best, some, strict=True)]
-                    p = np.where(some, p, 0.0)
-                else:
-                    said, p = ["und"] * c.n, np.zeros(c.n)
-                rejected = (p < m.threshold) | np.array([x == "und" for x in said], bool)
+                said, p, rejected = _predict(column, c, m)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(int(c.rows[0]), c.n), b.column("held_out").slice(int(c.rows[0]), c.n), pa.array(said, pa.string()), pa.array(p, pa.float64()), pa.array(rejected)],
                     names=["doc_id", "held_out", "lang_pred", "score", "rejected"],
@@ -176,3 +181,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose language is not rejected, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BITS and the languages
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column("text")
+            rejected = [_predict(column, c, shared.value)[2] for c in chunks(column)]
+            if rejected:
+                yield b.filter(pa.array(~np.concatenate(rejected)))
+
+    return docs.mapInArrow(run, docs.schema)
