@@ -34,7 +34,8 @@ def correlations(imputed: DataFrame, features: list[str] | None = None) -> DataF
     d = imputed if features is None else imputed.where(F.col("feature").isin(features))
     rows = d.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("feat_ord", "feature", "value"))).alias("v"))
     pairs = rows.select(F.explode("v").alias("a"), "v").select("a", F.explode("v").alias("b")).where("a.feat_ord <= b.feat_ord")
-    r = F.when((F.stddev_pop("a.value") > 0) & (F.stddev_pop("b.value") > 0), F.corr("a.value", "b.value"))
+    spread = F.stddev_pop("a.value") * F.stddev_pop("b.value")
+    r = F.covar_pop("a.value", "b.value") / F.when(spread > 0, spread)
     return pairs.groupBy(F.col("a.feature").alias("f1"), F.col("b.feature").alias("f2")).agg(r.alias("r"))
 
 
