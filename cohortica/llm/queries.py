@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortica.llm import chat, decontaminate, jaccard, langid, lines, packing, quality, recompress, suffixes, tokens
+from cohortica.llm import chat, decontaminate, jaccard, langid, lines, oracle, packing, quality, recompress, suffixes, tokens
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -70,4 +70,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
         op10_quality_rules,
     )
 }
-ORACLE: dict[str, str] = {}
+#: Without SQL: op3 (byte windows of a whole table), op4, op5, op8 and op9; tests/llm holds them against brute force.
+ORACLE: dict[str, str] = {"op1_recompression": oracle.OP1, "op2_ngram_jaccard": oracle.OP2, "op6_preference_pairs": oracle.OP6, "op7_decontamination": oracle.OP7, "op10_quality_rules": oracle.OP10}
