@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from cohortica.llm._store import cut
 
+DOUBLINGS = 2
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b); root is one node of the component.
 
-    Each round hooks every node to its smallest neighbour, follows the hooks to
-    their roots by pointer doubling and contracts the edges to the roots.  A
-    round at least halves the nodes that still have edges, so the rounds grow
+    Each round hooks every node to its smallest neighbour, follows the hooks by
+    ``DOUBLINGS`` pointer doublings and contracts the edges to where they lead.
+    A round at least halves the nodes that still have edges, so the rounds grow
     with the logarithm of the nodes; all steps are counts and joins on nodes.
     """
     left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -22,13 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
         hook = cut(hook)
-        while True:
+        for _ in range(DOUBLINGS):
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            after = cut(hook.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("next"), "root"))
-            moved = not after.where("next <> root").isEmpty()
-            hook = after.select("node", F.col("next").alias("root"))
-            if not moved:
-                break
+            hook = hook.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        hook = cut(hook)
         if found is None:
             found = hook
         else:
