@@ -6,21 +6,30 @@ of each (its prefix).  The order used: tokens of a fixed hash range first, by
 how many rows have them, then all others by hash.  Tokens that only one row has
 fill most prefixes, and are in no bucket with another document.
 
-Documents that share a prefix token form a bucket.  A bucket is never expanded
-into its pairs.  Its smallest set is the pivot and is compared with each
-member.  If that leaves members that are not joined, note that for x, y no
-smaller than pivot p: if x and y share tokens of p only, then J(x, y) <= J(y, p).
-So a link between two members of which one does not link with p needs a shared
-token outside p, and, by the prefix argument once more, one among the first
-tokens of x outside p.  The bucket's token is combined with each of those: the
-frequent class goes from single tokens to combinations of 2, then of 3, and so
-on, until every bucket is of one component.  Buckets of rare tokens, of at most ``RARE``
-sets, are compared as they are.  Every link of different components is found;
-none is dropped.
+Documents of like size (a factor of 1 / 0.9) that share a prefix token form a
+bucket.  Sets that cannot be similar, by the Hamming distance of 256-bit parity
+bitmaps, are never compared.  Buckets of rare tokens, of at most ``RARE`` sets,
+are compared as they are.  Frequent ones are never expanded into their pairs.
+The smallest set is the pivot and is compared with each member near it:
+
+* Near members meet again by the bucket's token combined with one token more.
+  If x and y, no smaller than the pivot p, share tokens of p only, then
+  J(x, y) <= J(y, p).  So a link of which one end does not link with p needs a
+  shared token outside p, and, by the prefix argument once more, one among the
+  first tokens of x outside p.
+* Members far from p (over twice the distance of a link) cannot link with those
+  that link with p.  They, and the near ones that do not link, meet again by
+  combinations of two frequent tokens of prefixes extended by one, of which two
+  linked sets share two; deeper down they stay, with the next pivot.
+
+So the frequent class goes from single tokens to combinations of two, of three
+and so on, until every bucket is of one component.  No link between components
+is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +44,7 @@ from cohortica.llm._text import Chunk, U, chunks, mix
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-RARE = 12
+RARE = 32
 _C = U(0x9E3779B97F4A7C15)
 
 
@@ -72,7 +81,7 @@ def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
 
 
 def sets(docs: DataFrame, k: int, percent: int, part: float) -> DataFrame:
-    """doc_id, k, n, s (the set's name), first (its tokens of the first class), more (prefix tokens beyond them)."""
+    """doc_id, k, n, s (the set's name), first (its tokens of the first class), more (tokens of the extended prefix beyond them), g0 .. g3 (parity bitmap)."""
     top = U(int(part * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +95,10 @@ def sets(docs: DataFrame, k: int, percent: int, part: float) -> DataFrame:
                 low = name < top  # names are ascending within a row, so these come first
                 m = np.bincount(row[low], minlength=c.n)
                 rank = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                more = ~low & (rank < prefix[row])
+                more = ~low & (rank <= prefix[row])
+                bits = np.zeros((c.n, 256), np.uint8)
+                np.bitwise_xor.at(bits, (row, (name >> U(40) & U(255)).astype(np.int64)), 1)
+                map_ = np.packbits(bits, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").slice(int(c.rows[0]), c.n),
@@ -95,27 +107,36 @@ def sets(docs: DataFrame, k: int, percent: int, part: float) -> DataFrame:
                         pa.array(mix(total + n.astype(U)).view(np.int64)),
                         _lists(name[low], m),
                         _lists(name[more], np.bincount(row[more], minlength=c.n)),
+                        *(pa.array(np.ascontiguousarray(map_[:, j])) for j in range(4)),
                     ],
-                    names=["doc_id", "k", "n", "s", "first", "more"],
+                    names=["doc_id", "k", "n", "s", "first", "more", "g0", "g1", "g2", "g3"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {kind}, k bigint, n bigint, s bigint, first array<bigint>, more array<bigint>")
+    return docs.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {kind}, k bigint, n bigint, s bigint, first array<bigint>, more array<bigint>, g0 bigint, g1 bigint, g2 bigint, g3 bigint")
 
 
 def prefixes(found: DataFrame, percent: int) -> DataFrame:
-    """b (bucket), s, n: the prefix tokens that more than one row has."""
+    """b (bucket), s, z (size class): the tokens of prefixes extended by one that more than one row has."""
     some = found.where("n > 0")
     tokens = some.select("s", "n", F.explode("first").alias("t"))
     often = save(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "tokens")  # a table, so that a frequent token's join can be split
     seen = tokens.join(often, "t").groupBy("s", "t").agg(F.first("n").alias("n"), F.first("df").alias("df"))
     size = some.groupBy("s").agg(F.first(F.size("first")).alias("m"))
-    need_ = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
+    need_ = F.expr(f"n - (n * {percent} + 99) div 100 + 2")
     listed = seen.groupBy("s").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "t"))).alias("list")).join(size, "s")
     # tokens of one row alone come first in the order: m - size(list) of them
     room = need_ - (F.col("m") - F.size("list"))
     front = listed.select("s", "n", F.explode(F.slice("list", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("x")).select(F.col("x.t").alias("b"), "s", "n")
-    return front.unionByName(some.select(F.explode("more").alias("b"), "s", "n").distinct())
+    both = front.unionByName(some.select(F.explode("more").alias("b"), "s", "n").distinct())
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    return both.withColumn("z", F.explode(F.array(size_class, size_class + 1))).select(F.xxhash64("b", "z").alias("b"), "s", "z")
+
+
+def may(percent: int, a: str = "", b: str = "p"):
+    """Whether the bitmaps leave room for a similarity of percent / 100."""
+    far = sum((F.bit_count(F.col(f"{a}g{j}").bitwiseXOR(F.col(f"{b}g{j}"))) for j in range(1, 4)), F.bit_count(F.col(f"{a}g0").bitwiseXOR(F.col(f"{b}g0"))))
+    return far * (100 + percent) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (100 - percent)
 
 
 def compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -149,33 +170,42 @@ def compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 def _groups(rows: DataFrame, k: int, percent: int, part: float) -> tuple[DataFrame, DataFrame]:
     """Of keyed rows: doc_id, k, n, s of each, and s, root of each set with words."""
     found = save(sets(rows, k, percent, part), "sets")
-    nodes = save(found.where("n > 0").groupBy("s").agg(F.first("k").alias("k")), "nodes")
+    nodes = save(found.where("n > 0").groupBy("s").agg(*(F.first(c).alias(c) for c in ("k", "n", "g0", "g1", "g2", "g3"))), "nodes")
+    own = ["s", "n", "g0", "g1", "g2", "g3", "c"]
 
-    members = prefixes(found, percent).withColumn("b", F.xxhash64("b"))
+    members = prefixes(found, percent)
     label: DataFrame | None = None
     links: DataFrame | None = None
+    level = 0
     while True:
         # buckets of two components or more
-        named = members.withColumn("c", F.col("s")) if label is None else members.join(label.select(F.col("node").alias("s"), "root"), "s", "left").select("b", "s", "n", F.coalesce("root", "s").alias("c"))
-        named = save(named, "members")
+        attrs = nodes.withColumn("c", F.col("s")) if label is None else nodes.join(label.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("c", F.coalesce("root", "s"))
+        named = save(members.join(attrs.select(*own), "s"), "members")
         mixed = named.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("b", "least", "m")
-        mixed = cut(mixed)
-        named = cut(named.join(mixed, "b"))
+        named = cut(named.join(cut(mixed), "b"))
         if named.isEmpty():
             break
         rare, often = named.where(F.col("m") <= RARE), named.where(F.col("m") > RARE)
-        pivot = cut(often.where("n = least").groupBy("b").agg(F.min("s").alias("p")))
-        paired = cut(often.join(pivot, "b").where("p <> s").select("b", "p", F.col("s").alias("x"), "n"))
-        one, two = (rare.select("b", F.col("s").alias(v), F.col("n").alias(f"n{v}"), F.col("c").alias(f"c{v}")) for v in "px")
-        alike = one.join(two, "b").where(f"p < x and cp <> cx and 100 * least(np, nx) >= {percent} * greatest(np, nx)")
-        pairs = cut(paired.select("p", "x").unionByName(alike.select("p", "x")).distinct())
+        other = lambda d: d.select("b", *[F.col(x).alias(f"p{x}") for x in own])
+        alike = rare.join(other(rare), "b").where("s < ps and c <> pc").where(f"100 * least(n, pn) >= {percent} * greatest(n, pn)").where(may(percent))
+        pivot = cut(often.where("n = least").groupBy("b").agg(F.min("s").alias("s")))
+        paired = cut(often.join(other(often.join(pivot, ["b", "s"])), "b").where("s <> ps").withColumn("near", may(2 * percent - 100)).select("b", "z", F.col("ps").alias("p"), F.col("s").alias("x"), "near"))
+        pairs = cut(paired.where("near").select("p", "x").unionByName(alike.select(F.col("ps").alias("p"), F.col("s").alias("x"))).distinct())
         ids = pairs.select(F.col("p").alias("s")).unionByName(pairs.select(F.col("x").alias("s"))).distinct().join(nodes.select("s", "k"), "s")
-        texts = rows.select("k", "text").join(ids, "k").groupBy("s").agg(F.first("text").alias("text"))
+        texts = rows.select("k", "text").join(cut(ids), "k").groupBy("s").agg(F.first("text").alias("text"))
         said = save(compare(pairs, texts, k, percent), "compared")
         new = said.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
         links = new if links is None else links.unionByName(new)
         label = components(links)
-        members = paired.join(said.select("p", "x", "rest"), ["p", "x"]).select(F.col("b").alias("b0"), F.col("x").alias("s"), "n", F.explode("rest").alias("t")).select(F.col("b0").bitwiseXOR(F.xxhash64("t")).alias("b"), "s", "n").distinct()  # a set of tokens, in whatever order
+        seen = paired.join(said, ["p", "x"], "left")
+        deeper = seen.where("near").select(F.col("b").alias("b0"), F.col("x").alias("s"), "z", F.explode("rest").alias("t")).select(F.col("b0").bitwiseXOR(F.xxhash64("t", "z")).alias("b"), "s", "z")
+        mixed_near = cut(paired.where("not near").select("b").distinct())
+        open_ = seen.where("not coalesce(linked, false)").select("b", "z", F.col("x").alias("s")).join(mixed_near, "b", "left_semi")
+        if level == 0:
+            keys = often.select("s", "z", F.col("b").alias("b2"))
+            open_ = open_.join(keys, ["s", "z"]).where("b <> b2").select(F.col("b").bitwiseXOR(F.col("b2")).alias("b"), "s", "z")
+        members = deeper.unionByName(open_).distinct()  # a set of tokens, in whatever order
+        level += 1
 
     if label is None:
         return found, nodes.select("s", F.col("s").alias("root"))
