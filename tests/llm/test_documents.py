@@ -4,7 +4,7 @@ import pytest
 from tests.llm import brute
 from tests.llm.test_repeats import frame, texts
 
-from cohortica.llm import decontaminate, jaccard, langid, lines, packing, quality, tokens
+from cohortica.llm import chat, decontaminate, jaccard, langid, lines, packing, quality, tokens
 
 
 def near_texts(seed=1):
@@ -180,3 +180,25 @@ def test_lines_by_brute_force(spark):
             gone.add(i)
     assert {x["doc_id"] for x in lines.line_report(docs).where("n_removed > 0").collect()} == gone
     assert len(gone) > len(rows) - len(text)
+
+
+def test_near_copies_of_frequent_tokens(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "RARE", 2)
+    docs = near_texts(4)[:70]
+    got = jaccard.near_copies(frame(spark, docs), 3, 90, part=0.3).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.near(docs, 3, 90))
+
+
+def test_preferences(spark):
+    rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (0, 2, "user", "x"), (1, 0, "user", "hi"), (1, 1, "assistant", "b"), (2, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, None, None), (5, 0, "assistant", "é"), (6, 0, "user", "alone"), (None, 0, "user", "z"), (0, 0, "user", "hi"), (7, None, "user", "q")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    out = {r["pair_id"]: r for r in chat.preferences(chat.neighbours(turns), turns).collect()}
+    assert set(out) == {0, 1, 2}
+    a = out[0]
+    assert a["n_prompt_turns"] == 1 and a["prompt"] == "<|im_start|>user\nhi<|im_end|>\n"
+    assert a["rejected"] == "<|im_start|>assistant\nb<|im_end|>\n"
+    assert [a["chosen"][s:e] for s, e in a["chosen_mask"]] == ["a<|im_end|>"]
+    assert out[1]["n_prompt_turns"] == 1 and out[1]["chosen"] == out[1]["rejected"] == ""
+    assert out[2]["prompt"] == "" and out[2]["chosen"].startswith("<|im_start|>unknown\n")
+    assert [out[2]["rejected"][s:e] for s, e in out[2]["rejected_mask"]] == ["é<|im_end|>"]
+    assert chat.preferences(chat.neighbours(turns.limit(0)), turns.limit(0)).count() == 0
