@@ -16,7 +16,8 @@ The smallest set is the pivot and is compared with each member near it:
   If x and y, no smaller than the pivot p, share tokens of p only, then
   J(x, y) <= J(y, p).  So a link of which one end does not link with p needs a
   shared token outside p, and, by the prefix argument once more, one among the
-  first tokens of x outside p.
+  first tokens of x outside p, in the same order: few, as tokens of one row
+  alone come first and match nothing.
 * Members far from p (over twice the distance of a link) cannot link with those
   that link with p.  They, and the near ones that do not link, meet again by
   combinations of two frequent tokens of prefixes extended by one, of which two
@@ -44,7 +45,7 @@ from cohortica.llm._text import Chunk, U, chunks, mix
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-RARE = 32
+RARE = 64
 _C = U(0x9E3779B97F4A7C15)
 
 
@@ -116,19 +117,27 @@ def sets(docs: DataFrame, k: int, percent: int, part: float) -> DataFrame:
     return docs.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {kind}, k bigint, n bigint, s bigint, first array<bigint>, more array<bigint>, g0 bigint, g1 bigint, g2 bigint, g3 bigint")
 
 
-def prefixes(found: DataFrame, percent: int) -> DataFrame:
-    """b (bucket), s, z (size class): the tokens of prefixes extended by one that more than one row has."""
+def shared_tokens(found: DataFrame, percent: int) -> DataFrame:
+    """s, n, room, list: every set's tokens of the first class that more than one row has, in order.
+
+    room: how many of its tokens still belong to the prefix extended by one,
+    after those that one row alone has.
+    """
     some = found.where("n > 0")
-    tokens = some.select("s", "n", F.explode("first").alias("t"))
+    tokens = some.select("s", F.explode("first").alias("t"))
     often = save(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "tokens")  # a table, so that a frequent token's join can be split
-    seen = tokens.join(often, "t").groupBy("s", "t").agg(F.first("n").alias("n"), F.first("df").alias("df"))
-    size = some.groupBy("s").agg(F.first(F.size("first")).alias("m"))
+    seen = tokens.join(often, "t").groupBy("s", "t").agg(F.first("df").alias("df"))
+    listed = seen.groupBy("s").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("list"))
+    size = some.groupBy("s").agg(F.first("n").alias("n"), F.first(F.size("first")).alias("m"))
+    listed = size.join(listed, "s", "left").select("s", "n", "m", F.coalesce("list", F.array().cast("array<bigint>")).alias("list"))
     need_ = F.expr(f"n - (n * {percent} + 99) div 100 + 2")
-    listed = seen.groupBy("s").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "t"))).alias("list")).join(size, "s")
-    # tokens of one row alone come first in the order: m - size(list) of them
-    room = need_ - (F.col("m") - F.size("list"))
-    front = listed.select("s", "n", F.explode(F.slice("list", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("x")).select(F.col("x.t").alias("b"), "s", "n")
-    both = front.unionByName(some.select(F.explode("more").alias("b"), "s", "n").distinct())
+    return save(listed.select("s", "n", F.greatest(need_ - (F.col("m") - F.size("list")), F.lit(0)).cast("int").alias("room"), "list"), "lists")
+
+
+def prefixes(found: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """b (bucket), s, z (size class): the tokens of prefixes extended by one that more than one row has."""
+    front = lists.select(F.explode(F.slice("list", F.lit(1), F.col("room"))).alias("b"), "s", "n")
+    both = front.unionByName(found.where("n > 0").select(F.explode("more").alias("b"), "s", "n").distinct())
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
     return both.withColumn("z", F.explode(F.array(size_class, size_class + 1))).select(F.xxhash64("b", "z").alias("b"), "s", "z")
 
@@ -139,8 +148,9 @@ def may(percent: int, a: str = "", b: str = "p"):
     return far * (100 + percent) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (100 - percent)
 
 
-def compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (p, x): linked, and rest, the first tokens of x outside p.  texts: s, text."""
+def compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int, part: float) -> DataFrame:
+    """Of pairs (p, x): linked, and rest, the first tokens of the second class of x outside p.  texts: s, text."""
+    top = U(int(part * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, have = None, None
@@ -160,7 +170,7 @@ def compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                 both = have[np.minimum(at, len(have) - 1)] == x
                 n = int(both.sum())
                 linked.append(100 * n >= percent * (len(x) + len(have) - n))
-                rest.append(x[~both][: len(x) - need(len(x), percent) + 1].view(np.int64))
+                rest.append(x[~both & (x >= top)][: len(x) - need(len(x), percent) + 1].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column("p"), b.column("x"), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], names=["p", "x", "linked", "rest"])
 
     rows = pairs.join(texts.select(F.col("s").alias("x"), F.col("text").alias("xt")), "x").join(texts.select(F.col("s").alias("p"), F.col("text").alias("pt")), "p")
@@ -173,7 +183,8 @@ def _groups(rows: DataFrame, k: int, percent: int, part: float) -> tuple[DataFra
     nodes = save(found.where("n > 0").groupBy("s").agg(*(F.first(c).alias(c) for c in ("k", "n", "g0", "g1", "g2", "g3"))), "nodes")
     own = ["s", "n", "g0", "g1", "g2", "g3", "c"]
 
-    members = prefixes(found, percent)
+    lists = shared_tokens(found, percent)
+    members = prefixes(found, lists, percent)
     label: DataFrame | None = None
     links: DataFrame | None = None
     level = 0
@@ -193,12 +204,14 @@ def _groups(rows: DataFrame, k: int, percent: int, part: float) -> tuple[DataFra
         pairs = cut(paired.where("near").select("p", "x").unionByName(alike.select(F.col("ps").alias("p"), F.col("s").alias("x"))).distinct())
         ids = pairs.select(F.col("p").alias("s")).unionByName(pairs.select(F.col("x").alias("s"))).distinct().join(nodes.select("s", "k"), "s")
         texts = rows.select("k", "text").join(cut(ids), "k").groupBy("s").agg(F.first("text").alias("text"))
-        said = save(compare(pairs, texts, k, percent), "compared")
+        said = save(compare(pairs, texts, k, percent, part), "compared")
         new = said.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
         links = new if links is None else links.unionByName(new)
         label = components(links)
         seen = paired.join(said, ["p", "x"], "left")
-        deeper = seen.where("near").select(F.col("b").alias("b0"), F.col("x").alias("s"), "z", F.explode("rest").alias("t")).select(F.col("b0").bitwiseXOR(F.xxhash64("t", "z")).alias("b"), "s", "z")
+        near = seen.where("near").join(lists.select(F.col("s").alias("x"), "list", "room"), "x").join(lists.select(F.col("s").alias("p"), F.col("list").alias("of_p")), "p")
+        outside = F.slice(F.concat(F.array_except("list", "of_p"), "rest"), F.lit(1), F.col("room"))
+        deeper = near.select(F.col("b").alias("b0"), F.col("x").alias("s"), "z", F.explode(outside).alias("t")).select(F.col("b0").bitwiseXOR(F.xxhash64("t", "z")).alias("b"), "s", "z")
         mixed_near = cut(paired.where("not near").select("b").distinct())
         open_ = seen.where("not coalesce(linked, false)").select("b", "z", F.col("x").alias("s")).join(mixed_near, "b", "left_semi")
         if level == 0:
