@@ -290,7 +290,7 @@ def volcano_relation(spark, d):
     return rounded(rounded(points(spark, d), "mean_diff", "adj_p"), "y", places=4)
 
 
-@query(f"WITH {VOLCANO}, hits AS (SELECT *, max(CAST(is_sig AS INT)) OVER () AS some FROM points) SELECT feature, label, is_sig FROM hits WHERE is_sig OR some = 0 ORDER BY adj_p, feature LIMIT 20")
+@query(f"WITH {VOLCANO}, hits AS (SELECT *, max(CAST(is_sig AS INT)) OVER () AS has_sig FROM points) SELECT feature, label, is_sig FROM hits WHERE is_sig OR has_sig = 0 ORDER BY adj_p, feature LIMIT 20")
 def top_hits(spark, d):
     return testing.top_hits(points(spark, d)).select("feature", "label", "is_sig")
 
