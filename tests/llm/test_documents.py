@@ -182,6 +182,45 @@ def test_lines_by_brute_force(spark):
     assert len(gone) > len(rows) - len(text)
 
 
+def test_lines_of_any_length_by_edit_similarity_alone(spark, monkeypatch):
+    monkeypatch.setattr(lines, "RARE", 4)
+    r = random.Random(12)
+    texts = []
+    for n in (5, 8, 9, 10, 11, 17, 18, 19, 20, 27, 40, 80, 200):
+        for _ in range(4):
+            base = "".join(r.choice("abcdef é") for _ in range(n)).replace(" ", "x")
+            texts.append(base)
+            for edits in (1, 1, n // 10, n // 10, n // 10 + 1):  # spread evenly: the longest piece left is the shortest possible
+                t, at = list(base), [(2 * j + 1) * n // (2 * edits) for j in range(edits)]
+                for a in reversed(at):
+                    t[a : a + 1] = r.choice(["", "zz", "z"])
+                texts.append("".join(t))
+    texts += [texts[-1][:100] + "w" * k + texts[-1][100:] for k in range(8)]
+    rows = list(enumerate(texts))
+
+    def linked(a, b):
+        most = max(len(a), len(b)) // 10
+        if abs(len(a) - len(b)) > most:
+            return False
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1] <= most
+
+    root = list(range(len(texts)))
+    for i, a in rows:
+        for j, b in rows[:i]:
+            if root[i] != root[j] and linked(a, b):
+                root = [root[j] if x == root[i] else x for x in root]
+    first = {}
+    gone = {i for i, _ in rows if first.setdefault(root[i], i) != i}
+    got = {x["doc_id"] for x in lines.line_report(frame(spark, rows), exact=True).where("n_removed > 0").collect()}
+    assert got == gone and len(gone) > 150
+    assert got > {x["doc_id"] for x in lines.line_report(frame(spark, rows)).where("n_removed > 0").collect()}
+
+
 def test_near_copies_of_frequent_tokens(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "RARE", 2)
     docs = near_texts(4)[:70]
