@@ -141,6 +141,18 @@ def interaction_ccc(vectors: DataFrame, triples: list[tuple[int, int, int]], k:
     return _estimate(vectors, [(t, "+".join(map(str, t))) for t in triples], "fs string", ["fs"], kernel)
 
 
+def interactions(vectors: DataFrame, sets: list[tuple[int, ...]], k: int = 3, with_label: bool = True) -> DataFrame:
+    """fs, ii of every set: signed sum over all its subsets.  A subset that sets share is one task."""
+    if not with_label and min(map(len, sets)) < 2:
+        raise ValueError("needs two features or more")
+    parts = [(s, p) for s in sets for r in range(1, len(s) + 1) for p in combinations(s, r)]
+    subsets = list(dict.fromkeys(p for _, p in parts))
+    terms = joint_information(vectors, subsets, k) if with_label else entropies(vectors, subsets, k)
+    name = lambda s: "+".join(map(str, s))
+    uses = vectors.sparkSession.createDataFrame([(name(s), name(p), 1.0 if len(p) % 2 else -1.0) for s, p in parts], "ii_of string, fs string, sign double")
+    return terms.join(F.broadcast(uses), "fs").groupBy(F.col("ii_of").alias("fs")).agg(F.sum(F.col("sign") * F.col("mi")).alias("ii"))
+
+
 def interaction(vectors: DataFrame, features: tuple[int, ...], k: int = 3, with_label: bool = True) -> DataFrame:
     """General interaction information: signed sum over all subsets, each subset a task of its own."""
     if not with_label and len(features) < 2:

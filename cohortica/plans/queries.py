@@ -8,6 +8,7 @@ where vec_id and place agree modulo 17.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -405,10 +406,22 @@ def corr_diff(spark, d):
     return out.select("f1", "f2", (F.round("diff", 6) + 0.0).alias("diff"))
 
 
+@query(ORACLE["corr_pairs"].replace(" WHERE pos < 8", ""))
+def corr_pairs_all(spark, d):
+    return rounded(stats.correlations(matrix.impute(long_matrix(spark, d))), "r")
+
+
+@query(ORACLE["corr_diff"].replace(" WHERE pos < 4", ""))
+def corr_diff_all(spark, d):
+    x = matrix.impute(long_matrix(spark, d))
+    out = stats.correlation_difference(stats.correlations(x.where("y = 1")), stats.correlations(x.where("y = 0")))
+    return out.select("f1", "f2", (F.round("diff", 6) + 0.0).alias("diff"))
+
+
 @query()
 def heatmap_order(spark, d):
     """Leaf order is a convention of its own: tested against a brute-force version."""
-    return rounded(stats.heatmap(stats.correlations(matrix.impute(long_matrix(spark, d, 16)))), "r")
+    return rounded(stats.heatmap(stats.correlations(matrix.impute(long_matrix(spark, d)))), "r")
 
 
 # -- metrics ----------------------------------------------------------------
@@ -609,6 +622,92 @@ def perm_test(spark, d):
     return rounded(out, "mi", "p_perm")
 
 
+# -- information, whole: all features, pairs and triples, without SQL where it is too slow --
+
+
+def width(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+
+
+def pairs(spark: SparkSession, d: str) -> list[tuple[int, int]]:
+    return list(combinations(range(width(spark, d)), 2))
+
+
+def targets(spark: SparkSession, d: str) -> list[tuple[int, int, int]]:
+    """Every pair with every third feature, which comes last."""
+    n = width(spark, d)
+    return [(a, b, c) for a, b in combinations(range(n), 2) for c in range(n) if c not in (a, b)]
+
+
+def all_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d, width(spark, d))
+
+
+@query(ORACLE["mi_cd_ross"].replace("pos < 2 AND ", ""))
+def mi_cd_ross_all(spark, d):
+    return rounded(information.mutual_information(long_matrix(spark, d), K).drop("feat_ord"), "mi")
+
+
+@query()
+def mi_cd_kl_all(spark, d):
+    return rounded(information.mutual_information(long_matrix(spark, d, missing=False), K, "npeet").drop("feat_ord"), "mi")
+
+
+@query()
+def mi_cc_ksg_all(spark, d):
+    return rounded(information.pair_information(all_vectors(spark, d), pairs(spark, d), K), "mi")
+
+
+@query()
+def joint_mi_cd_all(spark, d):
+    return rounded(information.joint_information(all_vectors(spark, d), pairs(spark, d), K), "mi")
+
+
+@query()
+def joint_mi_cc_all(spark, d):
+    return rounded(information.joint_information_cc(all_vectors(spark, d), targets(spark, d), K), "mi")
+
+
+@query()
+def cmi_all(spark, d):
+    return rounded(information.conditional_information(all_vectors(spark, d), targets(spark, d), K), "mi")
+
+
+@query()
+def ii_ccd_all(spark, d):
+    return rounded(information.interaction_ccd(all_vectors(spark, d), pairs(spark, d), K), "mi")
+
+
+@query()
+def ii_ccd_marginals_all(spark, d):
+    return rounded(information.interaction_ccd(all_vectors(spark, d), pairs(spark, d), K, "npeet_3"), "mi")
+
+
+@query()
+def ii_ccc_all(spark, d):
+    return rounded(information.interaction_ccc(all_vectors(spark, d), targets(spark, d), K), "mi")
+
+
+@query()
+def ii_general_all(spark, d):
+    return rounded(information.interactions(all_vectors(spark, d), pairs(spark, d), K), "ii")
+
+
+@query()
+def ii_entropies_all(spark, d):
+    return rounded(information.interactions(all_vectors(spark, d), pairs(spark, d), K, with_label=False), "ii")
+
+
+ALL_ROUNDS = 1000
+
+
+@query()
+def perm_test_all(spark, d):
+    x = long_matrix(spark, d).where("value is not null")
+    out = testing.permutation_p(information.mutual_information(x, K), information.permuted_information(x, ALL_ROUNDS, K), ALL_ROUNDS)
+    return rounded(out, "mi", "p_perm")
+
+
 # -- models -----------------------------------------------------------------
 
 
@@ -631,7 +730,6 @@ def _model(family: str, grid: dict):
     return run
 
 
-# reduced grids for trees: the whole ones are RF_GRID and GBT_GRID
 QUERIES["lr_grid"] = _model("lr", models.LR_GRID)
-QUERIES["rf_grid"] = _model("rf", {"numTrees": [20], "maxDepth": [5, 8], "featureSubsetStrategy": ["sqrt"]})
-QUERIES["gbt_grid"] = _model("gbt", {"maxIter": [10], "maxDepth": [2, 3], "stepSize": [0.1]})
+QUERIES["rf_grid"] = _model("rf", models.RF_GRID)
+QUERIES["gbt_grid"] = _model("gbt", models.GBT_GRID)

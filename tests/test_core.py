@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortica.functions import colors, neighbours, synthetic
 from cohortica.functions.expressions import label_or, not_mild, probe_id, t_tail
 from cohortica.operators import cohorts, information, matrix, metrics, stats, testing
-from cohortica.plans import cli
+from cohortica.plans import cli, queries
 from cohortica.sources import tables
 
 
@@ -170,3 +170,56 @@ def test_command_line(spark, tmp_path):
     assert tables.read_features(spark, f"{out}/selected_features_k1") == ["seq.1.1"]
     cli.main(["mi", "--data-path", str(tmp_path / "seen"), "--results-dir", out, "--save-results", "--k", "1", "--n-perm", "9"], spark)
     assert tables.read_csv(spark, f"{out}/results_mi_uni_test").count() == 2
+
+
+def test_whole_queries_against_brute_force(spark, tmp_path, monkeypatch):
+    from itertools import combinations
+
+    r = np.random.default_rng(5)
+    n, w = 40, 4
+    x = np.round(r.normal(size=(n, w)), 4)
+    labels = np.arange(n) % 10
+    rows = [(i, [float(v) for v in x[i]], int(labels[i])) for i in range(n)]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").write.parquet(f"{d}/embeddings.parquet")
+    y, k, nn = (labels < 5).astype(int), queries.K, neighbours
+
+    def got(name, *keys):
+        return {tuple(row[c] for c in keys): row[-1] for row in queries.QUERIES[name](spark, d).collect()}
+
+    def same(found, want):
+        assert found.keys() == want.keys()
+        assert all(abs(found[i] - want[i]) < 1e-5 for i in want)
+
+    pairs = list(combinations(range(w), 2))
+    third = [(a, b, c) for a, b in pairs for c in range(w) if c not in (a, b)]
+    name = lambda s: ("+".join(map(str, s)),)
+    seen = [(np.arange(n) % 17) != j for j in range(w)]
+    same(got("mi_cd_ross_all", "feature"), {(f"seq.{j}.{j}",): nn.mi_ross(x[seen[j], j], y[seen[j]], k) for j in range(w)})
+    same(got("mi_cd_kl_all", "feature"), {(f"seq.{j}.{j}",): nn.mi_class_entropy(x[:, j], y, k) for j in range(w)})
+    same(got("mi_cc_ksg_all", "f1", "f2"), {p: nn.mi_ksg(x[:, p[0]], x[:, p[1]], k) for p in pairs})
+    joint = {p: nn.mi_class_entropy(x[:, list(p)], y, k) for r in (1, 2) for p in combinations(range(w), r)}
+    same(got("joint_mi_cd_all", "fs"), {name(p): joint[p] for p in pairs})
+    same(got("joint_mi_cc_all", "fs"), {name(t): nn.mi_ksg(x[:, list(t[:2])], x[:, t[2]], k) for t in third})
+    cmi = {t: nn.cmi(x[:, t[0]], x[:, t[1]], x[:, t[2]], k) for t in third}
+    same(got("cmi_all", "fs"), {name(t): cmi[t] for t in third})
+    inside = {p: sum((y == c).mean() * nn.mi_ksg(x[y == c, p[0]], x[y == c, p[1]], k) for c in (0, 1)) for p in pairs}
+    same(got("ii_ccd_all", "f1", "f2"), {p: nn.mi_ksg(x[:, p[0]], x[:, p[1]], k) - inside[p] for p in pairs})
+    marginals = {p: joint[p[:1]] + joint[p[1:]] - joint[p] for p in pairs}
+    same(got("ii_ccd_marginals_all", "f1", "f2"), marginals)
+    same(got("ii_general_all", "fs"), {name(p): v for p, v in marginals.items()})
+    h = {p: nn.entropy(x[:, list(p)], k) for r in (1, 2) for p in combinations(range(w), r)}
+    same(got("ii_entropies_all", "fs"), {name(p): h[p[:1]] + h[p[1:]] - h[p] for p in pairs})
+    same(got("ii_ccc_all", "fs"), {name(t): nn.mi_ksg(x[:, t[0]], x[:, t[1]], k) - cmi[t] for t in third})
+    out = queries.QUERIES["perm_test_all"](spark, d).collect()
+    assert queries.ALL_ROUNDS == 1000 and len(out) == w
+    assert all(abs(row["p_perm"] * 1001 - round(row["p_perm"] * 1001)) < 1e-2 for row in out) and min(row["p_perm"] for row in out) < 1
+    filled = [np.where(seen[j], x[:, j], np.median(x[seen[j], j])) for j in range(w)]
+    same(got("corr_pairs_all", "f1", "f2"), {(f"seq.{a}.{a}", f"seq.{b}.{b}"): np.corrcoef(filled[a], filled[b])[0, 1] for a in range(w) for b in range(a, w)})
+    assert len(got("corr_diff_all", "f1", "f2")) == w * (w + 1) // 2
+    grids = []
+    monkeypatch.setattr(queries, "_parts", lambda spark, d: ())
+    monkeypatch.setattr(queries.models, "train_and_evaluate", grids.append)
+    for q in ("rf_grid", "gbt_grid"):
+        queries.QUERIES[q](spark, d)
+    assert grids == [{"rf": queries.models.RF_GRID}, {"gbt": queries.models.GBT_GRID}]
