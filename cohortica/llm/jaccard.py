@@ -243,6 +243,14 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, part: float = 0.
     return found.select("doc_id", "n", "s").join(doc_of, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def with_clusters(docs: DataFrame, column: str = "cluster", k: int = 5, percent: int = 80, part: float = 0.15) -> DataFrame:
+    """``docs`` with a name of each row's group of near copies; null for texts without words."""
+    found, groups = _groups(keyed(docs), k, percent, part)
+    named = found.where("n > 0").select("k", "s").distinct().join(groups, "s").select(F.col("k").alias("_k"), F.col("root").alias(column))
+    rows = docs.withColumn("_k", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return rows.join(named, "_k", "left").drop("_k")
+
+
 def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80, part: float = 0.15) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one of smallest (doc_id, text hash).
 

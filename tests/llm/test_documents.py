@@ -92,6 +92,26 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_is_of_the_documents_not_of_the_files(spark):
+    # source by source, in order: blocks of neighbouring rows hold one source each
+    rows = [(i, f"t{i} " + "w " * 39, f"s{i // 200}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    ways = [docs.repartition(1).sortWithinPartitions("doc_id"), docs.repartition(40, "doc_id")]
+    got = [sorted(sorted(b["doc_ids"]) for b in packing.pack(d, capacity=100, block_rows=100).collect()) for d in ways]
+    assert got[0] == got[1]
+    assert sorted(x for b in got[0] for x in b) == list(range(800))
+    assert len(got[0]) < 480  # 400 at best, 800 when each source stays alone
+
+
+def test_packing_keeps_near_copies_apart(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:-1], f"last{i}"]), f"s{i}") for i in range(4)] + [(9, None, "s0"), (10, "other words", "s9")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    bins = packing.pack(jaccard.with_clusters(docs, k=3, percent=90), cluster="cluster").collect()
+    assert sorted(d for b in bins for d in b["doc_ids"]) == [0, 1, 2, 3, 9, 10]
+    assert all(len({0, 1, 2, 3} & set(b["doc_ids"])) < 2 for b in bins)
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     # lengths 7 and 6 open bins with 3 and 4 left; 3 of the first's source goes to the second
     bins = packing.pack_block([(7, 1, 0, 0), (6, 2, 0, 1), (3, 1, 0, 2)], 10)
