@@ -1,13 +1,16 @@
-"""Connected components by contraction, in DataFrame operations."""
+"""Connected components by contraction, and groups of links found bucket by bucket, in DataFrame operations."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortica.llm._store import cut
+from cohortica.llm._store import discard, save
 
 DOUBLINGS = 2
+RARE, PIVOTS, BLOCK = 64, 64, 4096
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,24 +21,108 @@ def components(edges: DataFrame) -> DataFrame:
     A round at least halves the nodes that still have edges, so the rounds grow
     with the logarithm of the nodes; all steps are counts and joins on nodes.
     """
-    left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left = save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     found: DataFrame | None = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
-        hook = cut(hook)
+        first = save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "hooks")
+        hook = first
         for _ in range(DOUBLINGS):
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
             hook = hook.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        hook = cut(hook)
+        hook = save(hook, "hooks")
+        discard(first)
         if found is None:
-            found = hook
+            found, old = hook, None
         else:
-            up = hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            found = cut(found.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+            old, up = found, hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            found = save(found.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
         a = hook.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = hook.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        left = cut(left.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        done, left = left, save(left.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        discard(done, *([old, hook] if old is not None else []))
     if found is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    discard(left)
     return found
+
+
+def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], deeper: Callable[[DataFrame, int], DataFrame | None] | None = None) -> DataFrame | None:
+    """Groups of the nodes that links connect; a link lies between two members of a bucket.
+
+    members: b (bucket), id and whatever ``near`` looks at, a cheap test that
+    every link passes; verify: the pairs (p, x) that are links.  -> node, root
+    of every linked node, None if there is no link.
+
+    Pairs are compared only where their ends are in different groups so far.
+
+    1. Buckets of up to ``RARE`` members are compared as they are; in larger
+       ones a few pivots meet all members, each member in one bucket alone.
+    2. In larger buckets that still hold several groups about ``PIVOTS``
+       pivots, the same in all buckets, meet all members.
+    3. Where they do so even then, ``deeper`` gives the members of buckets
+       without a majority finer buckets, in which all their links lie, and 1
+       follows.  In the others all members outside the bucket's largest group
+       meet all members, in blocks of ``BLOCK``: no link between groups is lost.
+    """
+    own = [c for c in members.columns if c not in ("b", "id")]
+    label: DataFrame | None = None
+    links: list[DataFrame] = []
+    rows, turn, level = members, 0, 0
+
+    def pairs(one: DataFrame, two: DataFrame, on: list[str], apart: str) -> DataFrame:
+        """Pairs of a bucket that may be linked; each in the first bucket that both share."""
+        left = one.select(*on, *[F.col(c).alias("_" + c) for c in ("id", "c", "bs", *own)])
+        both = left.join(two, on).where(f"_c <> c and {apart}").where(near(lambda c: F.col("_" + c), lambda c: F.col(c)))
+        return both.where("bs is null or _bs is null or b = array_min(array_intersect(_bs, bs))").select(F.least("_id", "id").alias("p"), F.greatest("_id", "id").alias("x"))
+
+    while True:
+        named = rows.withColumn("c", F.col("id")) if label is None else rows.join(label.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
+        sizes = save(named.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("b", "m"), "sizes")
+        named = save(named.join(sizes, "b"), "buckets")
+        if named.isEmpty():
+            discard(named, sizes)
+            return label
+        made = [named, sizes]
+        large = named.where(F.col("m") > RARE)
+        none = F.lit(None).cast("array<bigint>")
+        pivot = lambda n: F.expr(f"pmod(xxhash64(id), shiftleft(1L, cast(greatest(ceil(log2(m / {n})), 0) as int))) = 0")
+        if turn == 0:
+            rare = named.where(F.col("m") <= RARE).withColumn("bs", none)
+            one = save(large.groupBy("id").agg(F.max_by(F.struct("b", "m", "c", *own), F.struct("m", "b")).alias("r")).select("id", "r.*").withColumn("bs", none), "stars")
+            made.append(one)
+            found = pairs(rare, rare, ["b"], "_id < id").unionByName(pairs(one.where(pivot(PIVOTS // 8 or 1)), one, ["b"], "_id <> id"))
+        elif turn == 1:
+            wide = save(large.join(large.groupBy("id").agg(F.collect_list("b").alias("bs")), "id"), "large")
+            made.append(wide)
+            found = pairs(wide.where(pivot(PIVOTS)), wide, ["b"], "_id <> id")
+        else:
+            most = save(large.groupBy("b", "c").agg(F.count(F.lit(1)).alias("held")).groupBy("b").agg(F.max(F.struct("held", "c")).alias("top")).select("b", "top.held", F.col("top.c").alias("main")), "majorities")
+            of = save(large.join(most, "b"), "open")
+            made += [most, of]
+            finer = deeper(of.where("2 * held <= m").select("b", "id", *own), level) if deeper else None
+            stay = of.where("2 * held > m") if finer is not None else of
+            stay = stay.join(stay.groupBy("id").agg(F.collect_list("b").alias("bs")), "id")
+            blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+            open_ = stay.where("c <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            found = pairs(open_, stay.withColumn("salt", F.pmod(F.xxhash64("id"), blocks).cast("int")), ["b", "salt"], "_id <> id")
+        found = save(found.distinct(), "pairs")
+        made.append(found)
+        new = save(verify(found), "links")
+        links.append(new)
+        all_ = new.select(F.col("p").alias("a"), F.col("x").alias("b"))
+        if label is not None:  # what is known as edges to the roots
+            all_ = all_.unionByName(label.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        before, label = label, components(all_)
+        if before is not None:
+            discard(before)
+        if turn < 2:
+            rows, turn = large.select("b", "id", *own), turn + 1
+            rows = save(rows, "members")
+        elif finer is not None:
+            rows, turn, level = save(finer, "members"), 0, level + 1
+        else:
+            rows = None
+        discard(*made, new)
+        if rows is None:
+            return label

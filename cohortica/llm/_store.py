@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table of a few numbers that may be broadcast (tens of MB); a larger one is joined by a shuffle.
+SMALL_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +38,9 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -41,15 +48,30 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def discard(df: DataFrame) -> None:
-    """Removes the files of a table of ``save`` that is of no more use."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables of ``save`` that are of no more use."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._saved_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A saved table of few columns for a join: broadcast if its counted rows are ``SMALL_ROWS`` at most."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names with underscores before them until no column has them, in upper or lower case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def smallest(df: DataFrame, key, rows: int) -> DataFrame:
     """At most ``rows`` rows, those of the smallest key (a hash); only keys are sorted."""
     keyed = df.withColumn("_key", key)

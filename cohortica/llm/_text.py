@@ -12,6 +12,8 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 U = np.uint64
@@ -141,3 +143,10 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[Chunk]:
 
 def text_of(column: pa.Array, i: int) -> str | None:
     return column[i].as_py()
+
+
+def named(docs: DataFrame, only_name: bool = False) -> DataFrame | Column:
+    """doc_id, k, text.  k, 128 bits of md5, names doc_id and text: rows that share it are equal in both.  A null text is empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    k = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(" "), text)))
+    return k if only_name else docs.select("doc_id", k.alias("k"), text.alias("text"))

@@ -1,36 +1,24 @@
 """Jaccard join of documents on word n-grams, by token-combination prefixes.
 
-A document is its set of hashed shingles.  Under any one order of the tokens,
-two sets of similarity 0.9 share a token among the first n - ceil(0.9 n) + 1
-of each (its prefix).  The order used: tokens of a fixed hash range first, by
-how many rows have them, then all others by hash.  Tokens that only one row has
-fill most prefixes, and are in no bucket with another document.
-
-Documents of like size (a factor of 1 / 0.9) that share a prefix token form a
-bucket.  Sets that cannot be similar, by the Hamming distance of 256-bit parity
-bitmaps, are never compared.  Buckets of rare tokens, of at most ``RARE`` sets,
-are compared as they are.  Frequent ones are never expanded into their pairs.
-The smallest set is the pivot and is compared with each member near it:
-
-* Near members meet again by the bucket's token combined with one token more.
-  If x and y, no smaller than the pivot p, share tokens of p only, then
-  J(x, y) <= J(y, p).  So a link of which one end does not link with p needs a
-  shared token outside p, and, by the prefix argument once more, one among the
-  first tokens of x outside p, in the same order: few, as tokens of one row
-  alone come first and match nothing.
-* Members far from p (over twice the distance of a link) cannot link with those
-  that link with p.  They, and the near ones that do not link, meet again by
-  combinations of two frequent tokens of prefixes extended by one, of which two
-  linked sets share two; deeper down they stay, with the next pivot.
-
-So the frequent class goes from single tokens to combinations of two, of three
-and so on, until every bucket is of one component.  No link between components
-is lost.
+A document is its set of hashed shingles; equal sets are one node.  Under any
+one order of the tokens, two sets of similarity 0.9 share at least j tokens
+among the first n - ceil(0.9 n) + j of each (its prefix extended by j - 1).
+The order used: tokens of a fixed hash range first, by how many sets have them,
+then all others by hash.  Tokens that only one set has fill most prefixes, and
+are in no bucket with another document.
+
+Buckets of single tokens of the prefix come first.  Those of rare tokens are
+compared as they are, those of frequent ones with a few pivots (``connect``).
+A frequent token whose bucket still is of many groups, without one that has
+most members, is indexed by combinations with one more token of the prefix
+extended by one, then by two, and so on, always later ones: of the first tokens
+that two linked sets share one more is among these.  A bucket of one large group and some others is finished by comparing the others
+with all members.  Sizes and the Hamming distance of 256-bit parity bitmaps
+rule most pairs out before sets are compared.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,14 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortica.llm._components import components
-from cohortica.llm._repeats import keyed
-from cohortica.llm._store import cut, save
-from cohortica.llm._text import Chunk, U, chunks, mix
+from cohortica.llm._components import connect
+from cohortica.llm._store import discard, fresh, save, small
+from cohortica.llm._text import Chunk, U, chunks, mix, named
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-RARE = 64
+LEVELS = 3
 _C = U(0x9E3779B97F4A7C15)
 
 
@@ -81,22 +68,39 @@ def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def _names(*halves: np.ndarray) -> pa.Array:
+    """16-byte names of two 64-bit hashes each."""
+    data = np.ascontiguousarray(np.stack(halves, axis=1))
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer((np.arange(len(data) + 1) * 16).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _chunk_sets(c: Chunk, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Rows and shingles of a chunk, sizes of the sets and their names."""
+    row, name = shingles(c, k)
+    n = np.bincount(row, minlength=c.n)
+    total = np.zeros((2, c.n), U)
+    np.add.at(total[0], row, mix(name ^ _C))
+    np.add.at(total[1], row, mix(name + _C))
+    return row, name, n, _names(mix(total[0] + n.astype(U)), mix(total[1] ^ n.astype(U)))
+
+
 def sets(docs: DataFrame, k: int, percent: int, part: float) -> DataFrame:
-    """doc_id, k, n, s (the set's name), first (its tokens of the first class), more (tokens of the extended prefix beyond them), g0 .. g3 (parity bitmap)."""
+    """doc_id, k, n, s (the set's name), first (its tokens of the first class), more (tokens of the prefix beyond them, extended by ``LEVELS``), g0 .. g3 (parity bitmap).
+
+    Sets that can link with equal sets alone have no tokens.
+    """
     top = U(int(part * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks(b.column("text")):
-                row, name = shingles(c, k)
-                n = np.bincount(row, minlength=c.n)
-                total = np.zeros(c.n, U)
-                np.add.at(total, row, mix(name ^ _C))
-                prefix = n - need(n, percent) + (n > 0)
+                row, name, n, s = _chunk_sets(c, k)
+                social = 100 * n >= percent * (n + 1)
+                reach = n - need(n, percent) + 1 + LEVELS
                 low = name < top  # names are ascending within a row, so these come first
-                m = np.bincount(row[low], minlength=c.n)
                 rank = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                more = ~low & (rank <= prefix[row])
+                more = ~low & (rank < reach[row]) & social[row]
+                low &= social[row]
                 bits = np.zeros((c.n, 256), np.uint8)
                 np.bitwise_xor.at(bits, (row, (name >> U(40) & U(255)).astype(np.int64)), 1)
                 map_ = np.packbits(bits, axis=1).view(np.int64)
@@ -105,8 +109,8 @@ def sets(docs: DataFrame, k: int, percent: int, part: float) -> DataFrame:
                         b.column("doc_id").slice(int(c.rows[0]), c.n),
                         b.column("k").slice(int(c.rows[0]), c.n),
                         pa.array(n.astype(np.int64)),
-                        pa.array(mix(total + n.astype(U)).view(np.int64)),
-                        _lists(name[low], m),
+                        s,
+                        _lists(name[low], np.bincount(row[low], minlength=c.n)),
                         _lists(name[more], np.bincount(row[more], minlength=c.n)),
                         *(pa.array(np.ascontiguousarray(map_[:, j])) for j in range(4)),
                     ],
@@ -114,115 +118,85 @@ def sets(docs: DataFrame, k: int, percent: int, part: float) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {kind}, k bigint, n bigint, s bigint, first array<bigint>, more array<bigint>, g0 bigint, g1 bigint, g2 bigint, g3 bigint")
+    return docs.select("doc_id", "k", "text").mapInArrow(run, f"doc_id {kind}, k binary, n bigint, s binary, first array<bigint>, more array<bigint>, g0 bigint, g1 bigint, g2 bigint, g3 bigint")
 
 
-def shared_tokens(found: DataFrame, percent: int) -> DataFrame:
-    """s, n, room, list: every set's tokens of the first class that more than one row has, in order.
+def ordered(nodes: DataFrame, percent: int) -> DataFrame:
+    """id, n, list, room: every set's tokens in order that more than one set may have, and how many of them the prefix has.
 
-    room: how many of its tokens still belong to the prefix extended by one,
-    after those that one row alone has.
+    list: first those of the first class that are in two sets or more, then ``more``.  room: of the prefix itself; one more token
+    for each token that it is extended by.  It is negative where tokens of one set alone fill more than the prefix.
     """
-    some = found.where("n > 0")
-    tokens = some.select("s", F.explode("first").alias("t"))
-    often = save(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "tokens")  # a table, so that a frequent token's join can be split
-    seen = tokens.join(often, "t").groupBy("s", "t").agg(F.first("df").alias("df"))
-    listed = seen.groupBy("s").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("list"))
-    size = some.groupBy("s").agg(F.first("n").alias("n"), F.first(F.size("first")).alias("m"))
-    listed = size.join(listed, "s", "left").select("s", "n", "m", F.coalesce("list", F.array().cast("array<bigint>")).alias("list"))
-    need_ = F.expr(f"n - (n * {percent} + 99) div 100 + 2")
-    return save(listed.select("s", "n", F.greatest(need_ - (F.col("m") - F.size("list")), F.lit(0)).cast("int").alias("room"), "list"), "lists")
+    tokens = nodes.select("id", F.explode("first").alias("t"))
+    often = save(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "tokens")
+    seen = tokens.join(small(often), "t")
+    listed = seen.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("shared"))
+    both = nodes.select("id", "n", "more", F.size("first").alias("m")).where("m + size(more) > 0").join(listed, "id", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<bigint>")))
+    prefix = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
+    out = save(both.select("id", "n", F.concat("shared", "more").alias("list"), (prefix - F.col("m") + F.size("shared")).cast("int").alias("room")), "lists")
+    discard(often)
+    return out
 
 
-def prefixes(found: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """b (bucket), s, z (size class): the tokens of prefixes extended by one that more than one row has."""
-    front = lists.select(F.explode(F.slice("list", F.lit(1), F.col("room"))).alias("b"), "s", "n")
-    both = front.unionByName(found.where("n > 0").select(F.explode("more").alias("b"), "s", "n").distinct())
-    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-    return both.withColumn("z", F.explode(F.array(size_class, size_class + 1))).select(F.xxhash64("b", "z").alias("b"), "s", "z")
+def may(percent: int):
+    """Whether sizes and bitmaps leave room for a similarity of percent / 100."""
 
+    def near(a, b):
+        far = sum((F.bit_count(a(f"g{j}").bitwiseXOR(b(f"g{j}"))) for j in range(1, 4)), F.bit_count(a("g0").bitwiseXOR(b("g0"))))
+        return (F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * percent) & (far * (100 + percent) <= (a("n") + b("n")) * (100 - percent))
 
-def may(percent: int, a: str = "", b: str = "p"):
-    """Whether the bitmaps leave room for a similarity of percent / 100."""
-    far = sum((F.bit_count(F.col(f"{a}g{j}").bitwiseXOR(F.col(f"{b}g{j}"))) for j in range(1, 4)), F.bit_count(F.col(f"{a}g0").bitwiseXOR(F.col(f"{b}g0"))))
-    return far * (100 + percent) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (100 - percent)
+    return near
 
 
-def compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int, part: float) -> DataFrame:
-    """Of pairs (p, x): linked, and rest, the first tokens of the second class of x outside p.  texts: s, text."""
-    top = U(int(part * 2**64))
+def whole(rows: DataFrame, some: DataFrame, k: int) -> DataFrame:
+    """s, tokens: the whole sets of keyed rows named in ``some`` (k)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, have = None, None
-
-        def of(text: str) -> np.ndarray:
-            data = np.frombuffer(text.encode(), np.uint8)
-            return shingles(Chunk(data, np.array([0, len(data)]), np.zeros(1, np.int64)), k)[1]
-
         for b in batches:
-            ps, pt, xt = b.column("p").to_pylist(), b.column("pt"), b.column("xt")
-            linked, rest = [], []
-            for i, p in enumerate(ps):
-                if p != last:
-                    last, have = p, of(pt[i].as_py())
-                x = of(xt[i].as_py())
-                at = np.searchsorted(have, x)
-                both = have[np.minimum(at, len(have) - 1)] == x
-                n = int(both.sum())
-                linked.append(100 * n >= percent * (len(x) + len(have) - n))
-                rest.append(x[~both & (x >= top)][: len(x) - need(len(x), percent) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("p"), b.column("x"), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], names=["p", "x", "linked", "rest"])
-
-    rows = pairs.join(texts.select(F.col("s").alias("x"), F.col("text").alias("xt")), "x").join(texts.select(F.col("s").alias("p"), F.col("text").alias("pt")), "p")
-    return rows.select("p", "x", "pt", "xt").mapInArrow(run, "p bigint, x bigint, linked boolean, rest array<bigint>")
+            for c in chunks(b.column("text")):
+                _, name, n, s = _chunk_sets(c, k)
+                yield pa.RecordBatch.from_arrays([s, _lists(name, n)], names=["s", "tokens"])
+
+    return rows.join(small(some), "k", "left_semi").select("text").mapInArrow(run, "s binary, tokens array<bigint>")
 
 
 def _groups(rows: DataFrame, k: int, percent: int, part: float) -> tuple[DataFrame, DataFrame]:
-    """Of keyed rows: doc_id, k, n, s of each, and s, root of each set with words."""
+    """Of named rows: doc_id, k, n, s of each, and s, root of each set with words."""
     found = save(sets(rows, k, percent, part), "sets")
-    nodes = save(found.where("n > 0").groupBy("s").agg(*(F.first(c).alias(c) for c in ("k", "n", "g0", "g1", "g2", "g3"))), "nodes")
-    own = ["s", "n", "g0", "g1", "g2", "g3", "c"]
-
-    lists = shared_tokens(found, percent)
-    members = prefixes(found, lists, percent)
-    label: DataFrame | None = None
-    links: DataFrame | None = None
-    level = 0
-    while True:
-        # buckets of two components or more
-        attrs = nodes.withColumn("c", F.col("s")) if label is None else nodes.join(label.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("c", F.coalesce("root", "s"))
-        named = save(members.join(attrs.select(*own), "s"), "members")
-        mixed = named.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("b", "least", "m")
-        named = cut(named.join(cut(mixed), "b"))
-        if named.isEmpty():
-            break
-        rare, often = named.where(F.col("m") <= RARE), named.where(F.col("m") > RARE)
-        other = lambda d: d.select("b", *[F.col(x).alias(f"p{x}") for x in own])
-        alike = rare.join(other(rare), "b").where("s < ps and c <> pc").where(f"100 * least(n, pn) >= {percent} * greatest(n, pn)").where(may(percent))
-        pivot = cut(often.where("n = least").groupBy("b").agg(F.min("s").alias("s")))
-        paired = cut(often.join(other(often.join(pivot, ["b", "s"])), "b").where("s <> ps").withColumn("near", may(2 * percent - 100)).select("b", "z", F.col("ps").alias("p"), F.col("s").alias("x"), "near"))
-        pairs = cut(paired.where("near").select("p", "x").unionByName(alike.select(F.col("ps").alias("p"), F.col("s").alias("x"))).distinct())
-        ids = pairs.select(F.col("p").alias("s")).unionByName(pairs.select(F.col("x").alias("s"))).distinct().join(nodes.select("s", "k"), "s")
-        texts = rows.select("k", "text").join(cut(ids), "k").groupBy("s").agg(F.first("text").alias("text"))
-        said = save(compare(pairs, texts, k, percent, part), "compared")
-        new = said.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        label = components(links)
-        seen = paired.join(said, ["p", "x"], "left")
-        near = seen.where("near").join(lists.select(F.col("s").alias("x"), "list", "room"), "x").join(lists.select(F.col("s").alias("p"), F.col("list").alias("of_p")), "p")
-        outside = F.slice(F.concat(F.array_except("list", "of_p"), "rest"), F.lit(1), F.col("room"))
-        deeper = near.select(F.col("b").alias("b0"), F.col("x").alias("s"), "z", F.explode(outside).alias("t")).select(F.col("b0").bitwiseXOR(F.xxhash64("t", "z")).alias("b"), "s", "z")
-        mixed_near = cut(paired.where("not near").select("b").distinct())
-        open_ = seen.where("not coalesce(linked, false)").select("b", "z", F.col("x").alias("s")).join(mixed_near, "b", "left_semi")
-        if level == 0:
-            keys = often.select("s", "z", F.col("b").alias("b2"))
-            open_ = open_.join(keys, ["s", "z"]).where("b <> b2").select(F.col("b").bitwiseXOR(F.col("b2")).alias("b"), "s", "z")
-        members = deeper.unionByName(open_).distinct()  # a set of tokens, in whatever order
-        level += 1
-
+    firsts = ("n", "first", "more", "g0", "g1", "g2", "g3")
+    nodes = save(found.where("n > 0").groupBy("s").agg(*(F.first(c).alias(c) for c in firsts), F.min("k").alias("k")).withColumn("id", F.monotonically_increasing_id()), "nodes")
+    attrs = nodes.select("id", "n", "g0", "g1", "g2", "g3")
+    lists = ordered(nodes, percent)
+    members = save(lists.where("room > 0").select("id", F.posexplode(F.slice("list", F.lit(1), F.col("room"))).alias("at", "b")).join(attrs, "id"), "members")
+    many = save(members.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("b"), "many")
+    members, alone = save(members.join(many, "b"), "members"), members
+    ids = save(members.select("id").distinct(), "ids")
+    some = nodes.join(ids, "id").select("id", "s", "k")
+    keys = save(some.select("k"), "keys")
+    tokens = save(some.select("id", "s").join(whole(rows, keys, k).dropDuplicates(["s"]), "s").select("id", "tokens"), "tokens")
+    discard(alone, many, ids, keys)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        of = lambda c: tokens.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}"))
+        both = pairs.join(of("x"), "x").join(of("p"), "p").select("p", "x", F.size("tp").alias("n"), F.size("tx").alias("m"), F.size(F.array_intersect("tp", "tx")).alias("i"))
+        return both.where(f"100L * i >= {percent} * (n + m - i)").select("p", "x")
+
+    def deeper(open_: DataFrame, level: int) -> DataFrame | None:
+        if level == LEVELS:
+            return None
+        reach = F.slice("list", F.lit(1), F.col("room") + level + 1)
+        of = open_.join(lists.select("id", "list", "room"), "id").select(*open_.columns, F.posexplode(reach).alias("to", "t")).where("to > at")
+        return of.withColumn("b", F.xxhash64("b", "t")).withColumn("at", F.col("to")).select(*open_.columns)
+
+    label = connect(members, may(percent), verify, deeper)
     if label is None:
-        return found, nodes.select("s", F.col("s").alias("root"))
-    return found, nodes.select("s").join(label.select(F.col("node").alias("s"), "root"), "s", "left").select("s", F.coalesce("root", "s").alias("root"))
+        roots = save(nodes.select("s", F.col("id").alias("root")), "groups")
+    else:
+        roots = save(nodes.select("s", "id").join(label.select(F.col("node").alias("id"), "root"), "id", "left").select("s", F.coalesce("root", "id").alias("root")), "groups")
+        discard(label)
+    slim = save(found.select("doc_id", "k", "n", "s"), "found")
+    discard(found, nodes, lists, members, tokens)
+    return slim, roots
 
 
 def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, part: float = 0.15) -> DataFrame:
@@ -234,31 +208,34 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, part: float = 0.
     without words, or null, links with nothing and is its own component.
     ``part``: share of the hash range whose tokens are counted to order them.
     Rows that share a doc_id are nodes of their own; a null doc_id never names
-    a component of others.  Sets are named by 64-bit hashes.
+    a component of others.  Sets are named by 128-bit hashes of their shingles,
+    shingles by 64 bits.  Other columns of ``docs`` are ignored.
     """
-    found, groups = _groups(keyed(docs), k, percent, part)
+    found, groups = _groups(named(docs), k, percent, part)
     rooted = found.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("doc")).join(groups, "s")
-    least = cut(rooted.groupBy("root").agg(F.min("doc").alias("least")))
+    least = save(rooted.groupBy("root").agg(F.min("doc").alias("least")), "least")
     doc_of = rooted.join(least, "root").select("s", "least")
     return found.select("doc_id", "n", "s").join(doc_of, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def with_clusters(docs: DataFrame, column: str = "cluster", k: int = 5, percent: int = 80, part: float = 0.15) -> DataFrame:
-    """``docs`` with a name of each row's group of near copies; null for texts without words."""
-    found, groups = _groups(keyed(docs), k, percent, part)
-    named = found.where("n > 0").select("k", "s").distinct().join(groups, "s").select(F.col("k").alias("_k"), F.col("root").alias(column))
-    rows = docs.withColumn("_k", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return rows.join(named, "_k", "left").drop("_k")
+    """``docs`` with a name of each row's group of near copies in ``column`` (in place of one of that name); null for texts without words."""
+    found, groups = _groups(named(docs), k, percent, part)
+    key, root = fresh([*docs.columns, column], "k", "root")
+    of = found.where("n > 0").select("k", "s").distinct().join(groups, "s").select(F.col("k").alias(key), F.col("root").alias(root))
+    rows = docs.withColumn(key, named(docs, only_name=True))
+    return rows.join(of, key, "left").withColumn(column, F.col(root)).drop(key, root)
 
 
 def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80, part: float = 0.15) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one of smallest (doc_id, text hash).
 
-    Rows of equal content count as one; texts without words are in no group and stay.
+    Rows of equal doc_id and text count as one; which of them stays is open if
+    they differ in other columns.  Texts without words are in no group and stay.
     """
-    found, groups = _groups(keyed(docs), k, percent, part)
+    found, groups = _groups(named(docs), k, percent, part)
     rooted = found.where("n > 0").select("doc_id", "k", "s").join(groups, "s")
-    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "k")).alias("f")).select("f.k").unionByName(found.where("n = 0").select("k").distinct())
-    rows = docs.withColumn("_k", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = rows.join(first.select(F.col("k").alias("_k")), "_k", "left_semi")
-    return kept.dropDuplicates(["_k"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    (key,) = fresh(docs.columns, "k")
+    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "k")).alias("f")).select(F.col("f.k").alias(key)).unionByName(found.where("n = 0").select(F.col("k").alias(key)).distinct())
+    kept = docs.withColumn(key, named(docs, only_name=True)).join(first, key, "left_semi")
+    return kept.dropDuplicates([key]).drop(key)

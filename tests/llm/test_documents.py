@@ -4,7 +4,7 @@ import pytest
 from tests.llm import brute
 from tests.llm.test_repeats import frame, texts
 
-from cohortica.llm import chat, decontaminate, jaccard, langid, lines, packing, quality, tokens
+from cohortica.llm import _components, chat, decontaminate, jaccard, langid, lines, packing, quality, tokens
 
 
 def near_texts(seed=1):
@@ -242,7 +242,9 @@ def test_lines_of_any_length_by_edit_similarity_alone(spark, monkeypatch):
 
 
 def test_near_copies_of_frequent_tokens(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "RARE", 2)
+    monkeypatch.setattr(_components, "RARE", 2)
+    monkeypatch.setattr(_components, "PIVOTS", 2)
+    monkeypatch.setattr(_components, "BLOCK", 8)
     docs = near_texts(4)[:70]
     got = jaccard.near_copies(frame(spark, docs), 3, 90, part=0.3).collect()
     assert sorted(map(tuple, got)) == sorted(brute.near(docs, 3, 90))
