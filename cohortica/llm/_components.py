@@ -42,7 +42,9 @@ def components(edges: DataFrame) -> DataFrame:
         done, left = left, save(left.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
         discard(done, *([old, hook] if old is not None else []))
     if found is None:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        found = left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        found._saved_at = left._saved_at
+        return found
     discard(left)
     return found
 
@@ -57,59 +59,55 @@ def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callabl
     Pairs are compared only where their ends are in different groups so far.
 
     1. Buckets of up to ``RARE`` members are compared as they are; in larger
-       ones a few pivots meet all members, each member in one bucket alone.
-    2. In larger buckets that still hold several groups about ``PIVOTS``
-       pivots, the same in all buckets, meet all members.
-    3. Where they do so even then, ``deeper`` gives the members of buckets
-       without a majority finer buckets, in which all their links lie, and 1
-       follows.  In the others all members outside the bucket's largest group
-       meet all members, in blocks of ``BLOCK``: no link between groups is lost.
+       ones ``PIVOTS`` / 8 pivots or so meet all members, each member in one
+       bucket alone, and then ``PIVOTS`` in those that hold several groups yet.
+    2. Where they do so even then, the members outside of a bucket's largest
+       group meet all members, in blocks of ``BLOCK``.  Of buckets over
+       ``BLOCK`` without a majority ``deeper`` gives finer ones, in which all
+       their links lie, and 1 follows.  No link between groups is lost.
     """
     own = [c for c in members.columns if c not in ("b", "id")]
     label: DataFrame | None = None
-    links: list[DataFrame] = []
     rows, turn, level = members, 0, 0
 
     def pairs(one: DataFrame, two: DataFrame, on: list[str], apart: str) -> DataFrame:
-        """Pairs of a bucket that may be linked; each in the first bucket that both share."""
+        """Pairs of a bucket that may be linked; where ``bs``, first buckets of each, have some in common, in the first of these alone."""
         left = one.select(*on, *[F.col(c).alias("_" + c) for c in ("id", "c", "bs", *own)])
         both = left.join(two, on).where(f"_c <> c and {apart}").where(near(lambda c: F.col("_" + c), lambda c: F.col(c)))
-        return both.where("bs is null or _bs is null or b = array_min(array_intersect(_bs, bs))").select(F.least("_id", "id").alias("p"), F.greatest("_id", "id").alias("x"))
+        return both.where("bs is null or coalesce(b = array_min(array_intersect(_bs, bs)), true)").select(F.least("_id", "id").alias("p"), F.greatest("_id", "id").alias("x"))
 
     while True:
         named = rows.withColumn("c", F.col("id")) if label is None else rows.join(label.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
         sizes = save(named.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("b", "m"), "sizes")
         named = save(named.join(sizes, "b"), "buckets")
         if named.isEmpty():
-            discard(named, sizes)
+            discard(named, sizes, *([rows] if rows is not members else []))
             return label
-        made = [named, sizes]
+        made = [named, sizes] + ([rows] if rows is not members else [])
         large = named.where(F.col("m") > RARE)
         none = F.lit(None).cast("array<bigint>")
         pivot = lambda n: F.expr(f"pmod(xxhash64(id), shiftleft(1L, cast(greatest(ceil(log2(m / {n})), 0) as int))) = 0")
+        if turn < 2:
+            star = save(large.groupBy("id").agg(F.max_by(F.struct("b", "m", "c", *own), F.struct("m", "b")).alias("r")).select("id", "r.*").withColumn("bs", none), "stars")
+            made.append(star)
+            found = pairs(star.where(pivot(PIVOTS if turn else PIVOTS // 8 or 1)), star, ["b"], "_id <> id")
         if turn == 0:
             rare = named.where(F.col("m") <= RARE).withColumn("bs", none)
-            one = save(large.groupBy("id").agg(F.max_by(F.struct("b", "m", "c", *own), F.struct("m", "b")).alias("r")).select("id", "r.*").withColumn("bs", none), "stars")
-            made.append(one)
-            found = pairs(rare, rare, ["b"], "_id < id").unionByName(pairs(one.where(pivot(PIVOTS // 8 or 1)), one, ["b"], "_id <> id"))
-        elif turn == 1:
-            wide = save(large.join(large.groupBy("id").agg(F.collect_list("b").alias("bs")), "id"), "large")
-            made.append(wide)
-            found = pairs(wide.where(pivot(PIVOTS)), wide, ["b"], "_id <> id")
-        else:
+            found = found.unionByName(pairs(rare, rare, ["b"], "_id < id"))
+        if turn == 2:
+            split = f"m > {BLOCK} and 2 * held <= m"
             most = save(large.groupBy("b", "c").agg(F.count(F.lit(1)).alias("held")).groupBy("b").agg(F.max(F.struct("held", "c")).alias("top")).select("b", "top.held", F.col("top.c").alias("main")), "majorities")
             of = save(large.join(most, "b"), "open")
             made += [most, of]
-            finer = deeper(of.where("2 * held <= m").select("b", "id", *own), level) if deeper else None
-            stay = of.where("2 * held > m") if finer is not None else of
-            stay = stay.join(stay.groupBy("id").agg(F.collect_list("b").alias("bs")), "id")
+            finer = deeper(of.where(split).select("b", "id", *own), level) if deeper else None
+            stay = of.where(f"not ({split})") if finer is not None else of
+            stay = stay.join(stay.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("b")), 1, RARE).alias("bs")), "id")
             blocks = F.ceil(F.col("m") / BLOCK).cast("int")
             open_ = stay.where("c <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), blocks - 1)))
             found = pairs(open_, stay.withColumn("salt", F.pmod(F.xxhash64("id"), blocks).cast("int")), ["b", "salt"], "_id <> id")
         found = save(found.distinct(), "pairs")
         made.append(found)
         new = save(verify(found), "links")
-        links.append(new)
         all_ = new.select(F.col("p").alias("a"), F.col("x").alias("b"))
         if label is not None:  # what is known as edges to the roots
             all_ = all_.unionByName(label.select(F.col("node").alias("a"), F.col("root").alias("b")))
