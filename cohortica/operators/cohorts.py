@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortica.functions.expressions import hash_order, not_mild, quoted, truth
+from cohortica.operators.order import running, spare
 
 
 class Subsets(NamedTuple):
@@ -31,10 +32,10 @@ def cohort(df: DataFrame, condition: str, case: str, severity: str, mild: str, n
     return with_verdict(df, severity, mild, notmild).where(have & ((is_case == 0) | ((is_case == 1) & F.col("not_mild"))))
 
 
-def _ranked(df: DataFrame, id_: str, label: str, seed: int) -> DataFrame:
-    """n of the label, and the row's number within it in hash order."""
-    w = Window.partitionBy(label)
-    return df.withColumn("_r", F.row_number().over(w.orderBy(hash_order(seed, id_), quoted(id_)))).withColumn("_n", F.count(F.lit(1)).over(w))
+def _ranked(df: DataFrame, id_: str, label: str, seed: int) -> tuple[DataFrame, str]:
+    """With the rows that come before within the label in hash order, and the name of that column."""
+    hash_, place = spare(df.columns, "hash", "place")
+    return running(df.withColumn(hash_, hash_order(seed, id_)), [label], [hash_, id_], **{place: F.lit(1)}).drop(hash_), place
 
 
 def quotas(df: DataFrame, label: str, share: float) -> DataFrame:
@@ -51,8 +52,10 @@ def quotas(df: DataFrame, label: str, share: float) -> DataFrame:
 
 def stratified(df: DataFrame, id_: str, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds part: 'unseen' for the held-out rows, 'seen' for the others."""
-    ranked = _ranked(df.where(quoted(label).isNotNull()), id_, label, seed).join(F.broadcast(quotas(df, label, share)), label)
-    return ranked.withColumn("part", F.when(F.col("_r") <= F.col("quota"), "unseen").otherwise("seen")).drop("_r", "_n", "quota")
+    ranked, place = _ranked(df.where(quoted(label).isNotNull()), id_, label, seed)
+    of, quota = spare(ranked.columns, "of", "quota")
+    held = quotas(df, label, share).select(quoted(label).alias(of), F.col("quota").alias(quota))
+    return ranked.join(held, quoted(label) == F.col(of)).select(*[quoted(c) for c in df.columns], F.when(F.col(place) < F.col(quota), "unseen").otherwise("seen").alias("part"))
 
 
 def balanced(df: DataFrame, id_: str, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -61,12 +64,16 @@ def balanced(df: DataFrame, id_: str, label: str, share: float = 0.2, seed: int
     Each label gives half of round(n * share), half to even, or all that the scarcer one has.
     """
     n = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(quoted(label) == 1).alias("pos"), F.count_if(quoted(label) == 0).alias("neg"))
-    each = n.select(F.least(F.expr(f"cast(bround(n * {share}) as bigint) div 2"), "pos", "neg").alias("_each"))  # one row
-    return _ranked(df, id_, label, seed).crossJoin(F.broadcast(each)).withColumn("part", F.when((F.col("_r") <= F.col("_each")) & quoted(label).isin(0, 1), "val").otherwise("train")).drop("_r", "_n", "_each")
+    ranked, place = _ranked(df, id_, label, seed)
+    (most,) = spare(ranked.columns, "most")
+    each = n.select(F.least(F.expr(f"cast(bround(n * {share}) as bigint) div 2"), "pos", "neg").alias(most))  # one row
+    val = (F.col(place) < F.col(most)) & quoted(label).isin(0, 1)
+    return ranked.crossJoin(F.broadcast(each)).select(*[quoted(c) for c in df.columns], F.when(val, "val").otherwise("train").alias("part"))
 
 
 def sample_per_group(df: DataFrame, id_: str, label: str, rows: int, seed: int = 42) -> DataFrame:
-    return _ranked(df, id_, label, seed).where(F.col("_r") <= rows).drop("_r", "_n")
+    ranked, place = _ranked(df, id_, label, seed)
+    return ranked.where(F.col(place) < rows).drop(place)
 
 
 def rest(df: DataFrame, taken: DataFrame, id_: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortica.functions.expressions import numeric, quoted
+from cohortica.operators.order import percentiles
 
 
 def features_by_prefix(columns: list[str], prefix: str = "seq.") -> list[str]:
@@ -38,7 +39,8 @@ def vectors_to_long(df: DataFrame, vector: str, row_id: str, y) -> DataFrame:
 
 def medians(long: DataFrame) -> DataFrame:
     """Exact, per feature."""
-    return long.groupBy("feature").agg(F.median("value").alias("median"))
+    found = percentiles(long, ["feature"], "value", (0.5,)).select(F.col("feature").alias("of"), F.col("p0").alias("median"))
+    return long.select("feature").distinct().join(found, F.col("feature") == F.col("of"), "left").select("feature", "median")  # null where no value is known
 
 
 def impute(long: DataFrame, fitted: DataFrame | None = None) -> DataFrame:

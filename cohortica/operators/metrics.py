@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortica.operators.order import running
+
 
 def auc(scored: DataFrame, *by: str) -> DataFrame:
     """ROC-AUC as a rank statistic, ties at half.
@@ -13,8 +15,7 @@ def auc(scored: DataFrame, *by: str) -> DataFrame:
     distinct scores.
     """
     counts = scored.where("label is not null and score is not null").groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.withColumn("w", F.col("pos") * (below + F.col("neg") / 2))
+    wins = running(counts, list(by), ["score"], below=F.col("neg")).withColumn("w", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     total = F.sum("pos") * F.sum("neg")
     return wins.groupBy(*by).agg(F.when(total > 0, F.sum("w") / F.when(total > 0, total)).alias("auc"))
 

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortica.functions.expressions import quoted
+from cohortica.operators.order import percentiles
 
 
 def describe(long: DataFrame, percents: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:
     """Count, mean, std, min, percentiles (linear) and max of all values, as one row."""
-    p = F.percentile("value", F.array(*[F.lit(x) for x in percents]))
-    out = long.agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), p.alias("_p"), F.max("value").alias("max"))
-    return out.select("n", "mean", "std", "min", *[F.col("_p")[i].alias(f"p{round(x * 100)}") for i, x in enumerate(percents)], "max")
+    whole = long.agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    p = percentiles(long, [], "value", percents).drop("n")
+    return whole.crossJoin(F.broadcast(p)).select("n", "mean", "std", "min", *[F.col(f"p{i}").alias(f"p{round(x * 100)}") for i, x in enumerate(percents)], "max")  # a row each
 
 
 def group_means(long: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def correlation_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:
     n = df.where(quoted(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # a row per value
+    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).select(column, "n", (F.col("n") / F.col("all")).alias("share"))  # one row
 
 
 def crosstab(df: DataFrame, by: str, label: str) -> DataFrame:
@@ -80,10 +81,10 @@ def edge_histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
 
 def boxplot(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, and whiskers at the outermost values within 1.5 interquartile ranges."""
-    q = df.groupBy(by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = percentiles(df, [by], value, (0.25, 0.5, 0.75)).select(quoted(by).alias("of"), F.array("p0", "p1", "p2").alias("q"))
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
-    inside = df.join(F.broadcast(q), by).where((quoted(value) >= F.col("q")[0] - reach) & (quoted(value) <= F.col("q")[2] + reach))  # a row per group
-    return inside.groupBy(by).agg(F.first("q").alias("q"), F.min(value).alias("low"), F.max(value).alias("high")).select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"), "low", "high")
+    inside = df.select(quoted(by).alias(by), quoted(value).alias("value")).join(q, F.col(by).eqNullSafe(F.col("of"))).where((F.col("value") >= F.col("q")[0] - reach) & (F.col("value") <= F.col("q")[2] + reach))
+    return inside.groupBy(by).agg(F.first("q").alias("q"), F.min("value").alias("low"), F.max("value").alias("high")).select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"), "low", "high")
 
 
 def leaf_order(correlation: DataFrame) -> list[str]:

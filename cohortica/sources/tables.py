@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
 
 from cohortica.functions.expressions import quoted
+from cohortica.operators.order import written
 
 ANNOTATION = StructType([StructField(c, StringType()) for c in ("PROBEID", "SYMBOL", "UNIPROT", "GENENAME")])
 
@@ -36,7 +37,7 @@ def with_row_id(df: DataFrame, *order: str) -> DataFrame:
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = df.repartitionByRange(parts, *[quoted(c) for c in order]).sortWithinPartitions(*[quoted(c) for c in order])
-    made = made.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    made = written(made.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "rows")  # ranges are drawn from a sample: a second run may deal others
     counts = {r[0]: (r[1], r[2]) for r in made.groupBy("_p").agg(F.count(F.lit(1)), F.min("_i")).collect()}  # a row per partition
     before, rows = 0, []
     for p in sorted(counts):

@@ -223,3 +223,35 @@ def test_whole_queries_against_brute_force(spark, tmp_path, monkeypatch):
     for q in ("rf_grid", "gbt_grid"):
         queries.QUERIES[q](spark, d)
     assert grids == [{"rf": queries.models.RF_GRID}, {"gbt": queries.models.GBT_GRID}]
+
+
+def test_percentiles_and_running_sums(spark):
+    import numpy as np
+
+    from cohortica.operators import order
+
+    r = np.random.default_rng(4)
+    rows = [(g, None if r.random() < 0.1 else float(r.integers(0, 9))) for g in ("a", "b", None) for _ in range(200)] + [("c", 1.5), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {x["g"]: tuple(x)[1:] for x in order.percentiles(df, ["g"], "v", (0.25, 0.5, 0.9)).collect()}
+    for g in ("a", "b", None, "c"):
+        v = [x for h, x in rows if h == g and x is not None]
+        assert got[g][0] == len(v) and np.allclose(got[g][1:], np.percentile(v, [25, 50, 90]))
+    assert "d" not in got
+    one = order.percentiles(df, [], "v", (0.5,)).first()
+    assert one["p0"] == np.median([x for _, x in rows if x is not None])
+    assert order.percentiles(df.limit(0), [], "v", (0.5,)).collect() in ([], [(None, None)])
+    ids = spark.createDataFrame([(i, "x" if i % 3 else None, "y") for i in range(100)], "id bigint, g string, Range string")
+    placed = order.running(ids, ["g"], ["id"], place=F.lit(1)).collect()
+    assert {(x["id"], x["place"], x["Range"]) for x in placed} == {(i, (i // 3 if i % 3 == 0 else i - i // 3 - 1), "y") for i in range(100)}
+
+
+def test_splits_keep_columns_of_any_name(spark):
+    from cohortica.operators import cohorts
+
+    df = spark.createDataFrame([(i, i % 4 == 0, "h", "p", "q") for i in range(40)], "id bigint, y boolean, hash string, place string, quota string").withColumn("y", F.col("y").cast("int"))
+    for made in (cohorts.stratified(df, "id", "y"), cohorts.balanced(df, "id", "y")):
+        rows = made.collect()
+        assert len(rows) == 40 and all((x["hash"], x["place"], x["quota"]) == ("h", "p", "q") for x in rows)
+    assert cohorts.stratified(df, "id", "y").where("part = 'unseen'").groupBy("y").count().orderBy("y").collect() == [(0, 6), (1, 2)]
+    assert cohorts.sample_per_group(df, "id", "y", 3).columns == df.columns
