@@ -99,6 +99,8 @@ def repeats(docs: DataFrame, instances: Callable[[Chunk, np.ndarray], pa.RecordB
     small: compares the contexts of names with at most ``GROUP`` of them.  All others are cut into cells of ``cell`` windows with
     names of their own, and only windows of cells that still have several contexts are hashed one by one.
     """
+    if not 0 < width < SPAN:
+        raise ValueError(f"a window has 1 to {SPAN - 1} units")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -50,6 +50,7 @@ class Chunk:
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, rows: np.ndarray):
         self.data, self.offs, self.rows = data, offs, rows
+        self.known: dict = {}
 
     @property
     def n(self) -> int:
@@ -61,7 +62,15 @@ class Chunk:
             return self
         lens = np.diff(self.offs)
         offs = np.concatenate([[0], np.cumsum(lens[keep])])
-        return Chunk(self.data[np.repeat(keep, lens)], offs, self.rows[keep])
+        out = Chunk(self.data[np.repeat(keep, lens)], offs, self.rows[keep])
+        out.known = {f: x[keep] for f, x in self.known.items()}
+        return out
+
+    def count(self, f) -> np.ndarray:
+        """f(self), a number for each row, worked out once and kept when rows are left out."""
+        if f not in self.known:
+            self.known[f] = f(self)
+        return self.known[f]
 
     def per_row(self, flags: np.ndarray) -> np.ndarray:
         """Sum of a per-byte array over each row."""

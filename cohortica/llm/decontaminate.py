@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortica.llm._repeats import keyed
-from cohortica.llm._store import cut
+from cohortica.llm._store import cut, fresh, save, small
+from cohortica.llm._text import named
 
 WINDOW, GRAM = 10, 8
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,8 +77,9 @@ def _windows(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataF
     kept = cut(items.withColumn("f", let(F.col("w"), lambda w: let(grams(w, gram), lambda g: winnowed(g, reach + 1)))))
     sought = cut(kept.select(F.explode("f").alias("h")).distinct())
     marked = docs.select("k", F.explode_outer(let(words(F.col("text")), lambda w: let(grams(w, gram), lambda g: winnowed(g, reach + 1)))).alias("h"))
-    hits = cut(marked.join(sought, "h").groupBy("k").agg(F.collect_set("h").alias("hits")))  # at most the benchmark's hashes
-    found = docs.join(hits, "k").groupBy("k").agg(F.first("text").alias("text"), F.first("hits").alias("hits"))
+    hits = save(marked.join(sought, "h").groupBy("k").agg(F.collect_set("h").alias("hits")), "hits")  # at most the benchmark's hashes
+    some = docs.join(small(hits.select("k")), "k", "left_semi")  # while documents with hits are few, no other text is shuffled
+    found = some.join(hits, "k").groupBy("k").agg(F.first("text").alias("text"), F.first("hits").alias("hits"))
     d = found.select("k", F.explode(let(words(F.col("text")), lambda w: _around(w, gram, window, F.col("hits")))).alias("x"))
     d = d.select("k", F.col("x.h").alias("h"), F.col("x.i").alias("di"), F.col("x.lead").alias("dl"), F.col("x.around").alias("da"))
     b = kept.select("item_id", F.explode(_around(F.col("w"), gram, window, F.col("f"))).alias("x"))
@@ -115,7 +116,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sorted, comma-joined) and contaminated.  Null texts and items have no
     words; an item without an item_id counts for n_hit alone.
     """
-    rows = keyed(docs)
+    rows = named(docs)
     spans = occurrences(rows, benchmark)
     counted = rows.select("doc_id", "k", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     empty = F.sha2(F.lit(""), 256)
@@ -138,8 +139,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark, as they are; null texts stay."""
-    rows = docs.withColumn("_k", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    spans = occurrences(keyed(docs), benchmark)
+    spans = occurrences(named(docs), benchmark)
     if spans is None:
         return docs
-    return rows.join(spans.select(F.col("k").alias("_k")).distinct(), "_k", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    (key,) = fresh(docs.columns, "k")
+    hit = save(spans.select(F.col("k").alias(key)).distinct(), "contaminated")
+    return docs.withColumn(key, named(docs, only_name=True)).join(small(hit), key, "left_anti").drop(key)

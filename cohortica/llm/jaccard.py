@@ -52,8 +52,11 @@ def shingles(c: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
                     acc = mix(np.array([acc]))[0] + h
                 whole.append(mix(np.array([acc + U(int(n[i])) * _C]))[0])
         row, name = np.concatenate([row, short]), np.concatenate([name, np.array(whole, U)])
-    order = np.lexsort((name, row))
-    row, name = row[order], name[order]
+        order = np.argsort(row, kind="stable")
+        row, name = row[order], name[order]
+    ends = np.cumsum(np.bincount(row, minlength=c.n))
+    for a, b in zip(ends - np.diff(ends, prepend=0), ends, strict=True):
+        name[a:b].sort()
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (name[1:] != name[:-1])
     return row[new], name[new]
@@ -78,10 +81,10 @@ def _chunk_sets(c: Chunk, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, p
     """Rows and shingles of a chunk, sizes of the sets and their names."""
     row, name = shingles(c, k)
     n = np.bincount(row, minlength=c.n)
-    total = np.zeros((2, c.n), U)
-    np.add.at(total[0], row, mix(name ^ _C))
-    np.add.at(total[1], row, mix(name + _C))
-    return row, name, n, _names(mix(total[0] + n.astype(U)), mix(total[1] ^ n.astype(U)))
+    ends = np.cumsum(n)
+    total = (np.concatenate([np.zeros(1, U), np.cumsum(mix(x), dtype=U)]) for x in (name ^ _C, name + _C))
+    one, two = (t[ends] - t[ends - n] for t in total)
+    return row, name, n, _names(mix(one + n.astype(U)), mix(two ^ n.astype(U)))
 
 
 def sets(docs: DataFrame, k: int, percent: int, part: float) -> DataFrame:
@@ -101,9 +104,8 @@ def sets(docs: DataFrame, k: int, percent: int, part: float) -> DataFrame:
                 rank = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 more = ~low & (rank < reach[row]) & social[row]
                 low &= social[row]
-                bits = np.zeros((c.n, 256), np.uint8)
-                np.bitwise_xor.at(bits, (row, (name >> U(40) & U(255)).astype(np.int64)), 1)
-                map_ = np.packbits(bits, axis=1).view(np.int64)
+                bits = np.bincount(row * 256 + (name >> U(40) & U(255)).astype(np.int64), minlength=256 * c.n) & 1
+                map_ = np.packbits(bits.astype(np.uint8).reshape(c.n, 256), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").slice(int(c.rows[0]), c.n),

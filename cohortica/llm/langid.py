@@ -9,12 +9,12 @@ precomputed row of class scores per n-gram.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ from cohortica.llm._text import Chunk, chunks
 BITS = 15
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
-_ANY_LETTER = re.compile(r"[^\W\d_]")
+_ANY_LETTER = regex.compile(r"\p{L}")
 
 
 def ngram_buckets(c: Chunk) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -89,7 +89,7 @@ def train(texts: list[str], labels: list[str], dims: int = 16, epochs: int = 6,
     """Learn from texts with labels; every fifth row calibrates and does not train.
 
     ``lost``: the share of rightly labelled calibration rows that may score
-    below the rejection threshold.
+    below 10/9 of the rejection threshold.
     """
     langs = sorted(set(labels))
     if not langs:
@@ -131,16 +131,19 @@ def train(texts: list[str], labels: list[str], dims: int = 16, epochs: int = 6,
     p = prob(t)
     right = p.max(axis=1)[p.argmax(axis=1) == truth] if len(truth) else np.zeros(0)
     cut = float(np.quantile(right, lost)) if len(right) else 0.0
-    return Model(langs, np.ascontiguousarray(table.T.astype(np.float32)), bias.astype(float), float(t), min(0.5, cut * 0.9))
+    return Model(langs, np.ascontiguousarray(table.T.astype(np.float32)), bias.astype(float), float(t), cut * 0.9)
 
 
 def remainder():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
 
 
-def fit(docs: DataFrame, max_rows: int = 2000) -> Model:
-    """A model from at most ``max_rows`` labelled rows, never of those held out (those of smallest hash)."""
-    learn = docs.where("text is not null and lang is not null and doc_id is not null").where(remainder() != 2)
+def fit(docs: DataFrame, max_rows: int = 2000, max_chars: int = 50_000) -> Model:
+    """A model from at most ``max_rows`` labelled rows of up to ``max_chars`` characters (so 100 M in all), never of those held out.
+
+    They are those of smallest hash.  Only learning is bounded: prediction reads every whole text.
+    """
+    learn = docs.where("text is not null and lang is not null and doc_id is not null").where(remainder() != 2).where(F.length("text") <= max_chars)
     rows = smallest(learn.select("doc_id", "text", "lang"), F.xxhash64("doc_id"), max_rows).collect()
     rows.sort(key=lambda r: (str(r["doc_id"]), r["text"], r["lang"]))  # an order of its own, whatever the partitions
     return train([r["text"] for r in rows], [r["lang"] for r in rows])

@@ -217,9 +217,20 @@ def shards(ordered: DataFrame, length: int = 512, per_shard: int = 1024) -> Data
     )
 
 
-def write_shards(table: DataFrame, path: str) -> None:
-    """The shards, by number, as a table that ``read_slots`` reads."""
-    table.write.mode("overwrite").parquet(path)
+def write_shards(table: DataFrame, path: str, waves: int = 8) -> None:
+    """The shards, by number, as a table that ``read_slots`` reads; goes on where an earlier call was broken off.
+
+    Ranges of shards are written one after the other, each committed by Spark
+    as a whole or not at all.  A later call with the same table, made from the
+    same files, leaves out the shards that are there.
+    """
+    spark = table.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    if there:
+        table = table.join(spark.read.parquet(path).select("shard"), "shard", "left_anti")
+    for i in range(waves):
+        table.where(F.pmod("shard", F.lit(waves)) == i).write.mode("append").parquet(path)
 
 
 def read_slots(spark, path: str, first: int, count: int, per_shard: int = 1024) -> DataFrame:

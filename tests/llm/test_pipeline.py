@@ -45,3 +45,21 @@ def test_stages_against_brute_force(spark):
     model = langid.fit(docs)
     said = langid.identify(docs, model).where("not rejected").count()
     assert langid.identified(docs, model).count() == said
+
+
+def test_stages_on_empty_tables_nulls_and_clashing_columns(spark, tmp_path):
+    spark.createDataFrame([(1, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    more = "k string, _k string, S string, gone string, rest string, id bigint, b string, cluster string"
+    schema = f"doc_id bigint, text string, lang string, source string, n_chars bigint, {more}"
+    own = ("1", "2", "3", "4", "5", 6, "7", "8")
+    words = lambda i: " ".join(f"{w}{j}" for j, w in enumerate(["alpha", "beta", "gamma", "delta"] * 8 if i % 2 else ["eins", "zwei", "drei"] * 9))
+    rows = [(i, words(i) + f" end {i}", "en" if i % 2 else "de", None, None, *own) for i in range(40)]
+    rows += [(None, "alpha beta gamma delta alpha", None, "s", 3, *own), (None, None, None, None, None, *own), (41, "", "en", "s", 0, *own), (42, " ", None, None, None, *own), (1, rows[1][1], "en", None, None, *own), rows[0]]
+    for data in (rows, []):
+        now = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = corpus_pipeline.save(stage(spark, now, str(tmp_path)), name)
+            assert now.schema.names == [f.split()[0] for f in schema.split(", ")]
+            assert {tuple(r)[5:] for r in now.collect()} <= {own}
+        bins = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+        assert sorted(str(d) for b in bins.collect() for d in b["doc_ids"]) == sorted(str(r["doc_id"]) for r in now.collect())
