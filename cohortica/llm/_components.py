@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortica.llm._store import discard, save
+from cohortica.llm._store import SMALL_ROWS, discard, gathered, save, small
 
 DOUBLINGS = 2
 RARE, PIVOTS, BLOCK = 64, 64, 4096
@@ -24,22 +24,24 @@ def components(edges: DataFrame) -> DataFrame:
     left = save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     found: DataFrame | None = None
     while not left.isEmpty():
-        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = gathered(left)
+        both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "hooks")
-        hook = first
+        hook = gathered(first)
         for _ in range(DOUBLINGS):
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
             hook = hook.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         hook = save(hook, "hooks")
         discard(first)
+        to = gathered(hook)
         if found is None:
             found, old = hook, None
         else:
-            old, up = found, hook.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            found = save(found.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
-        a = hook.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        b = hook.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        done, left = left, save(left.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+            old, up = found, to.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            found = save(gathered(found).join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+        a = to.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        b = to.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        done, left = left, save(near.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
         discard(done, *([old, hook] if old is not None else []))
     if found is None:
         found = left.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -49,6 +51,14 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
+def of_pairs(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of a table whose id is in a pair (p, x), where pairs are so few that their ids may be broadcast; else all."""
+    if 2 * pairs.count() > SMALL_ROWS:
+        return table
+    ids = pairs.select(F.explode(F.array("p", "x")).alias("id")).distinct()
+    return table.join(F.broadcast(ids), "id", "left_semi")
+
+
 def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], deeper: Callable[[DataFrame, int], DataFrame | None] | None = None) -> DataFrame | None:
     """Groups of the nodes that links connect; a link lies between two members of a bucket.
 
@@ -77,18 +87,19 @@ def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callabl
         return both.where("bs is null or coalesce(b = array_min(array_intersect(_bs, bs)), true)").select(F.least("_id", "id").alias("p"), F.greatest("_id", "id").alias("x"))
 
     while True:
-        named = rows.withColumn("c", F.col("id")) if label is None else rows.join(label.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
+        named = rows.withColumn("c", F.col("id")) if label is None else rows.join(small(label).select(F.col("node").alias("id"), "root"), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
         sizes = save(named.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("b", "m"), "sizes")
-        named = save(named.join(sizes, "b"), "buckets")
+        named = save(named.join(small(sizes), "b"), "buckets")
         if named.isEmpty():
             discard(named, sizes, *([rows] if rows is not members else []))
             return label
         made = [named, sizes] + ([rows] if rows is not members else [])
-        large = named.where(F.col("m") > RARE)
+        large = save(named.where(F.col("m") > RARE), "large")
+        made.append(large)
         none = F.lit(None).cast("array<bigint>")
         pivot = lambda n: F.expr(f"pmod(xxhash64(id), shiftleft(1L, cast(greatest(ceil(log2(m / {n})), 0) as int))) = 0")
         if turn < 2:
-            star = save(large.groupBy("id").agg(F.max_by(F.struct("b", "m", "c", *own), F.struct("m", "b")).alias("r")).select("id", "r.*").withColumn("bs", none), "stars")
+            star = save(gathered(large).groupBy("id").agg(F.max_by(F.struct("b", "m", "c", *own), F.struct("m", "b")).alias("r")).select("id", "r.*").withColumn("bs", none), "stars")
             made.append(star)
             found = pairs(star.where(pivot(PIVOTS if turn else PIVOTS // 8 or 1)), star, ["b"], "_id <> id")
         if turn == 0:
@@ -97,7 +108,7 @@ def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callabl
         if turn == 2:
             split = f"m > {BLOCK} and 2 * held <= m"
             most = save(large.groupBy("b", "c").agg(F.count(F.lit(1)).alias("held")).groupBy("b").agg(F.max(F.struct("held", "c")).alias("top")).select("b", "top.held", F.col("top.c").alias("main")), "majorities")
-            of = save(large.join(most, "b"), "open")
+            of = save(large.join(small(most), "b"), "open")
             made += [most, of]
             finer = deeper(of.where(split).select("b", "id", *own), level) if deeper else None
             stay = of.where(f"not ({split})") if finer is not None else of

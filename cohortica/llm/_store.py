@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a table of a few numbers that may be broadcast (tens of MB); a larger one is joined by a shuffle.
 SMALL_ROWS = 1_000_000
+#: Rows of such a table that one task may hold, which spares the exchanges between many steps.
+FEW_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +63,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """A saved table of few columns in one task, if its counted rows are ``FEW_ROWS`` at most."""
+    return df.coalesce(1) if df.count() <= FEW_ROWS else df
+
+
 def fresh(columns: Iterable[str], *names: str) -> list[str]:
     """The names with underscores before them until no column has them, in upper or lower case."""
     taken, out = {c.lower() for c in columns}, []

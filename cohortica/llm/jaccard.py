@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortica.llm._components import connect
+from cohortica.llm._components import connect, of_pairs
 from cohortica.llm._store import discard, fresh, save, small
 from cohortica.llm._text import Chunk, U, chunks, mix, named
 
@@ -131,7 +131,7 @@ def ordered(nodes: DataFrame, percent: int) -> DataFrame:
     """
     tokens = nodes.select("id", F.explode("first").alias("t"))
     often = save(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "tokens")
-    seen = tokens.join(small(often), "t")
+    seen = tokens.join(often, "t")  # grows with the corpus, so it is joined alike at every size
     listed = seen.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("shared"))
     both = nodes.select("id", "n", "more", F.size("first").alias("m")).where("m + size(more) > 0").join(listed, "id", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<bigint>")))
     prefix = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
@@ -171,15 +171,16 @@ def _groups(rows: DataFrame, k: int, percent: int, part: float) -> tuple[DataFra
     lists = ordered(nodes, percent)
     members = save(lists.where("room > 0").select("id", F.posexplode(F.slice("list", F.lit(1), F.col("room"))).alias("at", "b")).join(attrs, "id"), "members")
     many = save(members.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("b"), "many")
-    members, alone = save(members.join(many, "b"), "members"), members
+    members, alone = save(members.join(small(many), "b"), "members"), members
     ids = save(members.select("id").distinct(), "ids")
-    some = nodes.join(ids, "id").select("id", "s", "k")
+    some = nodes.join(small(ids), "id").select("id", "s", "k")
     keys = save(some.select("k"), "keys")
     tokens = save(some.select("id", "s").join(whole(rows, keys, k).dropDuplicates(["s"]), "s").select("id", "tokens"), "tokens")
     discard(alone, many, ids, keys)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        of = lambda c: tokens.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}"))
+        some = of_pairs(tokens, pairs)
+        of = lambda c: some.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}"))
         both = pairs.join(of("x"), "x").join(of("p"), "p").select("p", "x", F.size("tp").alias("n"), F.size("tx").alias("m"), F.size(F.array_intersect("tp", "tx")).alias("i"))
         return both.where(f"100L * i >= {percent} * (n + m - i)").select("p", "x")
 
@@ -194,7 +195,7 @@ def _groups(rows: DataFrame, k: int, percent: int, part: float) -> tuple[DataFra
     if label is None:
         roots = save(nodes.select("s", F.col("id").alias("root")), "groups")
     else:
-        roots = save(nodes.select("s", "id").join(label.select(F.col("node").alias("id"), "root"), "id", "left").select("s", F.coalesce("root", "id").alias("root")), "groups")
+        roots = save(nodes.select("s", "id").join(small(label).select(F.col("node").alias("id"), "root"), "id", "left").select("s", F.coalesce("root", "id").alias("root")), "groups")
         discard(label)
     slim = save(found.select("doc_id", "k", "n", "s"), "found")
     discard(found, nodes, lists, members, tokens)
