@@ -59,7 +59,7 @@ def of_pairs(table: DataFrame, pairs: DataFrame) -> DataFrame:
     return table.join(F.broadcast(ids), "id", "left_semi")
 
 
-def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], deeper: Callable[[DataFrame, int], DataFrame | None] | None = None) -> DataFrame | None:
+def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], deeper: Callable[[DataFrame, int], DataFrame | None] | None = None, rare: int | None = None, pivots: int | None = None) -> DataFrame | None:
     """Groups of the nodes that links connect; a link lies between two members of a bucket.
 
     members: b (bucket), id and whatever ``near`` looks at, a cheap test that
@@ -68,14 +68,15 @@ def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callabl
 
     Pairs are compared only where their ends are in different groups so far.
 
-    1. Buckets of up to ``RARE`` members are compared as they are; in larger
-       ones ``PIVOTS`` / 8 pivots or so meet all members, each member in one
-       bucket alone, and then ``PIVOTS`` in those that hold several groups yet.
+    1. Buckets of up to ``rare`` members are compared as they are; in larger
+       ones ``pivots`` / 8 pivots or so meet all members, each member in one
+       bucket alone, and then ``pivots`` in those that hold several groups yet.
     2. Where they do so even then, the members outside of a bucket's largest
        group meet all members, in blocks of ``BLOCK``.  Of buckets over
        ``BLOCK`` without a majority ``deeper`` gives finer ones, in which all
        their links lie, and 1 follows.  No link between groups is lost.
     """
+    rare, pivots = rare or RARE, pivots or PIVOTS
     own = [c for c in members.columns if c not in ("b", "id")]
     label: DataFrame | None = None
     rows, turn, level = members, 0, 0
@@ -94,17 +95,17 @@ def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callabl
             discard(named, sizes, *([rows] if rows is not members else []))
             return label
         made = [named, sizes] + ([rows] if rows is not members else [])
-        large = save(named.where(F.col("m") > RARE), "large")
+        large = save(named.where(F.col("m") > rare), "large")
         made.append(large)
         none = F.lit(None).cast("array<bigint>")
         pivot = lambda n: F.expr(f"pmod(xxhash64(id), shiftleft(1L, cast(greatest(ceil(log2(m / {n})), 0) as int))) = 0")
         if turn < 2:
             star = save(gathered(large).groupBy("id").agg(F.max_by(F.struct("b", "m", "c", *own), F.struct("m", "b")).alias("r")).select("id", "r.*").withColumn("bs", none), "stars")
             made.append(star)
-            found = pairs(star.where(pivot(PIVOTS if turn else PIVOTS // 8 or 1)), star, ["b"], "_id <> id")
+            found = pairs(star.where(pivot(pivots if turn else pivots // 8 or 1)), star, ["b"], "_id <> id")
         if turn == 0:
-            rare = named.where(F.col("m") <= RARE).withColumn("bs", none)
-            found = found.unionByName(pairs(rare, rare, ["b"], "_id < id"))
+            few = named.where(F.col("m") <= rare).withColumn("bs", none)
+            found = found.unionByName(pairs(few, few, ["b"], "_id < id"))
         if turn == 2:
             split = f"m > {BLOCK} and 2 * held <= m"
             most = save(large.groupBy("b", "c").agg(F.count(F.lit(1)).alias("held")).groupBy("b").agg(F.max(F.struct("held", "c")).alias("top")).select("b", "top.held", F.col("top.c").alias("main")), "majorities")

@@ -206,8 +206,8 @@ def edited_lines(seed, lengths):
 
 @pytest.mark.parametrize("rare", [64, 2])
 def test_lines_against_edit_distance_alone(spark, monkeypatch, rare):
-    monkeypatch.setattr(_components, "RARE", rare)
-    monkeypatch.setattr(_components, "PIVOTS", rare)
+    monkeypatch.setattr(lines, "RARE", rare)
+    monkeypatch.setattr(lines, "PIVOTS", rare)
     for lengths, least in (([20] * 12, 0.9), ([60] * 4 + [150] * 2, 0.95)):
         texts = edited_lines(5, lengths)
         root = line_groups(texts)
