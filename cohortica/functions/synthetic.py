@@ -48,6 +48,24 @@ def truths(rho: float = 0.95, shifts: tuple[float, ...] = (1.5, 1.0)) -> dict[st
     return out
 
 
+def xor_nuisance_truths(rho: float = 0.95, shift: float = 1.5) -> dict[str, float]:
+    """The 13 quantities of ``xor_nuisance``."""
+    t = truths(rho, (shift,))
+    none = dict.fromkeys(("I(X1;Y)", "I(X2;Y)", "I(X1;X2)", "I(X3;Y)", "I(X4;Y)", "I(X5;Y)"), 0.0)
+    joint = dict.fromkeys(("I(X1,X2;Y)", "I(X1;X2|Y)", "I(X1;Y|X2)"), t["xor joint"])
+    return none | joint | dict.fromkeys(("I(X3;X4)", "I(X3;X4|Y)"), t["correlated"]) | {"I(X6;Y)": t[f"shift {shift:g}"], "II(X1;X2;Y)": t["xor interaction"]}
+
+
+def paired_truths(shifts: tuple[float, float] = (1.5, 1.0)) -> dict[str, float]:
+    """The 18 quantities of ``paired``."""
+    t = truths(0.0, shifts)
+    out = {f"I(X{i};Y)": 0.0 for i in (1, 2, 5, 6, 7, 8)} | {"I(X1,X2;Y)": t["xor joint"], "II(X5;X6;Y)": 0.0}
+    out |= {f"II(X{i};X{i + 1};Y)": t["xor interaction"] for i in (1, 7)}
+    for s, i in zip(shifts, (3, 9), strict=True):
+        out |= {f"I(X{i};Y)": t[f"shift {s:g}"], f"I(X{i + 1};Y)": t[f"shift {s:g}"], f"I(X{i},X{i + 1};Y)": t[f"shift {s:g} pair"], f"II(X{i};X{i + 1};Y)": t[f"shift {s:g} interaction"]}
+    return out
+
+
 def errors(estimates: DataFrame, truth: dict[str, float]) -> DataFrame:
     """(quantity, estimate) with the truth and the absolute error; null where there is no truth."""
     spark = estimates.sparkSession

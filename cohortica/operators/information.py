@@ -67,9 +67,9 @@ def _estimate(vectors: DataFrame, jobs: list[tuple], schema: str, columns: list[
 
 
 def pair_information(vectors: DataFrame, pairs: list[tuple[int, int]], k: int = 3, method: str = "npeet") -> DataFrame:
-    """f1, f2, mi between continuous features."""
+    """f1, f2, mi between continuous features; 'metric' is another name of the nearest-neighbour estimator of 'npeet'."""
     sk = method == "sklearn"
-    if method not in ("npeet", "sklearn"):
+    if method not in ("npeet", "sklearn", "metric"):
         raise ValueError(f"unknown method {method!r}")
     return _estimate(vectors, [(p, *p) for p in pairs], "f1 int, f2 int", ["f1", "f2"], lambda x, y, _: nn.mi_ksg(x[:, 0], x[:, 1], k, clip=sk, scale=sk))
 
@@ -78,7 +78,7 @@ def joint_information(vectors: DataFrame, sets: list[tuple[int, ...]], k: int =
     """Of sets of features with the label."""
     if method == "sklearn":
         raise NotImplementedError("joint information has no such estimator")
-    if method != "npeet":
+    if method not in ("npeet", "metric"):
         raise ValueError(f"unknown method {method!r}")
     return _estimate(vectors, [(s, "+".join(map(str, s))) for s in sets], "fs string", ["fs"], lambda x, y, _: nn.mi_class_entropy(x, y, k))
 
@@ -87,6 +87,8 @@ def joint_information_cc(vectors: DataFrame, sets: list[tuple[int, ...]], k: int
     """Of sets of features with the last one of each, continuous."""
     if method == "sklearn":
         raise NotImplementedError("joint information has no such estimator")
+    if method not in ("npeet", "metric"):
+        raise ValueError(f"unknown method {method!r}")
     return _estimate(vectors, [(s, "+".join(map(str, s))) for s in sets], "fs string", ["fs"], lambda x, y, _: nn.mi_ksg(x[:, :-1], x[:, -1], k))
 
 
@@ -103,6 +105,26 @@ def _by_class(x: np.ndarray, y: np.ndarray, k: int, scale: bool) -> float:
     return sum((y == c).mean() * nn.mi_ksg(x[y == c, 0], x[y == c, 1], k, clip=scale, scale=scale) for c in np.unique(y) if (y == c).sum() > k)
 
 
+def class_conditional_information(vectors: DataFrame, pairs: list[tuple[int, int]], k: int = 3, method: str = "npeet") -> DataFrame:
+    """I(a; b | label) of pairs of continuous features: the mean over the classes, each by its share."""
+    if method not in ("npeet", "sklearn", "metric"):
+        raise ValueError(f"unknown method {method!r}")
+    return _estimate(vectors, [(p, *p) for p in pairs], "f1 int, f2 int", ["f1", "f2"], lambda x, y, _: _by_class(x, y, k, method == "sklearn"))
+
+
+def by_marginals(marginals: DataFrame, joint: DataFrame) -> DataFrame:
+    """f1, f2, mi: interaction information from what is known.
+
+    marginals: f, mi, the information of single features with the target, worked
+    out once for all pairs; joint: fs ('a+b', or 'a+b+c' with the target last),
+    mi, that of the pairs.
+    """
+    a, b = (marginals.select(F.col("f").cast("int").alias(c), F.col("mi").alias(f"mi_{c}")) for c in ("f1", "f2"))
+    parts = F.split("fs", r"\+")
+    pairs = joint.select(parts[0].cast("int").alias("f1"), parts[1].cast("int").alias("f2"), "mi")
+    return pairs.join(a, "f1").join(b, "f2").select("f1", "f2", (F.col("mi_f1") + F.col("mi_f2") - F.col("mi")).alias("mi"))
+
+
 def interaction_ccd(vectors: DataFrame, pairs: list[tuple[int, int]], k: int = 3, method: str = "npeet") -> DataFrame:
     """Interaction information of two features and the label; synergy is negative.
 

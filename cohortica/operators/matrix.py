@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from itertools import combinations, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,16 @@ def features_by_pattern(columns: list[str], pattern: str = "^seq") -> list[str]:
     return [c for c in columns if re.search(pattern, c)]
 
 
+def sample_features(names: list[str], n: int, seed: int = 42) -> list[str]:
+    """At most n of the names, without replacement: those first in the order of md5 of 'seed|name'."""
+    return sorted(names, key=lambda x: (hashlib.md5(f"{seed}|{x}".encode()).hexdigest(), x))[:n]
+
+
+def feature_pairs(names: list[str], most: int = 15) -> list[tuple[str, str]]:
+    """The first pairs of different names, in their order."""
+    return list(islice(combinations(names, 2), most))
+
+
 def to_long(df: DataFrame, features: list[str], row_id: str, y) -> DataFrame:
     """Only the columns needed are read; names come from a literal array, so wide tables stay one projection."""
     values = F.posexplode(F.array(*[numeric(quoted(c)) for c in features])).alias("feat_ord", "value")

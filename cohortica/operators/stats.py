@@ -21,9 +21,15 @@ def group_means(long: DataFrame) -> DataFrame:
     return long.groupBy("feature", "feat_ord").agg(F.avg(F.when(F.col("y") == 1, F.col("value"))).alias("mean_pos"), F.avg(F.when(F.col("y") == 0, F.col("value"))).alias("mean_neg"))
 
 
-def top_difference(long: DataFrame, k: int = 6) -> DataFrame:
+def ranked_difference(long: DataFrame, k: int = 6) -> DataFrame:
+    """rank (from 1), feature, abs_diff of the k features whose group means differ most."""
     out = group_means(long).withColumn("abs_diff", F.abs(F.col("mean_pos") - F.col("mean_neg")))
-    return out.orderBy(F.desc_nulls_last(F.round("abs_diff", 9)), "feat_ord").limit(k).select("feature", "abs_diff")
+    order = [F.desc_nulls_last(F.round("abs_diff", 9)), F.col("feat_ord")]
+    return out.orderBy(*order).limit(k).select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "feature", "abs_diff")  # k rows
+
+
+def top_difference(long: DataFrame, k: int = 6) -> DataFrame:
+    return ranked_difference(long, k).select("feature", "abs_diff")
 
 
 def correlations(imputed: DataFrame, features: list[str] | None = None) -> DataFrame:

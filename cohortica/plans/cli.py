@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,12 +84,17 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--processed-dir", required=True)
     one.add_argument("--test-size", type=float, default=0.20)
     one.add_argument("--random-state", type=int, default=42)
+    one.add_argument("--log-dir", default="logs")
+    one.add_argument("--log-subdir", default="")
     for name in ("ttest", "mi", "classify"):
         c = sub.add_parser(name)
         c.add_argument("--data-path", required=True)
         c.add_argument("--results-dir", default="results")
+        c.add_argument("--results-subdir", default="")
         c.add_argument("--save-results", action="store_true")
         c.add_argument("--random-state", type=int, default=42)
+        c.add_argument("--log-dir", default="logs")
+        c.add_argument("--log-subdir", default="")
         if name == "classify":
             c.add_argument("--unseen-path", required=True)
             c.add_argument("--features-path", required=True)
@@ -107,8 +113,19 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
+    if getattr(a, "results_subdir", ""):
+        a.results_dir = f"{a.results_dir}/{a.results_subdir}"
+    folder = Path(a.log_dir, a.log_subdir)  # the driver's own log
+    folder.mkdir(parents=True, exist_ok=True)
     logging.basicConfig(level=logging.INFO)
-    {"preprocess": preprocess, "ttest": ttest, "mi": mi, "classify": classify}[a.command](spark or SparkSession.builder.appName("cohortica").getOrCreate(), a)
+    file = logging.FileHandler(folder / f"{a.command}.log")
+    file.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    log.addHandler(file)
+    try:
+        {"preprocess": preprocess, "ttest": ttest, "mi": mi, "classify": classify}[a.command](spark or SparkSession.builder.appName("cohortica").getOrCreate(), a)
+    finally:
+        log.removeHandler(file)
+        file.close()
 
 
 if __name__ == "__main__":

@@ -22,14 +22,18 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~F.isnan(quoted(f.name)), quoted(f.name)).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else quoted(f.name) for f in df.schema])
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """Header, inferred types unless a schema is given; NaN, NA and empty fields are null."""
+def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, index: str | None = None) -> DataFrame:
+    """Header, inferred types unless a schema is given; NaN, NA and empty fields are null.
+
+    ``index`` renames the first column of a file that was written with its row
+    names; without it the first column is data like any other.
+    """
     reader = spark.read.option("header", True).option("nanValue", "__none__").option("nullValue", "NaN")
     df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     text = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
     for c in text:
         df = df.withColumn(c, F.when(~quoted(c).isin("NA", "nan", ""), quoted(c)))
-    return nan_to_null(df)
+    return nan_to_null(df.toDF(index, *df.columns[1:]) if index else df)
 
 
 def with_row_id(df: DataFrame, *order: str) -> DataFrame:

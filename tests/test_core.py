@@ -162,13 +162,13 @@ def test_command_line(spark, tmp_path):
         ards = i % 2 == 0
         lines.append(f"{i % 10 != 0},{ards},{'severe' if ards and i % 4 else 'mild' if ards else ''},,,{g.normal() + 3 * ards:.4f},{g.normal():.4f}")
     (tmp_path / "raw.csv").write_text("\n".join(lines))
-    cli.main(["preprocess", "--raw-path", str(tmp_path / "raw.csv"), "--processed-dir", str(tmp_path)], spark)
+    cli.main(["preprocess", "--raw-path", str(tmp_path / "raw.csv"), "--processed-dir", str(tmp_path), "--log-dir", str(tmp_path / "logs")], spark)
     seen = tables.read_csv(spark, str(tmp_path / "seen"))
     assert seen.where("not Sepsis").count() == 0 and seen.count() > 40
     out = str(tmp_path / "out")
-    cli.main(["ttest", "--data-path", str(tmp_path / "seen"), "--results-dir", out, "--save-results", "--k", "1"], spark)
+    cli.main(["ttest", "--data-path", str(tmp_path / "seen"), "--results-dir", out, "--save-results", "--log-dir", str(tmp_path / "logs"), "--k", "1"], spark)
     assert tables.read_features(spark, f"{out}/selected_features_k1") == ["seq.1.1"]
-    cli.main(["mi", "--data-path", str(tmp_path / "seen"), "--results-dir", out, "--save-results", "--k", "1", "--n-perm", "9"], spark)
+    cli.main(["mi", "--data-path", str(tmp_path / "seen"), "--results-dir", out, "--save-results", "--log-dir", str(tmp_path / "logs"), "--k", "1", "--n-perm", "9"], spark)
     assert tables.read_csv(spark, f"{out}/results_mi_uni_test").count() == 2
 
 
@@ -255,3 +255,48 @@ def test_splits_keep_columns_of_any_name(spark):
         assert len(rows) == 40 and all((x["hash"], x["place"], x["quota"]) == ("h", "p", "q") for x in rows)
     assert cohorts.stratified(df, "id", "y").where("part = 'unseen'").groupBy("y").count().orderBy("y").collect() == [(0, 6), (1, 2)]
     assert cohorts.sample_per_group(df, "id", "y", 3).columns == df.columns
+
+
+def test_grids_and_halving(spark, monkeypatch):
+    from cohortica.operators import models
+
+    assert [len(models.candidates(g)) for g in (models.LR_GRID, models.RF_GRID, models.GBT_GRID)] == [4, 96, 384]
+    tried = []
+    monkeypatch.setattr(models, "fit", lambda family, params, train, seed: tried.append(params) or params)
+    monkeypatch.setattr(models, "evaluate", lambda model, rows: (model["maxDepth"] * 100 + model["minInstancesPerNode"] + model["maxIter"] / 1000, 0.0))
+    best = models.search("gbt", models.GBT_GRID, None, None)
+    assert (best["maxDepth"], best["minInstancesPerNode"], best["maxIter"]) == (4, 10, 600)
+    assert sum(p["maxIter"] == 20 for p in tried) == 192 and sum(p["maxIter"] >= 300 for p in tried) == 24
+    assert models.search("gbt", models.GBT_GRID, None, None, rungs=()) == best
+
+
+def test_information_from_marginals_and_within_classes(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, int(a * b > 0), [float(a), float(b), float(c)]) for i, (a, b, c) in enumerate(r.normal(size=(300, 3)))]
+    vectors = spark.createDataFrame(rows, "row_id bigint, y int, features array<double>").cache()
+    pairs = [(0, 1), (0, 2)]
+    single = information.joint_information(vectors, [(0,), (1,), (2,)]).selectExpr("int(fs) f", "mi")
+    got = {(x["f1"], x["f2"]): x["mi"] for x in information.by_marginals(single, information.joint_information(vectors, pairs)).collect()}
+    want = {(x["f1"], x["f2"]): x["mi"] for x in information.interaction_ccd(vectors, pairs, method="npeet_3").collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    inside = {(x["f1"], x["f2"]): x["mi"] for x in information.class_conditional_information(vectors, pairs).collect()}
+    plain = {(x["f1"], x["f2"]): x["mi"] for x in information.pair_information(vectors, pairs, method="metric").collect()}
+    ii = {(x["f1"], x["f2"]): x["mi"] for x in information.interaction_ccd(vectors, pairs).collect()}
+    assert all(abs(plain[p] - inside[p] - ii[p]) < 1e-9 for p in pairs) and inside[0, 1] > 0.4
+    with pytest.raises(ValueError):
+        information.joint_information_cc(vectors, pairs, method="other")
+    vectors.unpersist()
+
+
+def test_samples_ranks_truths_and_index(spark, tmp_path):
+    names = [f"seq.{i}.1" for i in range(40)]
+    some = matrix.sample_features(names, 10)
+    assert len(set(some)) == 10 and set(some) < set(names) and some != matrix.sample_features(names, 10, seed=1) and matrix.sample_features(names, 99) != names
+    assert matrix.feature_pairs(names) == [(names[0], names[j]) for j in range(1, 16)]
+    long = long_of(spark, [(i % 2, [float(i % 2), 5.0 * (i % 2), 1.0]) for i in range(10)])
+    assert [tuple(x) for x in stats.ranked_difference(long, 2).collect()] == [(1, "seq.1.1", 5.0), (2, "seq.0.1", 1.0)]
+    a, b = synthetic.xor_nuisance_truths(), synthetic.paired_truths()
+    assert (len(a), len(b)) == (13, 18)
+    assert a["I(X3;X4)"] == pytest.approx(1.163951, abs=1e-5) and b["I(X9,X10;Y)"] == pytest.approx(0.201345, abs=1e-4) and b["II(X3;X4;Y)"] == pytest.approx(0.078605, abs=1e-4)
+    (tmp_path / "i.csv").write_text(",a\nr1,1\nr2,2\n")
+    assert [tuple(x) for x in tables.read_csv(spark, str(tmp_path / "i.csv"), index="name").collect()] == [("r1", 1), ("r2", 2)]
