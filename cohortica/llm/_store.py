@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 1_000_000
 #: Rows of such a table that one task may hold, which spares the exchanges between many steps.
 FEW_ROWS = 20_000
+_released = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,8 +48,11 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets the driver's cleaner see which shuffles no one needs any more, so that their files go."""
-    spark.sparkContext._jvm.System.gc()
+    """Lets the driver's cleaner see which shuffles no one needs any more, so that their files go; at most every two seconds."""
+    global _released
+    if time.monotonic() - _released > 2:
+        spark.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
 
 
 def discard(*tables: DataFrame) -> None:

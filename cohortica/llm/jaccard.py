@@ -221,11 +221,16 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, part: float = 0.
     return found.select("doc_id", "n", "s").join(doc_of, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def memberships(docs: DataFrame, k: int = 5, percent: int = 80, part: float = 0.15) -> DataFrame:
+    """k, cluster: by their names (see ``named``) the group of near copies of all documents with words; one row for rows of equal doc_id and text."""
+    found, groups = _groups(named(docs), k, percent, part)
+    return found.where("n > 0").select("k", "s").distinct().join(groups, "s").select("k", F.col("root").alias("cluster"))
+
+
 def with_clusters(docs: DataFrame, column: str = "cluster", k: int = 5, percent: int = 80, part: float = 0.15) -> DataFrame:
     """``docs`` with a name of each row's group of near copies in ``column`` (in place of one of that name); null for texts without words."""
-    found, groups = _groups(named(docs), k, percent, part)
     key, root = fresh([*docs.columns, column], "k", "root")
-    of = found.where("n > 0").select("k", "s").distinct().join(groups, "s").select(F.col("k").alias(key), F.col("root").alias(root))
+    of = memberships(docs, k, percent, part).select(F.col("k").alias(key), F.col("cluster").alias(root))
     rows = docs.withColumn(key, named(docs, only_name=True))
     return rows.join(of, key, "left").withColumn(column, F.col(root)).drop(key, root)
 

@@ -32,7 +32,8 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(jaccard.with_clusters(_docs(spark, sf_dir), k=3, percent=90), cluster="cluster")
+    docs = _docs(spark, sf_dir)
+    return packing.pack(docs, clusters=jaccard.memberships(docs, k=3, percent=90))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

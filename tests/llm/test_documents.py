@@ -107,9 +107,27 @@ def test_packing_keeps_near_copies_apart(spark):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join([*base[:-1], f"last{i}"]), f"s{i}") for i in range(4)] + [(9, None, "s0"), (10, "other words", "s9")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    bins = packing.pack(jaccard.with_clusters(docs, k=3, percent=90), cluster="cluster").collect()
-    assert sorted(d for b in bins for d in b["doc_ids"]) == [0, 1, 2, 3, 9, 10]
-    assert all(len({0, 1, 2, 3} & set(b["doc_ids"])) < 2 for b in bins)
+    for bins in (packing.pack(jaccard.with_clusters(docs, k=3, percent=90), cluster="cluster").collect(), packing.pack(docs, clusters=jaccard.memberships(docs, k=3, percent=90)).collect()):
+        assert sorted(d for b in bins for d in b["doc_ids"]) == [0, 1, 2, 3, 9, 10]
+        assert all(len({0, 1, 2, 3} & set(b["doc_ids"])) < 2 for b in bins)
+
+
+def test_best_fit_by_brute_force(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(r.choice([3, 20, 35, 50, 65, 97]))), f"s{r.randrange(6)}") for i in range(60)]
+    source, size = {i: s for i, _, s in rows}, {i: len(t.split()) for i, t, _ in rows}
+    bins = [set(b["doc_ids"]) for b in packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), capacity=100).collect()]
+    # every item in turn, longest first, goes to the fullest bin that takes it: all bins are looked at
+    best, free = [], lambda b: 100 - sum(size[x] for x in b)
+    order = [b for b in packing.pack_block([(size[i], 1 << int(source[i][1:]), 1 << (9 + i), i) for i in size], 100)]
+    for i in sorted(size, key=lambda i: (-size[i], i)):
+        fits = [b for b in best if free(b) >= size[i] and source[i] not in {source[x] for x in b}]
+        if fits:
+            min(fits, key=lambda b: (free(b), best.index(b))).add(i)
+        else:
+            best.append({i})
+    assert sorted(map(sorted, order)) == sorted(map(sorted, best))
+    assert len(bins) == len(best) and sorted(x for b in bins for x in b) == sorted(size)  # one block: as few as all bins looked at
 
 
 def test_best_fit_takes_the_tightest_compatible_bin():
