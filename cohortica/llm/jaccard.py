@@ -162,8 +162,9 @@ def whole(rows: DataFrame, some: DataFrame, k: int) -> DataFrame:
     return rows.join(small(some), "k", "left_semi").select("text").mapInArrow(run, "s binary, tokens array<bigint>")
 
 
-def _groups(rows: DataFrame, k: int, percent: int, part: float) -> tuple[DataFrame, DataFrame]:
+def _groups(rows: DataFrame, k: int, percent: int, part: float | None) -> tuple[DataFrame, DataFrame]:
     """Of named rows: doc_id, k, n, s of each, and s, root of each set with words."""
+    part = part or min(1.0, 0.015 * (100 - percent))  # half as much again as the prefix, so that rare tokens can fill it
     found = save(sets(rows, k, percent, part), "sets")
     firsts = ("n", "first", "more", "g0", "g1", "g2", "g3")
     nodes = save(found.where("n > 0").groupBy("s").agg(*(F.first(c).alias(c) for c in firsts), F.min("k").alias("k")).withColumn("id", F.monotonically_increasing_id()), "nodes")
@@ -202,14 +203,15 @@ def _groups(rows: DataFrame, k: int, percent: int, part: float) -> tuple[DataFra
     return slim, roots
 
 
-def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, part: float = 0.15) -> DataFrame:
+def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, part: float | None = None) -> DataFrame:
     """Every document with n_shingles and component_id, the smallest doc_id reachable by links.
 
     Two documents link when their sets of k-word shingles (A-Z in lower case,
     words between ASCII white space) have a similarity of percent / 100; equal
     sets are one node.  A text with fewer than k words is one shingle.  A text
     without words, or null, links with nothing and is its own component.
-    ``part``: share of the hash range whose tokens are counted to order them.
+    ``part``: share of the hash range whose tokens are counted to order them,
+    by default half as much again as the prefix.
     Rows that share a doc_id are nodes of their own; a null doc_id never names
     a component of others.  Sets are named by 128-bit hashes of their shingles,
     shingles by 64 bits.  Other columns of ``docs`` are ignored.
@@ -221,13 +223,13 @@ def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, part: float = 0.
     return found.select("doc_id", "n", "s").join(doc_of, "s", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def memberships(docs: DataFrame, k: int = 5, percent: int = 80, part: float = 0.15) -> DataFrame:
+def memberships(docs: DataFrame, k: int = 5, percent: int = 80, part: float | None = None) -> DataFrame:
     """k, cluster: by their names (see ``named``) the group of near copies of all documents with words; one row for rows of equal doc_id and text."""
     found, groups = _groups(named(docs), k, percent, part)
     return found.where("n > 0").select("k", "s").distinct().join(groups, "s").select("k", F.col("root").alias("cluster"))
 
 
-def with_clusters(docs: DataFrame, column: str = "cluster", k: int = 5, percent: int = 80, part: float = 0.15) -> DataFrame:
+def with_clusters(docs: DataFrame, column: str = "cluster", k: int = 5, percent: int = 80, part: float | None = None) -> DataFrame:
     """``docs`` with a name of each row's group of near copies in ``column`` (in place of one of that name); null for texts without words."""
     key, root = fresh([*docs.columns, column], "k", "root")
     of = memberships(docs, k, percent, part).select(F.col("k").alias(key), F.col("cluster").alias(root))
@@ -235,7 +237,7 @@ def with_clusters(docs: DataFrame, column: str = "cluster", k: int = 5, percent:
     return rows.join(of, key, "left").withColumn(column, F.col(root)).drop(key, root)
 
 
-def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80, part: float = 0.15) -> DataFrame:
+def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80, part: float | None = None) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one of smallest (doc_id, text hash).
 
     Rows of equal doc_id and text count as one; which of them stays is open if
