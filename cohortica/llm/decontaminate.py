@@ -123,9 +123,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if spans is None:
         return counted.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), empty.alias("items_sha256"), F.lit(False).alias("contaminated"))
     covered = spans.select("k", "at", "size").distinct().select("k", F.explode(F.expr("sequence(at, at + size - 1)")).alias("p")).distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n_hit"))
-    named = spans.select("k", "item_id").distinct().groupBy("k").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
+    of_items = spans.select("k", "item_id").distinct().groupBy("k").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
     return (
-        counted.join(covered.join(named, "k"), "k", "left")
+        counted.join(covered.join(of_items, "k"), "k", "left")
         .select(
             "doc_id",
             "n_words",

@@ -92,7 +92,7 @@ def sets(docs: DataFrame, k: int, percent: int, part: float) -> DataFrame:
 
     Sets that can link with equal sets alone have no tokens.
     """
-    top = U(int(part * 2**64))
+    top = U(min(int(part * 2**64), 2**64 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -50,6 +50,8 @@ def test_quality(spark):
     orders = [list(quality.RULES), list(reversed(quality.RULES))]
     a, b = ({(r["doc_id"], r["kept"]) for r in quality.quality(frame(spark, docs), o).collect()} for o in orders)
     assert a == b
+    plan = quality.plan_rules(frame(spark, docs))
+    assert quality.expected_cost(plan) <= quality.expected_cost(plan[::-1]) + 1e-12
     assert quality.quality(frame(spark, [])).count() == 0
 
 
@@ -57,15 +59,18 @@ def test_language(spark):
     r = random.Random(2)
     langs = {"aa": ["the", "of", "and", "thing"], "bb": ["der", "und", "nicht", "schön"]}
     rows = [(i, " ".join(r.choice(langs[g]) for _ in range(30)), g) for i in range(400) for g in [r.choice("ab") * 2]]
-    rows += [(1000, None, "aa"), (1001, "", "aa"), (1002, "12 34 !", "bb"), (1003, "the " * 9000, None), (None, "the of and", None)]
+    rows += [(1000, None, "aa"), (1001, "", "aa"), (1002, "12 34 !", "bb"), (1005, "½ ² ①", "aa"), (1003, "the " * 9000, None), (None, "the of and", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     got = langid.identify(docs, langid.fit(docs)).collect()
     assert len(got) == len(rows)
     truth = {d: g for d, _, g in rows}
     held = [x for x in got if x["held_out"] and x["doc_id"] < 1000]
     assert held and sum(x["lang_pred"] == truth[x["doc_id"]] for x in held) >= 0.98 * len(held)
-    assert {x["lang_pred"] for x in got if x["doc_id"] in (1000, 1001, 1002)} == {"und"}
+    assert {x["lang_pred"] for x in got if x["doc_id"] in (1000, 1001, 1002, 1005)} == {"und"}
     assert all(0 <= x["score"] <= 1 for x in got)
+    assert not any(x["rejected"] for x in got if x["doc_id"] and x["doc_id"] < 1000)
+    strange = spark.createDataFrame([(i, " ".join(r.choice(["zzqx", "wkvj", "qqpf"]) for _ in range(30))) for i in range(20)], "doc_id bigint, text string")
+    assert langid.identify(strange, langid.fit(docs)).where("rejected").count() >= 10  # of no language that was learnt
     none = langid.fit(docs.limit(0))
     assert langid.identify(docs, none).where("lang_pred <> 'und'").count() == 0
 
@@ -147,6 +152,7 @@ def test_training_order(spark, tmp_path):
     path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     docs = texts(11)[:75] + [(90, "a  b"), (91, " x "), (92, "a \n\n b\n c  \n")]
     made = tokens.shards(tokens.training_order(tokens.sequences(frame(spark, docs), path, 32)), 32, 16)
+    made.where("shard % 3 = 1").write.parquet(str(tmp_path / "s"))  # as left by a run that was broken off
     tokens.write_shards(made, str(tmp_path / "s"))
     rows = spark.read.parquet(str(tmp_path / "s")).orderBy("shard").collect()
     assert [r["first_slot"] for r in rows] == [16 * i for i in range(len(rows))]

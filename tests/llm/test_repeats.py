@@ -63,3 +63,9 @@ def test_empty(spark):
     none = frame(spark, [])
     assert recompress.dedup_words(none).count() == 0
     assert suffixes.dedup_bytes(none).count() == 0
+
+
+def test_width_that_does_not_fit(spark):
+    for f in (recompress.dedup_words, suffixes.dedup_bytes):
+        with pytest.raises(ValueError):
+            f(frame(spark, [(1, "a")]), width=1024)
