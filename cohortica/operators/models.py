@@ -18,6 +18,7 @@ RF_GRID = {"numTrees": [300, 600], "maxDepth": [30, 5, 10], "minSplit": [2, 5, 8
 GBT_GRID = {"maxIter": [300, 600], "stepSize": [0.03, 0.1], "maxDepth": [2, 3, 4], "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "1.0"], "minInstancesPerNode": [1, 3, 5, 10], "balance": [False, True]}
 #: The parameter that says how many trees a family grows.
 TREES = {"rf": "numTrees", "gbt": "maxIter"}
+ROWS_PER_TASK = 20_000
 
 
 def candidates(grid: dict[str, list]) -> list[dict]:
@@ -34,6 +35,12 @@ def prepared(fit_on: DataFrame, to: DataFrame, scale: bool) -> DataFrame:
     return matrix.to_vectors(filled).select("row_id", "y", array_to_vector("features").alias("x"))
 
 
+def kept(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows in memory, in a task for every ``ROWS_PER_TASK``, as trees are many small jobs over them; and what to unpersist."""
+    rows = rows.persist()
+    return rows.coalesce(max(1, -(-rows.count() // ROWS_PER_TASK))), rows
+
+
 def weighted(rows: DataFrame, how: str = "balanced") -> tuple[DataFrame, int]:
     """Adds w: 'balanced' lets both classes weigh alike, 'positive' gives label 1 the ratio of label 0 to it, 'none' is 1 for all."""
     n = {r[0]: r[1] for r in rows.groupBy("y").agg(F.count(F.lit(1))).collect()}
@@ -75,7 +82,7 @@ def evaluate(model, rows: DataFrame) -> tuple[float, float]:
     return out
 
 
-def search(family: str, grid: dict[str, list], train: DataFrame, val: DataFrame, seed: int = 42, threads: int = 8, rungs: tuple[tuple[int, float], ...] = ((20, 0.25), (80, 0.25))) -> dict:
+def search(family: str, grid: dict[str, list], train: DataFrame, val: DataFrame, seed: int = 42, threads: int = 8, rungs: tuple[tuple[int, float], ...] = ((10, 0.125), (50, 0.25), (150, 0.34))) -> dict:
     """A candidate of greatest AUC on the validation rows, the first of equals.
 
     Candidates are fitted several at a time.  Tree families go up rungs
@@ -110,11 +117,11 @@ def train_and_evaluate(train: DataFrame, val: DataFrame, test: DataFrame, grids:
     out = []
     for family, grid in grids.items():
         scale = family == "lr"
-        a, b = prepared(train, train, scale).persist(), prepared(train, val, scale).persist()
+        (a, a_), (b, b_) = kept(prepared(train, train, scale)), kept(prepared(train, val, scale))
         params = search(family, grid, a, b, seed)
         out.append((family, "val", *evaluate(fit(family, params, a, seed), b)))
-        c, d = prepared(both, both, scale).persist(), prepared(both, test, scale)
+        (c, c_), d = kept(prepared(both, both, scale)), prepared(both, test, scale)
         out.append((family, "test", *evaluate(fit(family, params, c, seed), d)))
-        for x in (a, b, c):
+        for x in (a_, b_, c_):
             x.unpersist()
     return spark.createDataFrame(out, "model string, split string, auc double, accuracy double")
