@@ -241,6 +241,14 @@ def test_lines_against_edit_distance_alone(spark, monkeypatch, rare):
         assert len(got) >= least * len(want)
 
 
+def test_what_lies_between_like_words(spark):
+    r = random.Random(6)
+    some = lambda: " ".join(r.choice(["a", "b", "ab", "é"]) for _ in range(r.randint(1, 5)))
+    both = spark.createDataFrame([(i, some(), some()) for i in range(300)] + [(300, "a", "a"), (301, "a b", "a b c"), (302, "a b b c", "a b c")], "i int, x string, y string")
+    got = lines.unlike(both).selectExpr("i", "levenshtein(x, y) d").join(both, "i")
+    assert got.where("d <> levenshtein(x, y)").count() == 0 and got.count() == 303
+
+
 def test_lines_of_odd_shapes(spark):
     word = "w" * 50_000
     texts = [word, word[:-9], "a " * 3000, "a " * 2990, "\x0b", "é", "É!", None, "b" * 11, "b" * 12]
