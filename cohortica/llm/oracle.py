@@ -59,3 +59,35 @@ c AS (SELECT l.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 20 * n_words AND 2 * n_symbols <= n_words AND 2 * n_dup_lines <= n_lines AND 10 * upper_ <= 7 * letters AND 2 * letters >= word_chars AS kept FROM f"""
+
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda s, b: list_reduce(list_prepend(xor(s, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v // 2, 3988292384 * (v % 2) + z))))"""
+
+OP11 = rf"""WITH {WORDS},
+h AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, {_CRC32} AS h FROM w),
+g AS (SELECT *, h // 10 AS g, (h // 10) % greatest(n, 1) AS a FROM h),
+x AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) ELSE w END AS w FROM g),
+word AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) - 1 AS i, len(w) AS n FROM x),
+pair AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM word a JOIN word b ON a.doc_id = b.doc_id AND a.v = b.v AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+isle AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pair) GROUP BY doc_id, q, k),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM isle WHERE length >= greatest(6, 4 * q) GROUP BY ALL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+stay AS (SELECT doc_id, string_agg(v, ' ' ORDER BY i) AS s FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+r AS (SELECT doc_id, count(*) AS n, list({{'start': start, 'length': length, 'period': period}} ORDER BY length DESC, start, period)[1] AS b, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM run GROUP BY 1)
+SELECT x.doc_id, coalesce(r.n, 0) AS n_runs, b.start AS start, b.length AS length, b.period AS period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(r.s, '')) AS runs_sha256, sha256(coalesce(stay.s, '')) AS collapsed_sha256
+FROM x LEFT JOIN r USING (doc_id) LEFT JOIN stay USING (doc_id)"""
+
+OP12 = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+SELECT page_id, n AS payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM p"""
+
+_TERM = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""WITH d AS (SELECT doc_id, {_TERM.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+b AS (SELECT DISTINCT item_id, unnest({_TERM.format(_LOWER.format("coalesce(text, '')"))}) AS t FROM benchmark),
+s AS (SELECT count(*) AS nd, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, any_value(n) AS n, t, count(*) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM d) SEMI JOIN b USING (t) GROUP BY doc_id, t),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(nd) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY 1),
+c AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l))) AS c FROM p JOIN f USING (t), s),
+r AS (SELECT item_id, doc_id, CAST(sum(c) AS BIGINT) AS score FROM c JOIN b USING (t) GROUP BY 1, 2)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 50"""
