@@ -108,3 +108,8 @@ def t_pvalue(t: Column | str, df: Column | str) -> Column:
         return pd.Series(p).where(~np.isnan(p), None)
 
     return F.pandas_udf(run, "double")(t, df)
+
+
+def spare_double(name: str) -> Column:
+    """A double of (0, 1] that a row's value of the column decides, by hash."""
+    return (F.shiftrightunsigned(F.xxhash64(quoted(name)), 40) + 1) / F.lit(float(1 << 24))

@@ -1,7 +1,7 @@
-"""k-nearest-neighbour estimators of entropy and information, in nats, on numpy arrays.
+"""Ross's estimator on the values of one feature, for many labellings of a table that one task can hold.
 
-Max-norm throughout; no noise is added, so results repeat.  All digamma
-arguments are positive integers, for which it is a harmonic number.
+No noise is added, so results repeat.  All digamma arguments are positive
+integers, for which it is a harmonic number.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 import numpy as np
 
 EULER = 0.57721566490153286061
-BLOCK = 1 << 22  # cells of a distance block
 
 
 def digamma(n: np.ndarray | int) -> np.ndarray:
@@ -18,98 +17,36 @@ def digamma(n: np.ndarray | int) -> np.ndarray:
     return table[n] - EULER
 
 
-def _matrix(x) -> np.ndarray:
-    x = np.asarray(x, float)
-    return x[:, None] if x.ndim == 1 else x
-
-
-def _blocks(x: np.ndarray, y: np.ndarray):
-    step = max(1, BLOCK // max(1, len(y)))
-    for a in range(0, len(x), step):
-        d = np.abs(x[a : a + step, None, 0] - y[None, :, 0])
-        for j in range(1, x.shape[1]):
-            np.maximum(d, np.abs(x[a : a + step, None, j] - y[None, :, j]), out=d)
-        yield a, d
-
-
-def radius(x, k: int) -> np.ndarray:
-    """Distance to the k-th neighbour, self excluded."""
-    x = _matrix(x)
+def radius(x: np.ndarray, k: int) -> np.ndarray:
+    """Distance to the k-th neighbour along the line, self excluded."""
     n = len(x)
-    if x.shape[1] == 1:
-        order = np.argsort(x[:, 0], kind="stable")
-        v = x[order, 0]
-        pad = np.concatenate([np.full(k, -np.inf), v, np.full(k, np.inf)])
-        near = np.abs(np.stack([pad[k + s : k + s + n] for s in range(-k, k + 1) if s]) - v)
-        out = np.empty(n)
-        out[order] = np.partition(near, k - 1, axis=0)[k - 1]
-        return out
+    order = np.argsort(x, kind="stable")
+    v = x[order]
+    pad = np.concatenate([np.full(k, -np.inf), v, np.full(k, np.inf)])
+    near = np.abs(np.stack([pad[k + s : k + s + n] for s in range(-k, k + 1) if s]) - v)
     out = np.empty(n)
-    for a, d in _blocks(x, x):
-        out[a : a + len(d)] = np.partition(d, k, axis=1)[:, k]
+    out[order] = np.partition(near, k - 1, axis=0)[k - 1]
     return out
 
 
-def within(x, r: np.ndarray, strict: bool = True) -> np.ndarray:
-    """Points closer than r (or as close), self included; at r = 0 those at distance 0."""
-    x = _matrix(x)
-    if x.shape[1] == 1:
-        v = np.sort(x[:, 0])
-        # distances are compared as they are computed: the sorted ends are corrected by one step where they round
-        lo = np.searchsorted(v, x[:, 0] - r, "left")
-        hi = np.searchsorted(v, x[:, 0] + r, "right")
-        near = (lambda i: np.abs(v[np.clip(i, 0, len(v) - 1)] - x[:, 0])) if len(v) else None
-        bad = (lambda d: (d >= r) & (d > 0)) if strict else (lambda d: d > r)
-        for _ in range(len(v)):
-            move = (lo < hi) & bad(near(lo))
-            if not move.any():
-                break
-            lo += move
-        for _ in range(len(v)):
-            move = (lo < hi) & bad(near(hi - 1))
-            if not move.any():
-                break
-            hi -= move
-        return hi - lo
-    out = np.empty(len(x), np.int64)
-    for a, d in _blocks(x, x):
-        e = r[a : a + len(d), None]
-        out[a : a + len(d)] = ((d < e) | (d == 0) if strict else d <= e).sum(axis=1)
-    return out
-
+def within(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Points as close as r, self included.  Distances are compared as they are computed: the sorted ends are corrected where they round."""
+    v = np.sort(x)
+    lo = np.searchsorted(v, x - r, "left")
+    hi = np.searchsorted(v, x + r, "right")
 
-def _untied(x: np.ndarray) -> np.ndarray:
-    """Equal rows moved apart by parts in 1e-10, by rank: for estimators that take the log of a distance."""
-    _, first = np.unique(x, axis=0, return_index=True)
-    if len(first) == len(x):
-        return x
-    step = ((np.arange(len(x), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(float) + 1) / 2**24
-    return x + 1e-10 * step[:, None]
+    def near(i: np.ndarray) -> np.ndarray:
+        return np.abs(v[np.clip(i, 0, len(v) - 1)] - x)
 
+    while (move := (lo < hi) & (near(lo) > r)).any():
+        lo += move
+    while (move := (lo < hi) & (near(hi - 1) > r)).any():
+        hi -= move
+    return hi - lo
 
-def entropy(x, k: int = 3) -> float:
-    """Kozachenko-Leonenko."""
-    x = _untied(_matrix(x))
-    n, d = x.shape
-    if n <= k:
-        raise ValueError("fewer points than neighbours")
-    return float(digamma(n) - digamma(k) + d * np.log(2) + d * np.log(radius(x, k)).mean())
 
-
-def mi_class_entropy(x, y, k: int = 3) -> float:
-    """|H(X) - sum p_y H(X|y)|; a class of at most k points gives no information."""
-    x, y = _matrix(x), np.asarray(y)
-    h = entropy(x, k)
-    inside = 0.0
-    for c in np.unique(y):
-        own = y == c
-        inside += own.mean() * (entropy(x[own], k) if own.sum() > k else h)
-    return abs(h - inside)
-
-
-def mi_ross(x, y, k: int = 3) -> float:
+def mi_ross(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     """Continuous against discrete; classes of one point do not count; at least 0."""
-    x, y = _matrix(x), np.asarray(y)
     labels, counts = np.unique(y, return_counts=True)
     keep = np.isin(y, labels[counts > 1])
     x, y = x[keep], y[keep]
@@ -121,23 +58,5 @@ def mi_ross(x, y, k: int = 3) -> float:
         m = int(own.sum())
         ks[own], size[own] = min(k, m - 1), m
         r[own] = np.nextafter(radius(x[own], min(k, m - 1)), 0)
-    m = within(x, r, strict=False)
+    m = within(x, r)
     return max(0.0, float(digamma(len(x)) + digamma(ks).mean() - digamma(size).mean() - digamma(m).mean()))
-
-
-def mi_ksg(x, y, k: int = 3, clip: bool = False, scale: bool = False) -> float:
-    """Kraskov-Stoegbauer-Grassberger, first estimator."""
-    x, y = _matrix(x), _matrix(y)
-    if scale:
-        x, y = (v / np.where(v.std(axis=0) > 0, v.std(axis=0), 1) for v in (x, y))
-    r = radius(np.hstack([x, y]), k)
-    out = float(digamma(len(x)) + digamma(k) - digamma(within(x, r)).mean() - digamma(within(y, r)).mean())
-    return max(0.0, out) if clip else out
-
-
-def cmi(x, y, z, k: int = 3) -> float:
-    """I(X; Y | Z), all continuous."""
-    x, y, z = _matrix(x), _matrix(y), _matrix(z)
-    r = radius(np.hstack([x, y, z]), k)
-    xz, yz = within(np.hstack([x, z]), r), within(np.hstack([y, z]), r)
-    return float(digamma(k) - digamma(xz).mean() - digamma(yz).mean() + digamma(within(z, r)).mean())

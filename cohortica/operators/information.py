@@ -1,8 +1,8 @@
-"""Information-theoretic scores of features, as grouped kernels over the long matrix.
+"""Information-theoretic scores of features, from sums over their neighbours.
 
-A feature, a pair or a subset of features is one group of its own, so a matrix
-of many features spreads over the cluster.  A group holds one value per sample:
-the estimators need all samples of a feature at once.
+Single features with the label go along the line (``nearest``), sets of
+features through tiles or cells (``tiles``); what is left here are the
+estimators, as arithmetic on a row per feature or set.
 """
 
 from __future__ import annotations
@@ -11,105 +11,199 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortica.functions import neighbours as nn
+from cohortica.functions.expressions import spare_double
+from cohortica.operators import nearest, tiles
+from cohortica.operators.order import running, written
+
+PERMUTED_ROWS = 1 << 17  # rows of which a task may hold one feature and the orders of some rounds
+ROUNDS_AT_ONCE = 50
+
+
+def _ross(points: DataFrame, by: list[str], k: int) -> DataFrame:
+    """by, mi of points (by, row_id, y, value): Ross's estimator; a label with one row does not count."""
+    near = written(nearest.line_radius(points, [*by, "y"], "value", "row_id", k).where("kk > 0"), "near")
+    # the radius is just below the distance to the neighbour: that one is not within
+    held = nearest.line_counts(near, near, by, "value", ["y", "place"])
+    m = held.groupBy(*by).agg(F.avg(nearest.digamma(F.col("held"))).alias("m"))
+    label = near.groupBy(*by, "y").agg(F.count(F.lit(1)).alias("c"), F.sum(nearest.digamma(F.col("kk"))).alias("k"))
+    whole = label.groupBy(*by).agg(F.sum("c").alias("n"), F.sum("k").alias("k"), F.sum(F.col("c") * nearest.digamma(F.col("c"))).alias("c"))
+    mi = nearest.digamma(F.col("n")) + (F.col("k") - F.col("c")) / F.col("n") - F.col("m")
+    return whole.join(m, by).select(*by, F.greatest(F.lit(0.0), mi).alias("mi"))
+
+
+def _line_entropy(points: DataFrame, by: list[str], k: int) -> DataFrame:
+    """by, n, h: Kozachenko-Leonenko; null for k rows or fewer."""
+    near = nearest.line_radius(points, by, "value", "row_id", k)
+    h = nearest.digamma(F.col("n")) - nearest.digamma(F.lit(k)) + F.log(F.lit(2.0)) + F.col("l") / F.col("n")
+    return near.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.log("radius")).alias("l")).select(*by, "n", F.when(F.col("n") > k, h).alias("h"))
+
+
+def _within_classes(whole: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
+    """|H(X) - sum p H(X | label)|; a label of k rows or fewer gives no information."""
+    both = classes.withColumnRenamed("h", "inner").withColumnRenamed("n", "c").join(whole, by)
+    inner = F.sum(F.col("c") * F.coalesce("inner", "h")) / F.max("n")
+    return both.groupBy(*by).agg(F.abs(F.max("h") - inner).alias("mi"))
 
 
 def mutual_information(long: DataFrame, k: int = 3, method: str = "sklearn") -> DataFrame:
-    """feature, feat_ord, mi of every feature with the label: 'sklearn' (Ross) or 'npeet' (class entropies)."""
-    kernel = {"sklearn": nn.mi_ross, "npeet": nn.mi_class_entropy}.get(method)
-    if kernel is None:
+    """feature, feat_ord, mi of every feature with the label: 'sklearn' (Ross) or 'npeet' (class entropies, null for k values or fewer).
+
+    Missing values and labels are left out; a feature of which no two rows share
+    a label has mi 0 ('sklearn').
+    """
+    if method not in ("sklearn", "npeet"):
         raise ValueError(f"unknown method {method!r}")
+    points = long.where("value is not null and y is not null").select("row_id", "y", "feature", "feat_ord", F.col("value").cast("double").alias("value"))
+    names = points.groupBy("feature").agg(F.min("feat_ord").alias("feat_ord"))
+    points = points.drop("feat_ord")
+    if method == "sklearn":
+        found = _ross(points, ["feature"], k).withColumnRenamed("feature", "of")
+        return names.join(found, F.col("feature") == F.col("of"), "left").select("feature", "feat_ord", F.coalesce("mi", F.lit(0.0)).alias("mi"))
+    points = points.withColumn("value", F.col("value") + tiles.JITTER * spare_double("row_id"))
+    found = _within_classes(_line_entropy(points, ["feature"], k), _line_entropy(points, ["feature", "y"], k), ["feature"])
+    return names.join(found, "feature").select("feature", "feat_ord", "mi")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "feat_ord": [pdf["feat_ord"].iloc[0]], "mi": [kernel(pdf["value"].to_numpy(), pdf["y"].to_numpy(), k)]})
 
-    return long.where("value is not null and y is not null").select("row_id", "y", "feature", "feat_ord", "value").groupBy("feature").applyInPandas(run, "feature string, feat_ord int, mi double")
+def permuted_information(long: DataFrame, rounds: int = 1000, k: int = 3, seed: int = 42) -> DataFrame:
+    """feature, round, mi (Ross): each round shuffles the labels, alike for all features.
 
+    A round's order is that of md5 of (row_id, seed, round), worked out once for
+    all features; of the rows that have the feature, the i-th by row_id gets the
+    label of the i-th in that order.  row_id is unique within a feature.  Up to
+    ``PERMUTED_ROWS`` rows a task takes a feature and ``ROUNDS_AT_ONCE`` rounds;
+    a taller table goes along the line, as the observed scores do.
+    """
+    x = written(long.where("value is not null and y is not null").select("row_id", F.col("y").cast("int").alias("y"), "feature", F.col("value").cast("double").alias("value")), "values")
+    rows = x.select("row_id").distinct()
+    digest = F.md5(F.concat_ws("|", F.col("row_id").cast("string"), F.lit(str(seed)), F.col("round").cast("string")))
+    every = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")
+    if rows.count() > PERMUTED_ROWS:
+        shuffled = x.select("*", every).withColumn("digest", digest)
+        to = running(shuffled, ["feature", "round"], ["row_id"], i=F.lit(1)).select("feature", "round", "i", "row_id", "value")
+        of = running(shuffled, ["feature", "round"], ["digest", "row_id"], i=F.lit(1)).select("feature", "round", "i", "y")
+        return _ross(to.join(of, ["feature", "round", "i"]), ["feature", "round"], k)
+    number = written(running(rows, [], ["row_id"], at=F.lit(1)), "numbers")
+    orders = number.select("row_id", "at", every).withColumn("digest", digest).groupBy("round").agg(F.transform(F.array_sort(F.collect_list(F.struct("digest", "at"))), lambda s: s["at"].cast("int")).alias("order"))
+    orders = written(orders.select((F.floor(F.col("round") / ROUNDS_AT_ONCE)).alias("block"), "round", "order"), "orders")
+    column = x.join(number, "row_id").groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("at", "y", "value"))).alias("v"))
+    column = written(column.select("feature", *[F.col("v")[c].alias(c) for c in ("at", "y", "value")]), "columns")
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((rounds - 1) // ROUNDS_AT_ONCE).cast("bigint"))).alias("block")
+    n = int(number.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = column.select("*", blocks).repartition(8 * n, "feature", "block").join(orders, "block").select("feature", "at", "y", "value", "round", "order")
 
-def permuted_information(long: DataFrame, rounds: int = 1000, k: int = 3, seed: int = 42, block: int = 25) -> DataFrame:
-    """feature, round, mi: each round shuffles the labels, alike for all features.
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                at, order = np.asarray(r.at, np.int64), np.asarray(r.order, np.int64)
+                label = np.full(len(order), -1, np.int64)
+                label[at] = np.asarray(r.y)
+                has = np.zeros(len(order), bool)
+                has[at] = True
+                out.append((r.feature, r.round, nn.mi_ross(np.asarray(r.value, float), label[order[has[order]]], k)))
+            yield pd.DataFrame(out, columns=["feature", "round", "mi"])
+
+    return asked.mapInPandas(run, "feature string, round int, mi double")
+
+
+def _name() -> Column:
+    return F.array_join(F.col("dims").cast("array<string>"), "+").alias("fs")
+
+
+def _pair() -> list[Column]:
+    return [F.col("dims")[0].alias("f1"), F.col("dims")[1].alias("f2")]
+
+
+def _ksg(vectors: DataFrame, sets: list[tuple[int, ...]], marginals: tuple, k: int, scale: bool = False, by_label: bool = False) -> DataFrame:
+    """dims, grp, n, mi: Kraskov, Stoegbauer and Grassberger's first estimator; at least 0 where features are scaled."""
+    s = tiles.sums(vectors, sets, marginals, k, by_label=by_label, scale=scale)
+    mi = nearest.digamma(F.col("n")) + nearest.digamma(F.lit(k)) - (F.col("s0") + F.col("s1")) / F.col("n")
+    return s.select("dims", "grp", "n", (F.when(mi < 0, 0.0).otherwise(mi) if scale else mi).alias("mi"))
+
+
+def _cmi(vectors: DataFrame, sets: list[tuple[int, ...]], k: int) -> DataFrame:
+    s = tiles.sums(vectors, sets, ((0, 2), (1, 2), (2,)), k)
+    return s.select("dims", (nearest.digamma(F.lit(k)) - (F.col("s0") + F.col("s1") - F.col("s2")) / F.col("n")).alias("mi"))
 
-    A round's labels are the labels in md5 order of (row_id, seed, round), which
-    every task works out for itself; tasks are (feature, block of rounds).
-    """
-    import hashlib
 
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1), F.lit(block))).alias("start")
+def _entropy(vectors: DataFrame, sets: list[tuple[int, ...]], k: int, by_label: bool = False) -> DataFrame:
+    s = tiles.sums(vectors, sets, (), k, by_label=by_label, jitter=True)
+    d = F.size("dims")
+    return s.select("dims", "grp", "n", (nearest.digamma(F.col("n")) - nearest.digamma(F.lit(k)) + d * F.log(F.lit(2.0)) + d * F.col("s0") / F.col("n")).alias("h"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id")
-        x, y, ids = pdf["value"].to_numpy(), pdf["y"].to_numpy(), pdf["row_id"].tolist()
-        start = int(pdf["start"].iloc[0])
-        out = []
-        for b in range(start, min(start + block, rounds)):
-            order = sorted(range(len(ids)), key=lambda i, b=b: (hashlib.md5(f"{ids[i]}|{seed}|{b}".encode()).hexdigest(), ids[i]))
-            out.append((pdf["feature"].iloc[0], b, nn.mi_ross(x, y[order], k)))
-        return pd.DataFrame(out, columns=["feature", "round", "mi"])
 
-    return long.select("row_id", "y", "feature", "value", blocks).groupBy("feature", "start").applyInPandas(run, "feature string, round int, mi double")
+def _class_entropy(vectors: DataFrame, sets: list[tuple[int, ...]], k: int) -> DataFrame:
+    """dims, mi: |H - sum p H within a label| of sets of any sizes."""
+    vectors = vectors.where("y is not null")
+    return _within_classes(_entropy(vectors, sets, k).drop("grp"), _entropy(vectors, sets, k, by_label=True), ["dims"])
 
 
-def _estimate(vectors: DataFrame, jobs: list[tuple], schema: str, columns: list[str], kernel) -> DataFrame:
-    """One task per job: vectors (row_id, y, features) meet with each job's feature numbers only."""
-    spark = vectors.sparkSession
-    table = F.broadcast(spark.createDataFrame([(i, list(j[0]), *j[1:]) for i, j in enumerate(jobs)], f"job int, dims array<int>, {schema}"))  # jobs are combinations of features
-    rows = vectors.crossJoin(table).select("job", *columns, "row_id", "y", F.transform("dims", lambda d: F.element_at("features", d + 1)).alias("x"))
+def _by_class(vectors: DataFrame, pairs: list[tuple[int, int]], k: int, scale: bool) -> DataFrame:
+    """dims, mi: I(a; b) within labels, each by its share of the rows; a label of k rows or fewer adds nothing."""
+    s = _ksg(vectors, pairs, ((0,), (1,)), k, scale, by_label=True)
+    return s.groupBy("dims").agg((F.sum(F.col("n") * F.coalesce("mi", F.lit(0.0))) / F.sum("n")).alias("mi"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id")
-        x = np.array(pdf["x"].tolist(), float)
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in columns}, "mi": [float(kernel(x, pdf["y"].to_numpy(), pdf.iloc[0]))]})
 
-    return rows.groupBy("job").applyInPandas(run, f"{schema}, mi double")
+def _minus(a: DataFrame, b: DataFrame) -> DataFrame:
+    """dims, mi of a less that of b."""
+    return a.select("dims", "mi").join(b.select("dims", F.col("mi").alias("less")), "dims").select("dims", (F.col("mi") - F.col("less")).alias("mi"))
+
+
+def _like(wanted: list[tuple[int, ...]], of: DataFrame, places: tuple[int, ...], name: str) -> DataFrame:
+    """dims of each wanted set, and the mi of what stands at some of its places, as ``name``."""
+    spark = of.sparkSession
+    rows = [(list(s), [s[i] for i in places]) for s in wanted]
+    table = spark.createDataFrame(rows, "dims array<int>, part array<int>")  # sets of features are metadata
+    return table.join(of.select(F.col("dims").alias("part"), F.col("mi").alias(name)), "part").select("dims", name)
+
+
+def _methods(method: str, *known: str, sklearn: bool = False) -> None:
+    if method == "sklearn" and not sklearn:
+        raise NotImplementedError("there is no such estimator")
+    if method not in known:
+        raise ValueError(f"unknown method {method!r}")
 
 
 def pair_information(vectors: DataFrame, pairs: list[tuple[int, int]], k: int = 3, method: str = "npeet") -> DataFrame:
     """f1, f2, mi between continuous features; 'metric' is another name of the nearest-neighbour estimator of 'npeet'."""
-    sk = method == "sklearn"
-    if method not in ("npeet", "sklearn", "metric"):
-        raise ValueError(f"unknown method {method!r}")
-    return _estimate(vectors, [(p, *p) for p in pairs], "f1 int, f2 int", ["f1", "f2"], lambda x, y, _: nn.mi_ksg(x[:, 0], x[:, 1], k, clip=sk, scale=sk))
+    _methods(method, "npeet", "sklearn", "metric", sklearn=True)
+    return _ksg(vectors, pairs, ((0,), (1,)), k, method == "sklearn").select(*_pair(), "mi")
 
 
 def joint_information(vectors: DataFrame, sets: list[tuple[int, ...]], k: int = 3, method: str = "npeet") -> DataFrame:
-    """Of sets of features with the label."""
-    if method == "sklearn":
-        raise NotImplementedError("joint information has no such estimator")
-    if method not in ("npeet", "metric"):
-        raise ValueError(f"unknown method {method!r}")
-    return _estimate(vectors, [(s, "+".join(map(str, s))) for s in sets], "fs string", ["fs"], lambda x, y, _: nn.mi_class_entropy(x, y, k))
+    """fs, mi of sets of features with the label."""
+    _methods(method, "npeet", "metric")
+    return _class_entropy(vectors, sets, k).select(_name(), "mi")
 
 
 def joint_information_cc(vectors: DataFrame, sets: list[tuple[int, ...]], k: int = 3, method: str = "npeet") -> DataFrame:
-    """Of sets of features with the last one of each, continuous."""
-    if method == "sklearn":
-        raise NotImplementedError("joint information has no such estimator")
-    if method not in ("npeet", "metric"):
-        raise ValueError(f"unknown method {method!r}")
-    return _estimate(vectors, [(s, "+".join(map(str, s))) for s in sets], "fs string", ["fs"], lambda x, y, _: nn.mi_ksg(x[:, :-1], x[:, -1], k))
+    """fs, mi of sets of features with the last one of each, continuous."""
+    _methods(method, "npeet", "metric")
+    out = None
+    for size in sorted({len(s) for s in sets}):
+        some = _ksg(vectors, [s for s in sets if len(s) == size], (tuple(range(size - 1)), (size - 1,)), k).select(_name(), "mi")
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
 def conditional_information(vectors: DataFrame, triples: list[tuple[int, int, int]], k: int = 3) -> DataFrame:
-    """I(a; b | c)."""
-    return _estimate(vectors, [(t, "+".join(map(str, t))) for t in triples], "fs string", ["fs"], lambda x, y, _: nn.cmi(x[:, 0], x[:, 1], x[:, 2], k))
+    """fs, mi: I(a; b | c)."""
+    return _cmi(vectors, triples, k).select(_name(), "mi")
 
 
 def entropies(vectors: DataFrame, sets: list[tuple[int, ...]], k: int = 3) -> DataFrame:
-    return _estimate(vectors, [(s, "+".join(map(str, s))) for s in sets], "fs string", ["fs"], lambda x, y, _: nn.entropy(x, k))
-
-
-def _by_class(x: np.ndarray, y: np.ndarray, k: int, scale: bool) -> float:
-    return sum((y == c).mean() * nn.mi_ksg(x[y == c, 0], x[y == c, 1], k, clip=scale, scale=scale) for c in np.unique(y) if (y == c).sum() > k)
+    """fs, mi: the entropy of each set."""
+    return _entropy(vectors, sets, k).select(_name(), F.col("h").alias("mi"))
 
 
 def class_conditional_information(vectors: DataFrame, pairs: list[tuple[int, int]], k: int = 3, method: str = "npeet") -> DataFrame:
     """I(a; b | label) of pairs of continuous features: the mean over the classes, each by its share."""
-    if method not in ("npeet", "sklearn", "metric"):
-        raise ValueError(f"unknown method {method!r}")
-    return _estimate(vectors, [(p, *p) for p in pairs], "f1 int, f2 int", ["f1", "f2"], lambda x, y, _: _by_class(x, y, k, method == "sklearn"))
+    _methods(method, "npeet", "sklearn", "metric", sklearn=True)
+    return _by_class(vectors, pairs, k, method == "sklearn").select(*_pair(), "mi")
 
 
 def by_marginals(marginals: DataFrame, joint: DataFrame) -> DataFrame:
@@ -126,45 +220,40 @@ def by_marginals(marginals: DataFrame, joint: DataFrame) -> DataFrame:
 
 
 def interaction_ccd(vectors: DataFrame, pairs: list[tuple[int, int]], k: int = 3, method: str = "npeet") -> DataFrame:
-    """Interaction information of two features and the label; synergy is negative.
+    """f1, f2, mi: interaction information of two features and the label; synergy is negative.
 
     'npeet' and 'sklearn': I(a; b) less its mean within classes.  'npeet_2'
     takes the label as continuous, and is biased.  'npeet_3': the two marginals
     with the label less the joint one.
     """
-
-    def kernel(x, y, _):
-        a, b = x[:, 0], x[:, 1]
-        if method == "npeet_2":
-            return nn.mi_ksg(a, b, k) - nn.cmi(a, b, y.astype(float), k)
-        if method == "npeet_3":
-            return nn.mi_class_entropy(a, y, k) + nn.mi_class_entropy(b, y, k) - nn.mi_class_entropy(x, y, k)
-        scale = method == "sklearn"
-        return nn.mi_ksg(a, b, k, clip=scale, scale=scale) - _by_class(x, y, k, scale)
-
-    if method not in ("npeet", "sklearn", "npeet_2", "npeet_3"):
-        raise ValueError(f"unknown method {method!r}")
-    return _estimate(vectors, [(p, *p) for p in pairs], "f1 int, f2 int", ["f1", "f2"], kernel)
+    _methods(method, "npeet", "sklearn", "npeet_2", "npeet_3", sklearn=True)
+    vectors = vectors.where("y is not null")
+    if method == "npeet_3":
+        singles = list(dict.fromkeys((f,) for p in pairs for f in p))
+        found = _class_entropy(vectors, [*singles, *pairs], k)
+        marginals = found.where("size(dims) = 1").select(F.col("dims")[0].alias("f"), "mi")
+        return by_marginals(marginals, found.where("size(dims) = 2").select(_name(), "mi"))
+    scale = method == "sklearn"
+    plain = _ksg(vectors, pairs, ((0,), (1,)), k, scale)
+    if method == "npeet_2":
+        width = vectors.agg(F.max(F.size("features"))).first()[0]
+        given = _cmi(vectors.withColumn("features", F.concat("features", F.array(F.col("y").cast("double")))), [(*p, width) for p in pairs], k)
+        return _minus(plain, given.withColumn("dims", F.slice("dims", 1, 2))).select(*_pair(), "mi")
+    return _minus(plain, _by_class(vectors, pairs, k, scale)).select(*_pair(), "mi")
 
 
 def interaction_ccc(vectors: DataFrame, triples: list[tuple[int, int, int]], k: int = 3, method: str = "npeet") -> DataFrame:
-    """Of three continuous features: 'npeet' I(a; b) - I(a; b | c), 'npeet_2' by marginals with c."""
-    if method == "sklearn":
-        raise NotImplementedError("no such estimator")
-    if method not in ("npeet", "npeet_2"):
-        raise ValueError(f"unknown method {method!r}")
-
-    def kernel(x, y, _):
-        a, b, c = x.T
-        if method == "npeet_2":
-            return nn.mi_ksg(a, c, k) + nn.mi_ksg(b, c, k) - nn.mi_ksg(x[:, :2], c, k)
-        return nn.mi_ksg(a, b, k) - nn.cmi(a, b, c, k)
-
-    return _estimate(vectors, [(t, "+".join(map(str, t))) for t in triples], "fs string", ["fs"], kernel)
+    """fs, mi of three continuous features: 'npeet' I(a; b) - I(a; b | c), 'npeet_2' by marginals with c.  What triples share is worked out once."""
+    _methods(method, "npeet", "npeet_2")
+    ksg = lambda places: _like(triples, _ksg(vectors, [tuple(t[i] for i in places) for t in triples], ((0,), (1,)), k), places, f"mi{places[0]}")
+    if method == "npeet":
+        return _minus(ksg((0, 1)).withColumnRenamed("mi0", "mi"), _cmi(vectors, triples, k)).select(_name(), "mi")
+    joint = _ksg(vectors, triples, ((0, 1), (2,)), k)
+    return joint.join(ksg((0, 2)), "dims").join(ksg((1, 2)), "dims").select(_name(), (F.col("mi0") + F.col("mi1") - F.col("mi")).alias("mi"))
 
 
 def interactions(vectors: DataFrame, sets: list[tuple[int, ...]], k: int = 3, with_label: bool = True) -> DataFrame:
-    """fs, ii of every set: signed sum over all its subsets.  A subset that sets share is one task."""
+    """fs, ii of every set: signed sum over all its subsets.  A subset that sets share is worked out once."""
     if not with_label and min(map(len, sets)) < 2:
         raise ValueError("needs two features or more")
     parts = [(s, p) for s in sets for r in range(1, len(s) + 1) for p in combinations(s, r)]
@@ -176,10 +265,5 @@ def interactions(vectors: DataFrame, sets: list[tuple[int, ...]], k: int = 3, wi
 
 
 def interaction(vectors: DataFrame, features: tuple[int, ...], k: int = 3, with_label: bool = True) -> DataFrame:
-    """General interaction information: signed sum over all subsets, each subset a task of its own."""
-    if not with_label and len(features) < 2:
-        raise ValueError("needs two features or more")
-    sets = [s for r in range(1, len(features) + 1) for s in combinations(features, r)]
-    terms = joint_information(vectors, sets, k) if with_label else entropies(vectors, sets, k)
-    sign = F.when(F.size(F.split("fs", r"\+")) % 2 == 1, 1.0).otherwise(-1.0)
-    return terms.agg(F.sum(sign * F.col("mi")).alias("ii")).select(F.lit("+".join(map(str, features))).alias("fs"), "ii")
+    """General interaction information: signed sum over all subsets."""
+    return interactions(vectors, [features], k, with_label)

@@ -1,9 +1,12 @@
+import hashlib
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests import dense
+
 from cohortica.functions import colors, neighbours, synthetic
 from cohortica.functions.expressions import label_or, not_mild, probe_id, t_tail
 from cohortica.operators import cohorts, information, matrix, metrics, stats, testing
@@ -96,10 +99,11 @@ def test_estimators_against_dense_versions():
     x = np.round(g.normal(size=120), 1)  # many ties
     for k in (1, 3):
         d = np.abs(x[:, None] - x[None, :])
-        assert (neighbours.radius(x, k) == np.sort(d, axis=1)[:, k]).all()
         r = neighbours.radius(x, k)
-        assert (neighbours.within(x, r) == ((d < r[:, None]) | (d == 0)).sum(axis=1)).all()
-        assert (neighbours.within(x, r, strict=False) == (d <= r[:, None]).sum(axis=1)).all()
+        assert (r == np.sort(d, axis=1)[:, k]).all()
+        assert (neighbours.within(x, r) == (d <= r[:, None]).sum(axis=1)).all()
+        y = g.integers(0, 3, 120)
+        assert neighbours.mi_ross(x, y, k) == pytest.approx(dense.ross(x, y, k))
     assert neighbours.digamma(np.array([1, 2, 10])) == pytest.approx([-0.5772156649, 0.4227843351, 2.2517525890])
 
 
@@ -182,7 +186,8 @@ def test_whole_queries_against_brute_force(spark, tmp_path, monkeypatch):
     rows = [(i, [float(v) for v in x[i]], int(labels[i])) for i in range(n)]
     d = str(tmp_path)
     spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").write.parquet(f"{d}/embeddings.parquet")
-    y, k, nn = (labels < 5).astype(int), queries.K, neighbours
+    y, k = (labels < 5).astype(int), queries.K
+    cols = lambda s: [x[:, i] for i in s]
 
     def got(name, *keys):
         return {tuple(row[c] for c in keys): row[-1] for row in queries.QUERIES[name](spark, d).collect()}
@@ -195,25 +200,31 @@ def test_whole_queries_against_brute_force(spark, tmp_path, monkeypatch):
     third = [(a, b, c) for a, b in pairs for c in range(w) if c not in (a, b)]
     name = lambda s: ("+".join(map(str, s)),)
     seen = [(np.arange(n) % 17) != j for j in range(w)]
-    same(got("mi_cd_ross_all", "feature"), {(f"seq.{j}.{j}",): nn.mi_ross(x[seen[j], j], y[seen[j]], k) for j in range(w)})
-    same(got("mi_cd_kl_all", "feature"), {(f"seq.{j}.{j}",): nn.mi_class_entropy(x[:, j], y, k) for j in range(w)})
-    same(got("mi_cc_ksg_all", "f1", "f2"), {p: nn.mi_ksg(x[:, p[0]], x[:, p[1]], k) for p in pairs})
-    joint = {p: nn.mi_class_entropy(x[:, list(p)], y, k) for r in (1, 2) for p in combinations(range(w), r)}
+    same(got("mi_cd_ross_all", "feature"), {(f"seq.{j}.{j}",): dense.ross(x[seen[j], j], y[seen[j]], k) for j in range(w)})
+    same(got("mi_cd_kl_all", "feature"), {(f"seq.{j}.{j}",): dense.class_entropy([x[:, j]], y, k) for j in range(w)})
+    same(got("mi_cc_ksg_all", "f1", "f2"), {p: dense.ksg(cols(p[:1]), cols(p[1:]), k) for p in pairs})
+    joint = {p: dense.class_entropy(cols(p), y, k) for r in (1, 2) for p in combinations(range(w), r)}
     same(got("joint_mi_cd_all", "fs"), {name(p): joint[p] for p in pairs})
-    same(got("joint_mi_cc_all", "fs"), {name(t): nn.mi_ksg(x[:, list(t[:2])], x[:, t[2]], k) for t in third})
-    cmi = {t: nn.cmi(x[:, t[0]], x[:, t[1]], x[:, t[2]], k) for t in third}
+    same(got("joint_mi_cc_all", "fs"), {name(t): dense.ksg(cols(t[:2]), cols(t[2:]), k) for t in third})
+    cmi = {t: dense.cmi(*cols(t), k) for t in third}
     same(got("cmi_all", "fs"), {name(t): cmi[t] for t in third})
-    inside = {p: sum((y == c).mean() * nn.mi_ksg(x[y == c, p[0]], x[y == c, p[1]], k) for c in (0, 1)) for p in pairs}
-    same(got("ii_ccd_all", "f1", "f2"), {p: nn.mi_ksg(x[:, p[0]], x[:, p[1]], k) - inside[p] for p in pairs})
+    inside = {p: sum((y == c).mean() * dense.ksg([x[y == c, p[0]]], [x[y == c, p[1]]], k) for c in (0, 1)) for p in pairs}
+    same(got("ii_ccd_all", "f1", "f2"), {p: dense.ksg(cols(p[:1]), cols(p[1:]), k) - inside[p] for p in pairs})
     marginals = {p: joint[p[:1]] + joint[p[1:]] - joint[p] for p in pairs}
     same(got("ii_ccd_marginals_all", "f1", "f2"), marginals)
     same(got("ii_general_all", "fs"), {name(p): v for p, v in marginals.items()})
-    h = {p: nn.entropy(x[:, list(p)], k) for r in (1, 2) for p in combinations(range(w), r)}
+    h = {p: dense.entropy(cols(p), k) for r in (1, 2) for p in combinations(range(w), r)}
     same(got("ii_entropies_all", "fs"), {name(p): h[p[:1]] + h[p[1:]] - h[p] for p in pairs})
-    same(got("ii_ccc_all", "fs"), {name(t): nn.mi_ksg(x[:, t[0]], x[:, t[1]], k) - cmi[t] for t in third})
+    same(got("ii_ccc_all", "fs"), {name(t): dense.ksg(cols(t[:1]), cols(t[1:2]), k) - cmi[t] for t in third})
     out = queries.QUERIES["perm_test_all"](spark, d).collect()
     assert queries.ALL_ROUNDS == 1000 and len(out) == w
-    assert all(abs(row["p_perm"] * 1001 - round(row["p_perm"] * 1001)) < 1e-2 for row in out) and min(row["p_perm"] for row in out) < 1
+    for row in out:
+        j = int(row["feature"].split(".")[1])
+        ids = np.flatnonzero(seen[j])
+        at = dense.ross(x[ids, j], y[ids], k)
+        orders = (sorted(ids.tolist(), key=lambda i, b=b: (hashlib.md5(f"{i}|42|{b}".encode()).hexdigest(), i)) for b in range(1000))
+        exceed = sum(dense.ross(x[ids, j], y[o], k) >= at - 1e-12 for o in orders)
+        assert row["mi"] == pytest.approx(at, abs=1e-6) and row["p_perm"] == pytest.approx((exceed + 1) / 1001, abs=2e-6)
     filled = [np.where(seen[j], x[:, j], np.median(x[seen[j], j])) for j in range(w)]
     same(got("corr_pairs_all", "f1", "f2"), {(f"seq.{a}.{a}", f"seq.{b}.{b}"): np.corrcoef(filled[a], filled[b])[0, 1] for a in range(w) for b in range(a, w)})
     assert len(got("corr_diff_all", "f1", "f2")) == w * (w + 1) // 2
