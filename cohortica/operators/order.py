@@ -41,24 +41,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:
+    """The rows by ranges of the keys, written once, and the name of the column that numbers the ranges."""
+    (part,) = spare(df.columns, "range")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *[quoted(c) for c in keys]).withColumn(part, F.spark_partition_id()), "ranges"), part
+
+
 def running(df: DataFrame, by: list[str], order: list[str], **sums: Column) -> DataFrame:
     """Adds for each of ``sums`` the sum over the rows that come before in the row's group; groups may be null.
 
     ``order`` decides between any two rows of a group, or they share a range.
     """
     names = list(sums)
-    part, *own = spare([*df.columns, *names], "range", *(f"{n}_own" for n in names))
-    keys = [quoted(c) for c in [*by, *order]]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(df.select("*", *(sums[c].alias(o) for c, o in zip(names, own, strict=True))).repartitionByRange(n, *keys).withColumn(part, F.spark_partition_id()), "ranges")
-    ahead = spare(dealt.columns, *(f"{n}_ahead" for n in names))
+    own = spare([*df.columns, *names, "range"], *(f"{n}_own" for n in names))
+    rows, part = dealt(df.select("*", *(sums[c].alias(o) for c, o in zip(names, own, strict=True))), [*by, *order])
+    ahead = spare(rows.columns, *(f"{n}_ahead" for n in names))
     group = [f"{c}_of" for c in by]
     groups = [quoted(c).alias(g) for c, g in zip(by, group, strict=True)]
     before = Window.partitionBy(*group).orderBy("range_of").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are ranges
-    whole = dealt.groupBy(*groups, F.col(part).alias("range_of")).agg(*(F.sum(o).alias(o) for o in own))
+    whole = rows.groupBy(*groups, F.col(part).alias("range_of")).agg(*(F.sum(o).alias(o) for o in own))
     whole = whole.select(*group, "range_of", *(F.coalesce(F.sum(o).over(before), F.lit(0)).alias(a) for o, a in zip(own, ahead, strict=True)))
     within = Window.partitionBy(part, *[quoted(c) for c in by]).orderBy(*[quoted(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    inside = dealt.select("*", *(F.coalesce(F.sum(o).over(within), F.lit(0)).alias(c) for o, c in zip(own, names, strict=True)))
+    inside = rows.select("*", *(F.coalesce(F.sum(o).over(within), F.lit(0)).alias(c) for o, c in zip(own, names, strict=True)))
     same = F.col(part) == F.col("range_of")
     for c, g in zip(by, group, strict=True):
         same = same & quoted(c).eqNullSafe(F.col(g))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortica.functions.expressions import quoted
-from cohortica.operators.order import percentiles
+from cohortica.operators.order import percentiles, running, written
+
+LAST_PAIRS = 1 << 20  # distances of clusters that one task may hold
+PANEL = 1 << 20  # pairs of features of which a task adds up sums
 
 
 def describe(long: DataFrame, percents: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:
@@ -33,17 +40,65 @@ def top_difference(long: DataFrame, k: int = 6) -> DataFrame:
 
 
 def correlations(imputed: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """Pearson r of all pairs f1 <= f2 of imputed features; null for a constant one.
+    """Pearson r of all pairs f1 <= f2 of features over the rows that have both; null for a constant one.
 
-    A row's features meet in one array, so the pairs of features are made
-    within rows: no join of rows with rows.
+    A row's features meet in one array, and a task adds up products of whole
+    batches of rows as matrices; what leaves it are sums, a row per feature, so
+    nothing of the size of pairs times rows is ever made.  Features are centred
+    by their least value first.  A task holds a panel of the matrix of sums: all
+    of it up to about a thousand features, and else the rows are sent to each panel.
     """
     d = imputed if features is None else imputed.where(F.col("feature").isin(features))
-    rows = d.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("feat_ord", "feature", "value"))).alias("v"))
-    pairs = rows.select(F.explode("v").alias("a"), "v").select("a", F.explode("v").alias("b")).where("a.feat_ord <= b.feat_ord")
-    spread = F.stddev_pop("a.value") * F.stddev_pop("b.value")
-    r = F.covar_pop("a.value", "b.value") / F.when(spread > 0, spread)
-    return pairs.groupBy(F.col("a.feature").alias("f1"), F.col("b.feature").alias("f2")).agg(r.alias("r"))
+    d = d.where("value is not null")
+    known = d.groupBy("feature", "feat_ord").agg(F.min("value").alias("least"))
+    known = known.withColumn("at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("feat_ord", "feature")) - 1)  # a row a feature
+    known = written(known, "features")
+    n = known.count()
+    if not n:
+        return d.sparkSession.createDataFrame([], "f1 string, f2 string, r double")
+    panels = -(-(n * n) // PANEL)
+    rows = d.join(F.broadcast(known), ["feature", "feat_ord"]).groupBy("row_id").agg(F.collect_list("at").alias("at"), F.collect_list(F.col("value") - F.col("least")).alias("v"))  # features are metadata
+    rows = rows.select("at", "v", F.explode(F.sequence(F.lit(0), F.lit(panels - 1))).alias("panel"))
+    if panels > 1:
+        rows = rows.repartition("panel", F.spark_partition_id()).sortWithinPartitions("panel")
+    width = -(-n // panels)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, panel = None, -1
+
+        def made() -> pd.DataFrame:
+            return pd.DataFrame({"i": range(panel * width, panel * width + sums.shape[1]), "sums": [x.ravel() for x in sums.transpose(1, 0, 2)]})
+
+        for b in batches:
+            for p in b["panel"].unique():
+                own = b[b["panel"] == p]
+                if p != panel:
+                    if sums is not None:
+                        yield made()
+                    panel = int(p)
+                    sums = np.zeros((6, min(width, n - panel * width), n))
+                x, has = np.zeros((len(own), n)), np.zeros((len(own), n))
+                at = np.repeat(np.arange(len(own)), own["at"].map(len)), np.concatenate(own["at"].to_numpy())
+                x[at], has[at] = np.concatenate(own["v"].to_numpy()), 1
+                mine = slice(panel * width, panel * width + sums.shape[1])
+                # of pairs: rows that have both, products, sums and squares of either over these rows
+                for j, (a, c) in enumerate(((has, has), (x, x), (x, has), (has, x), (x * x, has), (has, x * x))):
+                    sums[j] += a[:, mine].T @ c
+        if sums is not None:
+            yield made()
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        i = int(pdf["i"].iloc[0])
+        m, xy, sx, sy, xx, yy = np.sum(np.stack(pdf["sums"].to_numpy()), axis=0).reshape(6, n)[:, i:]
+        vx, vy = m * xx - sx * sx, m * yy - sy * sy
+        ok = (m > 0) & (vx > 0) & (vy > 0)
+        r = (m * xy - sx * sy) / np.sqrt(np.where(ok, vx, 1)) / np.sqrt(np.where(ok, vy, 1))
+        return pd.DataFrame({"i": i, "j": np.arange(i, n), "r": pd.Series(r, dtype="Float64").mask(~ok)}).loc[m > 0]
+
+    sums = rows.mapInPandas(run, "i int, sums array<double>")
+    found = sums.groupBy("i").applyInPandas(added, "i int, j int, r double")  # as many rows as tasks made sums
+    names = [F.broadcast(known.select(F.col("at").alias(c), F.col("feature").alias(f))) for c, f in (("i", "f1"), ("j", "f2"))]
+    return found.join(names[0], "i").join(names[1], "j").select("f1", "f2", F.when(F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))).alias("r"))
 
 
 def correlation_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -93,33 +148,68 @@ def boxplot(df: DataFrame, value: str, by: str) -> DataFrame:
     return inside.groupBy(by).agg(F.first("q").alias("q"), F.min("value").alias("low"), F.max("value").alias("high")).select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"), "low", "high")
 
 
-def leaf_order(correlation: DataFrame) -> list[str]:
-    """Leaves of average linkage on 1 - r (0 where r is missing).
+def leaf_order(correlation: DataFrame) -> DataFrame:
+    """f, i: features and their places (from 0) as leaves of average linkage on 1 - r (1 where r is missing).
 
-    The matrix of at most some hundred features is metadata and is clustered on
-    the driver; the left branch is the one that holds the earlier feature.
+    All reciprocal nearest neighbours merge in a round, which for average linkage
+    gives the tree of merging one pair at a time; of equal distances the pair
+    named first counts as nearer.  Distances to a merged pair are the means of
+    those to its two, weighted by their sizes.  The branch that holds the earlier
+    feature (by the numbers in its name) comes first.  The number of distances
+    left comes to the driver, once a round; up to ``LAST_PAIRS`` of them are
+    merged in one task.
     """
-    import numpy as np
-
-    rows = correlation.collect()
-    names = sorted({r["f1"] for r in rows} | {r["f2"] for r in rows}, key=lambda n: ([int(x) for x in n.split(".") if x.isdigit()], n))
-    at = {n: i for i, n in enumerate(names)}
-    d = np.ones((len(names), len(names)))
-    for r in rows:
-        d[at[r["f1"]], at[r["f2"]]] = d[at[r["f2"]], at[r["f1"]]] = 1 - (r["r"] or 0.0)
-    np.fill_diagonal(d, 0)
-    groups = {i: [i] for i in range(len(names))}
-    while len(groups) > 1:
-        ids = sorted(groups)
-        _, a, b = min((d[np.ix_(groups[x], groups[y])].mean(), x, y) for i, x in enumerate(ids) for y in ids[i + 1 :])
-        groups[a] = groups[a] + groups.pop(b)
-    return [names[i] for g in groups.values() for i in g]
+    digits = F.transform(F.filter(F.split("f", r"\."), lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("bigint"))
+    names = correlation.select(F.col("f1").alias("f")).union(correlation.select("f2")).distinct()
+    leaves = written(running(names.withColumn("digits", digits), [], ["digits", "f"], at=F.lit(1)).select("f", F.col("at").alias("c"), F.lit(0).cast("bigint").alias("i")), "leaves")
+    ends = [leaves.select(F.col("f").alias(f), F.col("c").alias(c)) for f, c in (("f1", "a"), ("f2", "b"))]
+    d = correlation.where("f1 <> f2").join(ends[0], "f1").join(ends[1], "f2").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg((1 - F.coalesce(F.max("r"), F.lit(0.0))).alias("d"))
+    both = lambda x: x.select("a", "b", "d").unionByName(x.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    # a pair that the table lacks is 1 apart, as one without r
+    every = leaves.select(F.col("c").alias("a")).join(leaves.select(F.col("c").alias("b")), F.col("a") < F.col("b"))  # pairs of features, as the table has
+    d = written(every.join(d, ["a", "b"], "left").select("a", "b", F.coalesce("d", F.lit(1.0)).alias("d")), "distances")
+    size = leaves.select("c", F.lit(1).cast("bigint").alias("n"))
+    while d.count() > LAST_PAIRS:
+        near = both(d).groupBy("a").agg(F.min(F.struct(F.round("d", 12), F.least("a", "b"), F.greatest("a", "b"))).alias("m"))
+        pairs = near.groupBy(F.col("m.col2").alias("into"), F.col("m.col3").alias("c")).agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("into", "c")
+        pairs = pairs.join(size.withColumnRenamed("n", "added"), "c").join(size.select(F.col("c").alias("into"), F.col("n").alias("before")), "into")
+        moved = written(size.join(pairs, "c", "left").select("c", "n", F.coalesce("into", "c").alias("to"), F.coalesce("before", F.lit(0)).alias("ahead")), "moved")
+        leaves = written(leaves.join(moved, "c").select("f", F.col("to").alias("c"), (F.col("i") + F.col("ahead")).alias("i")), "leaves")
+        size = moved.groupBy(F.col("to").alias("c")).agg(F.sum("n").alias("n"))
+        a, b = (moved.select(F.col("c").alias(c), F.col("to").alias(f"to_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
+        w = F.col("n_a") * F.col("n_b")
+        part = d.join(a, "a").join(b, "b").where("to_a <> to_b").groupBy(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        d = written(part.agg((F.sum(w * F.col("d")) / F.sum(w)).alias("d")), "distances")
+    rest = size.select(F.col("c").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("n").cast("double").alias("d")).unionByName(d).groupBy()
+    placed = rest.applyInPandas(_merged, "c bigint, ahead bigint")
+    return leaves.join(placed, "c").select("f", (F.col("i") + F.col("ahead")).cast("int").alias("i"))
+
+
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """c, ahead (leaves that come before it) of clusters a with d leaves (where b is missing), given their distances."""
+    own = pdf["b"].isna()
+    ids = np.sort(pdf.loc[own, "a"].to_numpy(np.int64))
+    n = len(ids)
+    leaves = pdf[own].set_index("a")["d"].loc[ids].to_numpy()
+    d = np.full((n, n), np.inf)
+    a, b = (np.searchsorted(ids, pdf.loc[~own, c].to_numpy(np.int64)) for c in ("a", "b"))
+    d[a, b] = d[b, a] = pdf.loc[~own, "d"]
+    size, groups = leaves.copy(), [[i] for i in range(n)]
+    for _ in range(n - 1):
+        a, b = divmod(int(np.argmin(np.round(d, 12))), n)
+        groups[a] += groups[b]
+        d[a] = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        d[:, a] = d[a]
+        d[b] = d[:, b] = np.inf
+        d[a, a] = np.inf
+        size[a] += size[b]
+    order = groups[0] if n else []
+    return pd.DataFrame({"c": ids[order], "ahead": np.concatenate([[0], np.cumsum(leaves[order])[:-1]]).astype(np.int64) if n else []})
 
 
 def heatmap(correlation: DataFrame) -> DataFrame:
     """(i, j, f1, f2, r) for both halves, in the order of the leaves."""
-    order = leaf_order(correlation)
-    spark = correlation.sparkSession
-    names = F.broadcast(spark.createDataFrame(list(enumerate(order)), "i int, f string"))  # features are metadata
+    correlation = written(correlation, "correlation")
+    names = leaf_order(correlation)
     both = correlation.unionByName(correlation.where("f1 <> f2").select(F.col("f2").alias("f1"), F.col("f1").alias("f2"), "r"))
     return both.join(names.select("i", F.col("f").alias("f1")), "f1").join(names.select(F.col("i").alias("j"), F.col("f").alias("f2")), "f2").select("i", "j", "f1", "f2", "r")

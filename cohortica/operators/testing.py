@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortica.functions.expressions import label_or, minus_log10, probe_id, t_pvalue
+from cohortica.functions.expressions import label_or, minus_log10, probe_id, quoted, t_pvalue
+from cohortica.operators.order import dealt
 
 
 def welch_stats(long: DataFrame) -> DataFrame:
@@ -26,19 +27,41 @@ def welch(long: DataFrame) -> DataFrame:
 
 
 def correct(results: DataFrame, method: str = "fdr", p: str = "pval", family: tuple[str, ...] = (), tie: tuple[str, ...] = ()) -> DataFrame:
-    """Adds adj_p by Benjamini-Hochberg ('fdr') or 'bonferroni', within each family.
+    """Adds adj_p by Benjamini-Hochberg ('fdr') or 'bonferroni', within each family (null is a family too).
 
-    Rows are features, not samples: without a family they are ranked in one window.
+    ``tie`` orders equal p; they get equal adj_p in any case.  Rows are dealt by
+    ranges of (family, p), so a family of any size spreads: a row's rank is its
+    place within its range and what lies before that, and its minimum over larger
+    p that of the rest of its range and of the ranges behind.
     """
-    m = F.count(F.lit(1)).over(Window.partitionBy(*family))
-    if method == "bonferroni":
-        return results.withColumn("adj_p", F.least(F.lit(1.0), F.col(p) * m))
-    if method != "fdr":
+    if method not in ("fdr", "bonferroni"):
         raise ValueError(f"unknown correction {method!r}")
-    up = Window.partitionBy(*family).orderBy(p, *tie)
-    ranked = results.withColumn("_r", F.row_number().over(up)).withColumn("_q", F.col(p) * m / F.col("_r"))
-    down = Window.partitionBy(*family).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("adj_p", F.least(F.lit(1.0), F.min("_q").over(down))).drop("_r", "_q")
+    if method == "bonferroni":
+        n = results.groupBy(*[quoted(c).alias(f"{c}_of") for c in family]).agg(F.count(F.lit(1)).alias("_m"))
+        rows = results.crossJoin(F.broadcast(n)) if not family else results.join(n, _same(family))  # without a family: one row
+        return rows.select(*[quoted(c) for c in results.columns], F.least(F.lit(1.0), F.col(p) * F.col("_m")).alias("adj_p"))
+    rows, part = dealt(results, [*family, p, *tie])
+    of = [f"{c}_of" for c in family]
+    ranges = Window.partitionBy(F.lit(0), *of).orderBy("_at")  # as many rows as there are ranges
+    counts = rows.groupBy(*[quoted(c).alias(o) for c, o in zip(family, of, strict=True)], F.col(part).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("*", F.coalesce(F.sum("_n").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"), F.sum("_n").over(Window.partitionBy(F.lit(0), *of)).alias("_m"))
+    line = Window.partitionBy(part, *[quoted(c) for c in family]).orderBy(p, *tie)
+    both = (F.col(part) == F.col("_at")) & _same(family)
+    q = rows.join(counts, both).withColumn("_r", F.col("_ahead") + F.row_number().over(line)).withColumn("_q", F.col(p) * F.col("_m") / F.col("_r"))
+    behind = q.groupBy(*of, "_at").agg(F.min("_q").alias("_least"))
+    behind = behind.select(*[F.col(o).alias(f"{o}_b") for o in of], F.col("_at").alias("_at_b"), F.min("_least").over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("_behind"))
+    on = F.col("_at") == F.col("_at_b")
+    for o in of:
+        on = on & F.col(o).eqNullSafe(F.col(f"{o}_b"))
+    rest = Window.partitionBy(part, *[quoted(c) for c in family]).orderBy("_r").rowsBetween(0, Window.unboundedFollowing)
+    return q.join(behind, on).select(*[quoted(c) for c in results.columns], F.least(F.lit(1.0), F.min("_q").over(rest), F.col("_behind")).alias("adj_p"))
+
+
+def _same(family: tuple[str, ...]) -> Column:
+    on = F.lit(True)
+    for c in family:
+        on = on & quoted(c).eqNullSafe(F.col(f"{c}_of"))
+    return on
 
 
 def ttest_order(results: DataFrame, script_order: bool = True) -> DataFrame:

@@ -90,7 +90,7 @@ def test_statistics(spark):
 def test_leaf_order_by_brute_force(spark):
     r = {(0, 1): 0.9, (0, 2): 0.1, (0, 3): 0.2, (1, 2): 0.0, (1, 3): 0.3, (2, 3): 0.8}
     d = spark.createDataFrame([(f"seq.{a}.{a}", f"seq.{b}.{b}", v) for (a, b), v in r.items()], "f1 string, f2 string, r double")
-    assert stats.leaf_order(d) == [f"seq.{i}.{i}" for i in range(4)]
+    assert [r["f"] for r in stats.leaf_order(d).orderBy("i").collect()] == [f"seq.{i}.{i}" for i in range(4)]
     assert stats.heatmap(d).count() == 12
 
 
