@@ -166,7 +166,7 @@ def leaf_order(correlation: DataFrame) -> DataFrame:
     d = correlation.where("f1 <> f2").join(ends[0], "f1").join(ends[1], "f2").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg((1 - F.coalesce(F.max("r"), F.lit(0.0))).alias("d"))
     both = lambda x: x.select("a", "b", "d").unionByName(x.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     # a pair that the table lacks is 1 apart, as one without r
-    every = leaves.select(F.col("c").alias("a")).join(leaves.select(F.col("c").alias("b")), F.col("a") < F.col("b"))  # pairs of features, as the table has
+    every = leaves.where("c > 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1)).alias("a"), F.col("c").alias("b"))
     d = written(every.join(d, ["a", "b"], "left").select("a", "b", F.coalesce("d", F.lit(1.0)).alias("d")), "distances")
     size = leaves.select("c", F.lit(1).cast("bigint").alias("n"))
     while d.count() > LAST_PAIRS:
