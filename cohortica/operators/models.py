@@ -5,17 +5,17 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortica.operators import matrix, metrics
+from cohortica.operators import forests, matrix, metrics
 
-#: Grids of the full search (fixed values); a depth of 30 is the most that Spark grows.
+#: Grids of the full search (fixed values); a depth of None has no bound.
 LR_GRID = {"C": [10.0, 15.0, 18.0, 21.0]}
-RF_GRID = {"numTrees": [300, 600], "maxDepth": [30, 5, 10], "minSplit": [2, 5, 8, 10], "minInstancesPerNode": [2, 5], "featureSubsetStrategy": ["sqrt", "0.5"]}
-GBT_GRID = {"maxIter": [300, 600], "stepSize": [0.03, 0.1], "maxDepth": [2, 3, 4], "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "1.0"], "minInstancesPerNode": [1, 3, 5, 10], "balance": [False, True]}
+RF_GRID = {"numTrees": [300, 600], "maxDepth": [None, 5, 10], "minSplit": [2, 5, 8, 10], "minInstancesPerNode": [2, 5], "featureSubsetStrategy": ["sqrt", 0.5]}
+GBT_GRID = {"maxIter": [300, 600], "stepSize": [0.03, 0.1], "maxDepth": [2, 3, 4], "subsamplingRate": [0.8, 1.0], "colsampleByTree": [0.8, 1.0], "regLambda": [1.0, 10.0], "minChildWeight": [1, 3, 5, 10], "balance": [False, True]}
 #: The parameter that says how many trees a family grows.
 TREES = {"rf": "numTrees", "gbt": "maxIter"}
 ROWS_PER_TASK = 20_000
@@ -28,11 +28,11 @@ def candidates(grid: dict[str, list]) -> list[dict]:
 
 
 def prepared(fit_on: DataFrame, to: DataFrame, scale: bool) -> DataFrame:
-    """(row_id, y, x) of long rows ``to``: medians, and scales, are those of ``fit_on``."""
+    """(row_id, y, x array<double>) of long rows ``to``: medians, and scales, are those of ``fit_on``."""
     filled = matrix.impute(to, fit_on)
     if scale:
         filled = matrix.standardise(filled, matrix.impute(fit_on))
-    return matrix.to_vectors(filled).select("row_id", "y", array_to_vector("features").alias("x"))
+    return matrix.to_vectors(filled).select("row_id", "y", F.col("features").alias("x"))
 
 
 def kept(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,38 +41,30 @@ def kept(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.coalesce(max(1, -(-rows.count() // ROWS_PER_TASK))), rows
 
 
-def weighted(rows: DataFrame, how: str = "balanced") -> tuple[DataFrame, int]:
-    """Adds w: 'balanced' lets both classes weigh alike, 'positive' gives label 1 the ratio of label 0 to it, 'none' is 1 for all."""
+def weighted(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Adds w, which lets both classes weigh alike, and the number of rows."""
     n = {r[0]: r[1] for r in rows.groupBy("y").agg(F.count(F.lit(1))).collect()}
     total = sum(n.values())
     w = F.lit(1.0)
-    for y, c in n.items() if how != "none" else ():
-        of = total / (len(n) * c) if how == "balanced" else n.get(0, 0) / c if y == 1 else 1.0
-        w = F.when(F.col("y") == y, of).otherwise(w)
+    for y, c in n.items():
+        w = F.when(F.col("y") == y, total / (len(n) * c)).otherwise(w)
     return rows.withColumn("w", w), total
 
 
-def estimator(family: str, params: dict, total: int, seed: int):
-    """``minSplit``: the least size of a node that is split, by the least size of its two children."""
-    common = {"featuresCol": "x", "labelCol": "y", "weightCol": "w"}
-    own = {k: v for k, v in params.items() if k not in ("minSplit", "balance")}
-    if family == "lr":
-        return LogisticRegression(**common, regParam=1 / (params["C"] * total), elasticNetParam=0.0, standardization=False, maxIter=10000)
-    if family == "rf":
-        own["minInstancesPerNode"] = max(params.get("minInstancesPerNode", 1), params.get("minSplit", 2) // 2)
-        return RandomForestClassifier(**common, **own, seed=seed)
-    return GBTClassifier(**common, **own, seed=seed)
-
-
 def fit(family: str, params: dict, train: DataFrame, seed: int = 42):
-    how = "balanced" if family != "gbt" else "positive" if params.get("balance", False) else "none"
-    rows, total = weighted(train, how)
-    return estimator(family, params, total, seed).fit(rows)
+    if family != "lr":
+        grow = forests.fit_small if forests.small(train) else forests.fit_tall
+        return grow(family, params, TREES[family], train, seed)
+    rows, total = weighted(train.withColumn("x", array_to_vector("x")))
+    return LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1 / (params["C"] * total), elasticNetParam=0.0, standardization=False, maxIter=10000).fit(rows)
 
 
 def scored(model, rows: DataFrame) -> DataFrame:
+    """row_id, label, score (of label 1) and pred."""
+    if isinstance(model, forests.Model):
+        return forests.scored(model, rows)
     p = vector_to_array("probability")[1]
-    return model.transform(rows).select("row_id", F.col("y").alias("label"), p.alias("score"), (p >= 0.5).cast("int").alias("pred"))
+    return model.transform(rows.withColumn("x", array_to_vector("x"))).select("row_id", F.col("y").alias("label"), p.alias("score"), (p >= 0.5).cast("int").alias("pred"))
 
 
 def evaluate(model, rows: DataFrame) -> tuple[float, float]:
@@ -82,29 +74,20 @@ def evaluate(model, rows: DataFrame) -> tuple[float, float]:
     return out
 
 
-def search(family: str, grid: dict[str, list], train: DataFrame, val: DataFrame, seed: int = 42, threads: int = 8, rungs: tuple[tuple[int, float], ...] = ((10, 0.125), (50, 0.25), (150, 0.34))) -> dict:
-    """A candidate of greatest AUC on the validation rows, the first of equals.
+def search(family: str, grid: dict[str, list], train: DataFrame, val: DataFrame, seed: int = 42, threads: int = 8) -> dict:
+    """A candidate of greatest AUC on the validation rows, the first of equals; every candidate is fitted in full.
 
-    Candidates are fitted several at a time.  Tree families go up rungs
-    (successive halving): every candidate of the grid is fitted with the few
-    trees of a rung, and the named share of them, best first, goes on; the last
-    ones are fitted with all their trees.  ``rungs=()`` fits all in full.
+    Trees of small tables are fitted a task each, and candidates that differ in
+    their number of trees alone share a fit; of taller tables, and of logistic
+    regressions, several fits of distributed jobs go on at a time.
     """
-    left = candidates(grid)
-    trees = TREES.get(family)
-
-    def auc(params: dict) -> float:
-        return evaluate(fit(family, params, train, seed), val)[0] or 0.0
-
-    with ThreadPoolExecutor(threads) as pool:
-        for n, share in rungs if trees else ():
-            few = [{**c, trees: min(n, c[trees])} for c in left]
-            each = list({tuple(c.items()): c for c in few}.values())  # those that differ in their number of trees alone
-            found = dict(zip((tuple(c.items()) for c in each), pool.map(auc, each), strict=True))
-            order = sorted(range(len(left)), key=lambda i: (-found[tuple(few[i].items())], i))
-            left = [left[i] for i in sorted(order[: max(1, int(len(left) * share))])]
-        got = list(pool.map(auc, left))
-    return left[max(range(len(left)), key=lambda i: (got[i], -i))]
+    tried = candidates(grid)
+    if family != "lr" and forests.small(train) and forests.small(val):
+        got = forests.grid_scores(family, tried, TREES[family], train, val, seed)
+    else:
+        with ThreadPoolExecutor(threads) as pool:
+            got = list(pool.map(lambda params: evaluate(fit(family, params, train, seed), val)[0] or 0.0, tried))
+    return tried[max(range(len(tried)), key=lambda i: (got[i], -i))]
 
 
 def train_and_evaluate(train: DataFrame, val: DataFrame, test: DataFrame, grids: dict[str, dict[str, list]], seed: int = 42) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortica.functions.expressions import label_or, numeric, probe_id, safe_ratio, text_or_blank
 from cohortica.operators import cohorts, information, matrix, metrics, models, stats, testing
+from cohortica.operators.order import written
 from cohortica.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -719,7 +720,7 @@ def _parts(spark, d):
     ids = seen.select("row_id", "part").unionByName(held.where("part = 'unseen'").select("row_id", F.lit("test").alias("part")))
     all_ = x.join(ids, "row_id")
     best = testing.top_features(testing.correct(testing.welch(all_.where("part = 'train'")), tie=("feat_ord",)), 8)
-    all_ = all_.join(F.broadcast(best.withColumnRenamed("protein", "feature")), "feature")  # a list of features
+    all_ = written(all_.join(F.broadcast(best.withColumnRenamed("protein", "feature")), "feature"), "parts")  # a list of features
     return tuple(all_.where(F.col("part") == p).drop("part") for p in ("train", "val", "test"))
 
 

@@ -268,20 +268,6 @@ def test_splits_keep_columns_of_any_name(spark):
     assert cohorts.sample_per_group(df, "id", "y", 3).columns == df.columns
 
 
-def test_grids_and_halving(spark, monkeypatch):
-    from cohortica.operators import models
-
-    assert [len(models.candidates(g)) for g in (models.LR_GRID, models.RF_GRID, models.GBT_GRID)] == [4, 96, 384]
-    tried = []
-    monkeypatch.setattr(models, "fit", lambda family, params, train, seed: tried.append(params) or params)
-    monkeypatch.setattr(models, "evaluate", lambda model, rows: (model["maxDepth"] * 100 + model["minInstancesPerNode"] + model["maxIter"] / 1000, 0.0))
-    best = models.search("gbt", models.GBT_GRID, None, None)
-    assert (best["maxDepth"], best["minInstancesPerNode"]) == (4, 10)
-    assert sum(p["maxIter"] == 10 for p in tried) == 192 and sum(p["maxIter"] >= 300 for p in tried) == 4
-    full = models.search("gbt", models.GBT_GRID, None, None, rungs=())
-    assert (full["maxDepth"], full["minInstancesPerNode"], full["maxIter"]) == (4, 10, 600)
-
-
 def test_information_from_marginals_and_within_classes(spark):
     r = np.random.default_rng(3)
     rows = [(i, int(a * b > 0), [float(a), float(b), float(c)]) for i, (a, b, c) in enumerate(r.normal(size=(300, 3)))]
