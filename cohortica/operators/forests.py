@@ -174,33 +174,58 @@ def _candidates(rule: Rules, seed: int, tree: int, nodes: list[int], width: int,
     return varies & (order <= kth)
 
 
-def _splits(rule: Rules, g: np.ndarray, h: np.ndarray, c: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of (node, feature, bin) sums: feature, bin and whether the split is worth it, of each node's best; the first of equals."""
-    gl, hl, cl = (np.cumsum(x, axis=2) for x in (g, h, c))
-    gr, hr, cr = (x[:, :, -1:] - x for x in (gl, hl, cl))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        score = gl * gl / (hl + rule.lam) + gr * gr / (hr + rule.lam)
-        gain = score - gl[:, :, -1:] ** 2 / (hl[:, :, -1:] + rule.lam)
-    ok = allowed[:, :, None] & (cl > 0) & (cr > 0)
+def _sums(keys: np.ndarray, size: int, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The keys (below ``size``) that occur, in order, how often, and the sums of each weight."""
+    if size <= 8 * len(keys):
+        count = np.bincount(keys, minlength=size)
+        held = np.flatnonzero(count)
+        return held, count[held], *(np.bincount(keys, w, size)[held] for w in weights)
+    held, inv, count = np.unique(keys, return_inverse=True, return_counts=True)
+    return held, count, *(np.bincount(inv, w) for w in weights)
+
+
+def _splits(rule: Rules, node: np.ndarray, feature: np.ndarray, keys: np.ndarray, size: int, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes worth a split, and feature and bin of the best one of each, the first of equals.
+
+    node, feature: of each pair that may be split, in this order; keys: pair * size
+    + bin of each row and pair; g, h: its gradient and Hessian.
+    """
+    held, c, g, h = _sums(keys, len(node) * size, g, h)
+    pair = held // size
+    first = np.searchsorted(pair, np.arange(len(node)))
+    parts = []
+    for x in (g, h, c):
+        up = np.cumsum(x)
+        before = np.concatenate([[0], up])[first]
+        total = np.diff(np.append(before, up[-1]))[pair]
+        parts.append((up - before[pair], total))
+    (gl, g), (hl, h), (cl, c) = parts
+    gr, hr, cr = g - gl, h - hl, c - cl
+    ok = cr > 0
     if rule.boosting:
         ok &= (hl >= rule.child) & (hr >= rule.child)
     else:
-        ok &= (cl >= rule.leaf) & (cr >= rule.leaf) & (cl[:, :, -1:] >= rule.split)
-    gain = np.round(np.where(ok & ~np.isnan(gain), gain, -np.inf), 10).reshape(len(g), -1)
-    best = gain.argmax(axis=1)
-    worth = gain[np.arange(len(g)), best] > (LEAST_GAIN if rule.boosting else -1.0)
-    return best // g.shape[2], best % g.shape[2], worth
+        ok &= (cl >= rule.leaf) & (cr >= rule.leaf) & (c >= rule.split)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = gl * gl / (hl + rule.lam) + gr * gr / (hr + rule.lam) - g * g / (h + rule.lam)
+    ok &= ~np.isnan(gain)
+    at = np.flatnonzero(ok)
+    if not len(at):
+        return at, at, at
+    gain, of = np.round(gain[at], 10), node[pair[at]]
+    nodes, start = np.unique(of, return_index=True)
+    best = np.maximum.reduceat(gain, start)
+    hit = np.flatnonzero(gain == np.repeat(best, np.diff(np.append(start, len(of)))))
+    hit = hit[np.unique(of[hit], return_index=True)[1]]
+    worth = best > (LEAST_GAIN if rule.boosting else -1.0)
+    at = at[hit][worth]
+    return nodes[worth], feature[pair[at]], held[at] % size
 
 
 def _leaf(rule: Rules, g: float, h: float) -> float:
     return (-g / (h + rule.lam) if h + rule.lam > 0 else 0.0) * (rule.rate if rule.boosting else 1.0)
 
 
-def _impure(rule: Rules, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Nodes that may be split: all when boosting, those with both labels in a forest."""
-    return np.ones(len(g), bool) if rule.boosting else (np.abs(g) > 1e-9) & (np.abs(g + h) > 1e-9)
-
-
 def grow(rule: Rules, bins: np.ndarray, y: np.ndarray, key: np.ndarray, margin: np.ndarray, seed: int, number: int, size: int) -> Tree:
     """A tree of a table in memory."""
     rows, g, h = _drawn(rule, key, y, margin, seed, number)
@@ -211,26 +236,37 @@ def grow(rule: Rules, bins: np.ndarray, y: np.ndarray, key: np.ndarray, margin:
     tree, width = Tree(), bins.shape[1]
     tree.value[0] = _leaf(rule, g.sum(), h.sum())
     active, slot, depth = [0], np.zeros(len(rows), np.int64), 0
-    while active and depth < (rule.depth or DEEPEST):
-        a = len(active)
-        flat = ((slot[:, None] * width + np.arange(width)) * size + bins[rows]).ravel()
-        sums = [np.bincount(flat, None if w is None else np.repeat(w, width), a * width * size).reshape(a, width, size) for w in (g, h, None)]
-        varies = (sums[2] > 0).sum(axis=2) > 1
-        whole = [s[:, 0].sum(axis=1) for s in sums]
-        f, b, worth = _splits(rule, *sums, _candidates(rule, seed, number, active, width, varies))
-        worth &= _impure(rule, whole[0], whole[1])
-        new, active_next = np.full(a, -1), []
-        for i in np.flatnonzero(worth):
-            new[i] = len(active_next)
-            left = tree.divide(active[i], int(f[i]), int(b[i]))
-            active_next += [left, left + 1]
-        keep = worth[slot]
-        rows, g, h, slot = rows[keep], g[keep], h[keep], slot[keep]
-        slot = new[slot] + (bins[rows, f[slot]] > b[slot])
-        gs, hs = np.bincount(slot, g, len(active_next)), np.bincount(slot, h, len(active_next))
-        for i, node in enumerate(active_next):
-            tree.value[node] = _leaf(rule, gs[i], hs[i])
-        active, depth = active_next, depth + 1
+    chosen = _candidates(rule, seed, number, [0], width, np.ones((1, width), bool))[0]
+    while active and len(rows) and depth < (rule.depth or DEEPEST):
+        a, own = len(active), bins[rows]
+        if rule.boosting:
+            allowed = np.broadcast_to(chosen, (a, width))
+        else:  # what differs within nodes of both labels
+            order = np.argsort(slot, kind="stable")
+            start = np.searchsorted(slot[order], np.arange(a))
+            varies = np.minimum.reduceat(own[order], start) < np.maximum.reduceat(own[order], start)
+            gs, hs = np.bincount(slot, g, a), np.bincount(slot, h, a)
+            allowed = varies & _candidates(rule, seed, number, active, width, varies) & ((np.abs(gs) > 1e-9) & (np.abs(gs + hs) > 1e-9))[:, None]
+        node, feature = np.nonzero(allowed)
+        if not len(node):
+            break
+        number_of = np.full((a, width), -1)
+        number_of[node, feature] = np.arange(len(node))
+        pair = number_of[slot]
+        i, j = np.nonzero(pair >= 0)
+        split, f, b = _splits(rule, node, feature, pair[i, j] * size + own[i, j], size, g[i], h[i])
+        new, at_f, at_b, fresh = np.full(a, -1), np.zeros(a, np.int64), np.zeros(a, np.int64), []
+        new[split], at_f[split], at_b[split] = 2 * np.arange(len(split)), f, b
+        for n, x, y_ in zip(split.tolist(), f.tolist(), b.tolist(), strict=True):
+            left = tree.divide(active[n], x, y_)
+            fresh += [left, left + 1]
+        keep = new[slot] >= 0
+        rows, g, h, slot, own = rows[keep], g[keep], h[keep], slot[keep], own[keep]
+        slot = new[slot] + (own[np.arange(len(rows)), at_f[slot]] > at_b[slot])
+        gs, hs = np.bincount(slot, g, len(fresh)), np.bincount(slot, h, len(fresh))
+        for n, x, y_ in zip(fresh, gs.tolist(), hs.tolist(), strict=True):
+            tree.value[n] = _leaf(rule, x, y_)
+        active, depth = fresh, depth + 1
     return tree
 
 
