@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Fixed values of our own.
 PALETTES = {
     "categorical": ["#1b7f79", "#e07b39", "#5b5f97", "#b8336a", "#8a9a5b", "#444444"],
@@ -15,3 +18,9 @@ PALETTES = {
 def get_colors(context: str = "categorical") -> list[str]:
     """Unknown contexts get the categorical palette."""
     return PALETTES.get(context, PALETTES["categorical"])
+
+
+def palette(context: Column) -> Column:
+    """The colours of a context as an array; unknown and missing ones get the categorical palette."""
+    known = F.create_map(*[x for name, colors in PALETTES.items() for x in (F.lit(name), F.array(*map(F.lit, colors)))])
+    return F.coalesce(F.try_element_at(known, context), F.array(*map(F.lit, PALETTES["categorical"])))

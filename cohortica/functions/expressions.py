@@ -51,6 +51,11 @@ def label_or(symbol: Column, fallback: Column) -> Column:
     return F.when(ok, symbol).otherwise(fallback)
 
 
+def zero_if_missing(c: Column) -> Column:
+    """0 for null and NaN."""
+    return F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
+
+
 def minus_log10(p: Column) -> Column:
     return -F.log10(F.greatest(F.lit(1e-300), F.least(F.lit(1.0), p)))
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortica.operators.order import running, written
+from cohortica.operators.order import running, scratch, written
 
 BINS = 256
 SMALL_CELLS = 1 << 23  # values of the training rows that one task may hold
@@ -425,7 +425,8 @@ def fit_tall(family: str, params: dict, trees: str, train: DataFrame, seed: int)
     rows = written(train.select(F.xxhash64("row_id").alias("key"), F.col("y").cast("int").alias("y"), F.lit(0.0).alias("margin"), F.pandas_udf(bins, "array<int>")("x").alias("bins")), "binned")
     model = Model(rule.boosting, edges, [])
     for t in range(params[trees]):
-        tree = grow_tall(rule, rows, seed, t, len(edges))
+        with scratch():
+            tree = grow_tall(rule, rows, seed, t, len(edges))
         model.trees.append(tree)
         if rule.boosting:
             rows = rows.withColumn("margin", F.col("margin") + _of_bins(tree.predict, "double"))

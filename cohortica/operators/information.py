@@ -200,6 +200,33 @@ def entropies(vectors: DataFrame, sets: list[tuple[int, ...]], k: int = 3) -> Da
     return _entropy(vectors, sets, k).select(_name(), F.col("h").alias("mi"))
 
 
+def decomposed_information(vectors: DataFrame, sets: list[tuple[int, ...]], k: int = 3) -> DataFrame:
+    """fs, h, mi: the entropy of each set, and H(X) - sum p H(X | label) with its sign; null where a label has k rows or fewer."""
+    vectors = vectors.where("y is not null")
+    inner = _entropy(vectors, sets, k, by_label=True).groupBy("dims").agg((F.sum(F.col("n") * F.col("h")) / F.sum("n")).alias("inner"), F.count_if(F.col("h").isNull()).alias("unknown"))
+    both = _entropy(vectors, sets, k).join(inner, "dims")
+    return both.select(_name(), "h", F.when(F.col("unknown") == 0, F.col("h") - F.col("inner")).alias("mi"))
+
+
+def _with_label(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """The label as one more feature, a number, and its place."""
+    vectors = vectors.where("y is not null")
+    width = vectors.agg(F.coalesce(F.max(F.size("features")), F.lit(0))).first()[0]
+    return vectors.withColumn("features", F.concat("features", F.array(F.col("y").cast("double")))), width
+
+
+def information_given_label(vectors: DataFrame, pairs: list[tuple[int, int]], k: int = 3) -> DataFrame:
+    """f1, f2, mi: I(a; b | label), the label taken as a number."""
+    vectors, y = _with_label(vectors)
+    return _cmi(vectors, [(*p, y) for p in pairs], k).select(*_pair(), "mi")
+
+
+def label_information_given(vectors: DataFrame, pairs: list[tuple[int, int]], k: int = 3) -> DataFrame:
+    """f1, f2, mi: I(a; label | b), the label taken as a number."""
+    vectors, y = _with_label(vectors)
+    return _cmi(vectors, [(a, y, b) for a, b in pairs], k).select(F.col("dims")[0].alias("f1"), F.col("dims")[2].alias("f2"), "mi")
+
+
 def class_conditional_information(vectors: DataFrame, pairs: list[tuple[int, int]], k: int = 3, method: str = "npeet") -> DataFrame:
     """I(a; b | label) of pairs of continuous features: the mean over the classes, each by its share."""
     _methods(method, "npeet", "sklearn", "metric", sklearn=True)
@@ -236,8 +263,8 @@ def interaction_ccd(vectors: DataFrame, pairs: list[tuple[int, int]], k: int = 3
     scale = method == "sklearn"
     plain = _ksg(vectors, pairs, ((0,), (1,)), k, scale)
     if method == "npeet_2":
-        width = vectors.agg(F.max(F.size("features"))).first()[0]
-        given = _cmi(vectors.withColumn("features", F.concat("features", F.array(F.col("y").cast("double")))), [(*p, width) for p in pairs], k)
+        labelled, place = _with_label(vectors)
+        given = _cmi(labelled, [(*p, place) for p in pairs], k)
         return _minus(plain, given.withColumn("dims", F.slice("dims", 1, 2))).select(*_pair(), "mi")
     return _minus(plain, _by_class(vectors, pairs, k, scale)).select(*_pair(), "mi")
 

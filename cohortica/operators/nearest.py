@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortica.operators.order import running, written
+from cohortica.operators.order import running, scratch, written
 
 LINE_ROWS = 4096  # rows of a block of a line, besides its ends
 CELL_ROWS = 1024  # points of a cell at most
@@ -124,16 +124,17 @@ def _part(n: Column, dims: int) -> Column:
 
 def cells(points: DataFrame, by: list[str], dims: int, ident: str) -> DataFrame:
     """points (by, ident, x array<double>) with cell, unique within the group, and slab, the part along the first dimension."""
-    out = points.withColumn("cell", F.lit(0).cast("bigint"))
-    sizes = points.groupBy(*by).agg(_part(F.count(F.lit(1)), dims).alias("parts"))
-    total = sizes.withColumnsRenamed({c: f"{c}_g" for c in by})
-    for d in range(dims):
-        out = running(out.withColumn("v", F.col("x")[d]), [*by, "cell"], ["v", ident], place=F.lit(1))
-        held = out.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n")).withColumnsRenamed({c: f"{c}_h" for c in [*by, "cell"]})  # a row a cell
-        out = out.join(held, [F.col(c).eqNullSafe(F.col(f"{c}_h")) for c in [*by, "cell"]]).join(total, [F.col(c).eqNullSafe(F.col(f"{c}_g")) for c in by])
-        cell = F.col("cell") * F.col("parts") + F.floor(F.col("place") * F.col("parts") / F.col("n"))
-        out = out.select(*by, ident, "x", cell.alias("cell"), (cell if d == 0 else F.col("slab")).alias("slab"))
-    return written(out, "cells")
+    with scratch() as keep:
+        out = points.withColumn("cell", F.lit(0).cast("bigint"))
+        sizes = points.groupBy(*by).agg(_part(F.count(F.lit(1)), dims).alias("parts"))
+        total = sizes.withColumnsRenamed({c: f"{c}_g" for c in by})
+        for d in range(dims):
+            out = running(out.withColumn("v", F.col("x")[d]), [*by, "cell"], ["v", ident], place=F.lit(1))
+            held = out.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n")).withColumnsRenamed({c: f"{c}_h" for c in [*by, "cell"]})  # a row a cell
+            out = out.join(held, [F.col(c).eqNullSafe(F.col(f"{c}_h")) for c in [*by, "cell"]]).join(total, [F.col(c).eqNullSafe(F.col(f"{c}_g")) for c in by])
+            cell = F.col("cell") * F.col("parts") + F.floor(F.col("place") * F.col("parts") / F.col("n"))
+            out = out.select(*by, ident, "x", cell.alias("cell"), (cell if d == 0 else F.col("slab")).alias("slab"))
+        return keep(written(out, "cells"))
 
 
 def _slabs(celled: DataFrame, by: list[str], dims: int) -> DataFrame:

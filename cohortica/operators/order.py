@@ -8,8 +8,10 @@ as ranges are drawn from a sample and would differ in a second run.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,17 +30,51 @@ def spare(columns: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+_scopes = threading.local()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the folder that all executors share; lineage ends there."""
+    """The rows as a table in the folder that all executors share; lineage ends there.  See ``scratch`` for when it goes."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    if getattr(_scopes, "made", None) is not None:
+        _scopes.made.append((spark, path))
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written within the block are deleted at its end, but for those handed to the function it gives, which then belong to the block around."""
+    around = getattr(_scopes, "made", None)
+    made: list[tuple] = []
+    _scopes.made = made
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._written_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.made = around
+        for spark, path in made:
+            if path in kept:
+                if around is not None:
+                    around.append((spark, path))
+                continue
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def dealt(df: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:

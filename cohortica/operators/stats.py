@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortica.functions.expressions import quoted
-from cohortica.operators.order import percentiles, running, written
+from cohortica.operators.order import percentiles, running, spare, written
 
 LAST_PAIRS = 1 << 20  # distances of clusters that one task may hold
 PANEL = 1 << 20  # pairs of features of which a task adds up sums
@@ -122,13 +122,23 @@ def cube_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.cube(a, b).agg(F.count(F.lit(1)).alias("n"))
 
 
-def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int, *by: str) -> DataFrame:
-    """Counts and densities of equal bins over [lo, hi]; the last bin is closed, values outside are left out."""
-    width = (hi - lo) / bins
-    at = F.least(F.floor((quoted(value) - lo) / width), F.lit(bins - 1)).cast("int")
-    counted = df.where(quoted(value).between(lo, hi)).groupBy(*by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*by))
-    return counted.withColumn("density", F.col("n") / (total * width))
+def histogram(df: DataFrame, value: str, lo: float | None, hi: float | None, bins: int, *by: str) -> DataFrame:
+    """Counts and densities of equal bins over [lo, hi]; the last bin is closed, values outside are left out.
+
+    An end that is None is that of the data, the same for all groups, so that
+    their bins are comparable.  Where all values are equal they are in bin 0, and
+    the density is null.
+    """
+    v = quoted(value).cast("double")
+    known = df.select(*[quoted(c) for c in by], v.alias("v")).where("v is not null and not isnan(v)")
+    (low, high) = spare(known.columns, "lo", "hi")
+    ends = known.agg(*[(f("v") if x is None else F.max(F.lit(float(x)))).alias(n) for x, f, n in ((lo, F.min, low), (hi, F.max, high))])
+    rows = known.crossJoin(F.broadcast(ends))  # one row
+    width = (F.col(high) - F.col(low)) / bins
+    at = F.when(width > 0, F.least(F.floor((F.col("v") - F.col(low)) / width), F.lit(bins - 1))).otherwise(0).cast("int")
+    counted = rows.where(F.col("v").between(F.col(low), F.col(high))).groupBy(*by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.first(width).alias("_w"))
+    total = F.sum("n").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))  # as many rows as bins
+    return counted.select(*by, "bin", "n", F.when(F.col("_w") > 0, F.col("n") / (total * F.col("_w"))).alias("density"))
 
 
 def edge_histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:

@@ -69,6 +69,11 @@ def ttest_order(results: DataFrame, script_order: bool = True) -> DataFrame:
     return results.orderBy("adj_p", F.desc("pval") if script_order else F.asc("pval"), "feat_ord")
 
 
+def information_order(results: DataFrame) -> DataFrame:
+    """By adj_p, and among equals by mi, the largest first."""
+    return results.orderBy("adj_p", F.desc("mi"), "feat_ord")
+
+
 def top_features(results: DataFrame, k: int = 10) -> DataFrame:
     """The feature list: column protein."""
     return ttest_order(results).limit(k).select(F.col("feature").alias("protein"))

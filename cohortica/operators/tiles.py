@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cohortica.functions.expressions import spare_double
 from cohortica.operators import nearest
-from cohortica.operators.order import written
+from cohortica.operators.order import scratch, written
 
 TILE_ROWS = 1 << 13  # rows of which one task may hold TILE features
 TILE = 8
@@ -167,21 +167,24 @@ def _by_cells(rows: DataFrame, sets: list[tuple[int, ...]], k: int, marginals: t
         shift = F.col("jit") * F.lit(JITTER if jitter else 0.0)
         points = rows.select("key", "grp", "jit", "features", jobs).join(table, "job").select("job", "grp", "key", F.transform("dims", lambda d: F.element_at("features", d + 1) + shift).alias("x"))
         by = ["job", "grp"]
-        if size == 1:
-            at = nearest.line_radius(points.select(*by, "key", F.col("x")[0].alias("v")), by, "v", "key", k)
-            found = at.select(*by, "key", F.array("v").alias("x"), F.when(F.col("kk") == k, F.col("radius")).alias("radius"))
-        else:
-            found = nearest.cell_radius(points, by, size, k)
-        found = written(found, "radius")
+        with scratch() as keep:
+            if size == 1:
+                at = nearest.line_radius(points.select(*by, "key", F.col("x")[0].alias("v")), by, "v", "key", k)
+                found = at.select(*by, "key", F.array("v").alias("x"), F.when(F.col("kk") == k, F.col("radius")).alias("radius"))
+            else:
+                found = nearest.cell_radius(points, by, size, k)
+            found = keep(written(found, "radius"))
         sums = found.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *([] if marginals else [F.sum(F.log("radius")).alias("s0")]))
         for j, m in enumerate(marginals):
             some = found.where("radius is not null").select(*by, "key", F.array(*[F.col("x")[i] for i in m]).alias("x"), "radius")
-            if len(m) == 1:
-                some = some.withColumn("v", F.col("x")[0])
-                held = nearest.line_counts(some.select(*by, "v"), some, by, "v", ["key"])
-            else:
-                held = nearest.cell_counts(some, some, by, len(m))
-            sums = sums.join(held.groupBy(*by).agg(F.sum(nearest.digamma(F.col("held"))).alias(f"s{j}")), by, "left")
+            with scratch() as keep:
+                if len(m) == 1:
+                    some = some.withColumn("v", F.col("x")[0])
+                    held = nearest.line_counts(some.select(*by, "v"), some, by, "v", ["key"])
+                else:
+                    held = nearest.cell_counts(some, some, by, len(m))
+                held = keep(written(held.groupBy(*by).agg(F.sum(nearest.digamma(F.col("held"))).alias(f"s{j}")), "sums"))
+            sums = sums.join(held, by, "left")
         sums = sums.join(table, "job").drop("job")
         out = sums if out is None else out.unionByName(sums)
     return out

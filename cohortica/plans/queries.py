@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortica.functions.expressions import label_or, numeric, probe_id, safe_ratio, text_or_blank
+from cohortica.functions.colors import palette
+from cohortica.functions.expressions import label_or, numeric, probe_id, safe_ratio, text_or_blank, truth, zero_if_missing
 from cohortica.operators import cohorts, information, matrix, metrics, models, stats, testing
 from cohortica.operators.order import written
-from cohortica.sources.tables import table
+from cohortica.sources.tables import info, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -462,6 +463,61 @@ def class_report(spark, d):
     return rounded(metrics.report(predicted(spark, d)), "precision", "recall", "f1")
 
 
+# -- orders, peeks, flags, palettes, bins of the data ------------------------
+
+
+@query(f"WITH {PVALUE} SELECT feature, row_number() OVER (ORDER BY adj_p, pval, pos) AS place FROM adjusted QUALIFY place <= 10")
+def ttest_notebook_order(spark, d):
+    """The ten first features by adj_p and then pval, both ascending."""
+    top = testing.ttest_order(tested(spark, d), script_order=False).limit(10)
+    return top.select("feature", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("adj_p", "pval", "feat_ord")).cast("bigint").alias("place"))
+
+
+@query("""WITH r AS (SELECT p_partkey, p_size, least(1.0, ((p_partkey * 7919) % 1000 + 1) / 1001.0 / 100 * count(*) OVER ()) AS adj_p FROM part)
+SELECT p_partkey, p_size, row_number() OVER (ORDER BY adj_p, p_size DESC, p_partkey) AS place FROM r QUALIFY place <= 25""")
+def information_order_top(spark, d):
+    """adj_p ascending, mi descending: 25 first parts, their size standing for mi."""
+    r = testing.correct(p_like(spark, d).withColumn("pval", F.col("pval") / 100), "bonferroni").join(table(spark, d, "part").select("p_partkey", F.col("p_size").alias("mi")), "p_partkey")
+    top = testing.information_order(r.withColumn("feat_ord", F.col("p_partkey"))).limit(25)
+    return top.select("p_partkey", F.col("mi").alias("p_size"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("adj_p", F.desc("mi"), "p_partkey")).cast("bigint").alias("place"))
+
+
+@query("""WITH c AS (SELECT count(*) AS n, count(doc_id) AS a, count(text) AS b, count(lang) AS c, count(source) AS d, count(n_chars) AS e FROM documents)
+SELECT CAST(i AS INTEGER) AS at, ['doc_id', 'text', 'lang', 'source', 'n_chars'][i + 1] AS column, ['bigint', 'string', 'string', 'string', 'bigint'][i + 1] AS type, n AS n_rows, [a, b, c, d, e][i + 1] AS n_known FROM c, range(5) t(i)""")
+def table_info(spark, d):
+    return info(table(spark, d, "documents"))
+
+
+FLAGS = "CASE o_orderkey % 7 WHEN 0 THEN ' True ' WHEN 1 THEN 'FALSE' WHEN 2 THEN '1' WHEN 3 THEN '0.0' WHEN 4 THEN 'yes' WHEN 5 THEN '' END"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN lower(trim({FLAGS})) IN ('true', '1', '1.0') THEN 1 WHEN lower(trim({FLAGS})) IN ('false', '0', '0.0') THEN 0 END AS flag FROM orders")
+def truth_flags(spark, d):
+    """Flags spelt in many ways; what is neither is missing, and not true as any text would be."""
+    return table(spark, d, "orders").select("o_orderkey", truth(F.expr(FLAGS)).alias("flag"))
+
+
+@query("SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'binary' WHEN 1 THEN 'diverging' WHEN 2 THEN 'sequential_teal' ELSE n_name END AS context, CASE n_regionkey WHEN 0 THEN 2 WHEN 1 THEN 5 WHEN 2 THEN 5 ELSE 6 END AS n_colors, CASE n_regionkey WHEN 1 THEN '#0c4a46' WHEN 2 THEN '#e3f4f2' ELSE '#1b7f79' END AS first_color FROM nation")
+def palette_lookup(spark, d):
+    r = F.col("n_regionkey")
+    n = table(spark, d, "nation").select("n_nationkey", F.when(r == 0, "binary").when(r == 1, "diverging").when(r == 2, "sequential_teal").otherwise(F.col("n_name")).alias("context"))
+    return n.select("n_nationkey", "context", F.size(palette(F.col("context"))).alias("n_colors"), palette(F.col("context"))[0].alias("first_color"))
+
+
+@query("""WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
+b AS (SELECT l_linestatus, least(floor((l_extendedprice - lo) / ((hi - lo) / 12)), 11) AS bin, (hi - lo) / 12 AS w FROM lineitem, e)
+SELECT l_linestatus, CAST(bin AS INTEGER) AS bin, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY l_linestatus) * any_value(w)), 9) AS density FROM b GROUP BY 1, 2""")
+def shared_hist(spark, d):
+    """Bins over the range of all the data, the same in each group."""
+    return rounded(stats.histogram(table(spark, d, "lineitem"), "l_extendedprice", None, None, 12, "l_linestatus"), "density", places=9)
+
+
+@query("SELECT f1, f2, coalesce(r, 0) AS r FROM (" + ORACLE["corr_pairs_all"] + ")")
+def corr_zero_filled(spark, d):
+    """As the heat map's distances take it: 0 where there is no correlation."""
+    return rounded(stats.correlations(matrix.impute(long_matrix(spark, d))), "r").withColumn("r", zero_if_missing(F.col("r")))
+
+
 # -- joins and unions of results --------------------------------------------
 
 
@@ -654,6 +710,18 @@ def mi_cd_kl_all(spark, d):
     return rounded(information.mutual_information(long_matrix(spark, d, missing=False), K, "npeet").drop("feat_ord"), "mi")
 
 
+def _metric_sql(width: int) -> str:
+    one = lambda i: f"SELECT '{i}' AS fs, round({entropy_sql([i])}, 5) AS h, round({entropy_sql([i])} - (SELECT avg(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END) FROM w) * {entropy_sql([i], 'b.y = 0')} - (SELECT avg(CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END) FROM w) * {entropy_sql([i], 'b.y = 1')}, 5) + 0.0 AS mi"
+    return f"WITH {wide_sql(width)} " + " UNION ALL ".join(map(one, range(width)))
+
+
+@query(_metric_sql(64))
+def metric_information(spark, d):
+    """Entropy of each feature, and what it loses within the labels, with its sign."""
+    out = information.decomposed_information(all_vectors(spark, d), [(i,) for i in range(width(spark, d))], K)
+    return rounded(out, "h", "mi", places=5).withColumn("mi", F.col("mi") + 0.0)
+
+
 @query()
 def mi_cc_ksg_all(spark, d):
     return rounded(information.pair_information(all_vectors(spark, d), pairs(spark, d), K), "mi")

@@ -77,6 +77,14 @@ def read_inputs(spark: SparkSession, seen: str, unseen: str, features: str, vali
     return a, b, names
 
 
+def info(df: DataFrame) -> DataFrame:
+    """at (place), column, type, n_rows, n_known (neither null nor NaN) of every column, in one pass."""
+    seen = [quoted(f.name).isNotNull() & (~F.isnan(quoted(f.name)) if isinstance(f.dataType, (DoubleType, FloatType)) else F.lit(True)) for f in df.schema]
+    counts = df.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*[F.count_if(c) for c in seen]).alias("known"))
+    names = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type")) for i, f in enumerate(df.schema)])
+    return counts.select("n_rows", F.explode(F.arrays_zip(names.alias("f"), F.col("known").alias("k"))).alias("c")).select("c.f.at", "c.f.column", "c.f.type", "n_rows", F.col("c.k").alias("n_known"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
