@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortica.operators.order import running
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -52,7 +54,11 @@ def preferences(pairs: DataFrame, turns: DataFrame) -> DataFrame:
     rejected and the masks chosen_mask and rejected_mask.
     """
     convs = conversations(turns)
-    both = pairs.join(convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("a")), "chosen_id").join(convs.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("b")), "rejected_id")
+    return _formatted(pairs.join(convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("a")), "chosen_id").join(convs.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("b")), "rejected_id"))
+
+
+def _formatted(both: DataFrame) -> DataFrame:
+    """both: pair_id, chosen_id, rejected_id and the turns of either side, a and b."""
     least = F.least(F.size("a"), F.size("b"))
     differ = F.filter(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), lambda i: (F.element_at("a", i.cast("int"))["role"] != F.element_at("b", i.cast("int"))["role"]) | (F.element_at("a", i.cast("int"))["text"] != F.element_at("b", i.cast("int"))["text"]))
     both = both.withColumn("n", F.coalesce(F.try_element_at(differ, F.lit(1)) - 1, least))
@@ -70,6 +76,26 @@ def preferences(pairs: DataFrame, turns: DataFrame) -> DataFrame:
     )
 
 
+def rivals(turns: DataFrame) -> DataFrame:
+    """As ``preferences``, of every conversation with an assistant turn against itself with another's last answer.
+
+    chosen is the conversation (chosen_id, which is the pair_id too), rejected its
+    turns before its last assistant turn and then the last assistant turn of the
+    next conversation in the order of md5 of conv_id (rejected_id), the first one
+    following the last.  All turns before the last assistant turn are prompt.  An
+    only conversation is its own rival; a rival that answers alike leaves an empty
+    rejected completion, and the prompt then holds that turn too.
+    """
+    convs = conversations(turns)
+    last = F.array_max(F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)), lambda i: i.isNotNull()))
+    convs = convs.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("a"), last.alias("last")).where("last is not null")
+    placed = running(convs.withColumn("digest", F.md5(F.col("chosen_id").cast("string"))), [], ["digest", "chosen_id"], place=F.lit(1)).drop("digest")
+    n = placed.count()
+    donors = placed.select(F.pmod(F.col("place") - 1, F.lit(max(n, 1))).alias("place"), F.col("chosen_id").alias("rejected_id"), F.element_at("a", F.col("last")).alias("answer"))
+    both = placed.join(donors, "place").withColumn("b", F.concat(F.slice("a", F.lit(1), F.col("last") - 1), F.array("answer")))
+    return _formatted(both.withColumn("pair_id", F.col("chosen_id")))
+
+
 def neighbours(turns: DataFrame) -> DataFrame:
     """Pairs of conversations 2 i (chosen) and 2 i + 1 (rejected)."""
     ids = turns.where("conv_id is not null").select("conv_id").distinct()

@@ -27,7 +27,9 @@ SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_
 
 OP6 = """WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS a FROM t GROUP BY 1),
-p AS (SELECT x.conv_id // 2 AS pair_id, x.conv_id AS chosen_id, y.conv_id AS rejected_id, x.a AS a, y.a AS b FROM c x JOIN c y ON x.conv_id % 2 = 0 AND y.conv_id = x.conv_id + 1),
+e AS (SELECT *, list_max(list_filter(range(1, len(a) + 1), lambda i: a[i].role = 'assistant')) AS last FROM c),
+o AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(conv_id AS VARCHAR)), conv_id) - 1 AS place, count(*) OVER () AS m FROM e WHERE last IS NOT NULL),
+p AS (SELECT x.conv_id AS pair_id, x.conv_id AS chosen_id, y.conv_id AS rejected_id, x.a AS a, list_append(x.a[1:x.last - 1], y.a[y.last]) AS b FROM o x JOIN o y ON y.place = (x.place + 1) % x.m),
 n AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS n FROM p)
 SELECT pair_id, chosen_id, rejected_id, n AS n_prompt_turns, """ + ", ".join(
     f"array_to_string(list_transform({part}, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), '') AS {name}" for part, name in (("a[1:n]", "prompt"), ("a[n+1:]", "chosen"), ("b[n+1:]", "rejected"))

@@ -47,8 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _docs(spark, sf_dir, "conversations")
-    return chat.preferences(chat.neighbours(turns), turns)
+    return chat.rivals(_docs(spark, sf_dir, "conversations"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

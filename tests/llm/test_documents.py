@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -280,3 +281,33 @@ def test_preferences(spark):
     assert out[2]["prompt"] == "" and out[2]["chosen"].startswith("<|im_start|>unknown\n")
     assert [out[2]["rejected"][s:e] for s, e in out[2]["rejected_mask"]] == ["é<|im_end|>"]
     assert chat.preferences(chat.neighbours(turns.limit(0)), turns.limit(0)).count() == 0
+
+
+def test_rivals(spark):
+    r = random.Random(6)
+    rows = []
+    for c in range(40):
+        roles = ["user", "assistant"] * r.randrange(1, 4) + ["user"] * r.randrange(2)
+        rows += [(c, i, role, f"{role} {c} {i}" if r.random() < 0.8 else "same", "x") for i, role in enumerate(roles)]
+    rows += [(50, 0, "user", "alone", "x"), (51, 0, "assistant", None, "x"), (52, 0, None, "?", "x"), (None, 0, "assistant", "a", "x"), (53, None, "assistant", "a", "x"), (3, 0, *rows[[x[0] for x in rows].index(3)][2:4], "x")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string, Place string")
+    got = {x["pair_id"]: x for x in chat.rivals(turns).collect()}
+    talks = {}
+    for c, i, role, text, _ in sorted(set(rows), key=str):
+        if c is not None and i is not None:
+            talks.setdefault(c, []).append((i, role or "unknown", text or ""))
+    talks = {c: [t[1:] for t in sorted(v)] for c, v in talks.items()}
+    last = {c: max((i for i, t in enumerate(v) if t[0] == "assistant"), default=None) for c, v in talks.items()}
+    order = sorted((hashlib.md5(str(c).encode()).hexdigest(), c) for c in talks if last[c] is not None)
+    assert len(got) == len(order)
+    for j, (_, c) in enumerate(order):
+        other = order[(j + 1) % len(order)][1]
+        a, b = talks[c], talks[c][: last[c]] + [talks[other][last[other]]]
+        n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        show = lambda ts: "".join(f"<|im_start|>{role}\n{text}<|im_end|>\n" for role, text in ts)
+        x = got[c]
+        assert (x["chosen_id"], x["rejected_id"], x["n_prompt_turns"], x["prompt"], x["chosen"], x["rejected"]) == (c, other, n, show(a[:n]), show(a[n:]), show(b[n:]))
+        assert n >= last[c] and [x["rejected"][s:e] for s, e in x["rejected_mask"]] == [t + "<|im_end|>" for role, t in b[n:]]
+    assert sum(x["n_prompt_turns"] > 0 for x in got.values()) >= 38
+    assert chat.rivals(turns.limit(0)).count() == 0
+    assert chat.rivals(turns.where("conv_id = 51")).first()["rejected_id"] == 51
