@@ -77,7 +77,7 @@ def _windows(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataF
     kept = cut(items.withColumn("f", let(F.col("w"), lambda w: let(grams(w, gram), lambda g: winnowed(g, reach + 1)))))
     sought = cut(kept.select(F.explode("f").alias("h")).distinct())
     marked = docs.select("k", F.explode_outer(let(words(F.col("text")), lambda w: let(grams(w, gram), lambda g: winnowed(g, reach + 1)))).alias("h"))
-    hits = save(marked.join(sought, "h").groupBy("k").agg(F.collect_set("h").alias("hits")), "hits")  # at most the benchmark's hashes
+    hits = save(marked.join(small(sought), "h").groupBy("k").agg(F.collect_set("h").alias("hits")), "hits")  # at most the benchmark's hashes
     some = docs.join(small(hits.select("k")), "k", "left_semi")  # while documents with hits are few, no other text is shuffled
     found = some.join(hits, "k").groupBy("k").agg(F.first("text").alias("text"), F.first("hits").alias("hits"))
     d = found.select("k", F.explode(let(words(F.col("text")), lambda w: _around(w, gram, window, F.col("hits")))).alias("x"))
