@@ -50,14 +50,13 @@ def vectors_to_long(df: DataFrame, vector: str, row_id: str, y) -> DataFrame:
 
 
 def medians(long: DataFrame) -> DataFrame:
-    """Exact, per feature."""
-    found = percentiles(long, ["feature"], "value", (0.5,)).select(F.col("feature").alias("of"), F.col("p0").alias("median"))
-    return long.select("feature").distinct().join(found, F.col("feature") == F.col("of"), "left").select("feature", "median")  # null where no value is known
+    """Exact, of each feature with a known value."""
+    return percentiles(long, ["feature"], "value", (0.5,)).select("feature", F.col("p0").alias("median"))
 
 
 def impute(long: DataFrame, fitted: DataFrame | None = None) -> DataFrame:
-    """Missing values by the medians of ``fitted`` (of the same shape; by default the rows themselves)."""
-    return long.join(medians(fitted if fitted is not None else long), "feature").withColumn("value", F.coalesce("value", "median")).drop("median")
+    """Missing values by the medians of ``fitted`` (of the same shape; by default the rows themselves); null where no value is known."""
+    return long.join(medians(fitted if fitted is not None else long), "feature", "left").withColumn("value", F.coalesce("value", "median")).drop("median")
 
 
 def standardise(long: DataFrame, fitted: DataFrame | None = None) -> DataFrame:

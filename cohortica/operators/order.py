@@ -113,7 +113,7 @@ def percentiles(df: DataFrame, by: list[str], value: str, shares: Iterable[float
     """
     counts = df.where(quoted(value).isNotNull()).groupBy(*[quoted(c).alias(c) for c in by], quoted(value).alias("value")).agg(F.count(F.lit(1)).alias("held"))
     placed = running(counts, by, ["value"], before=F.col("held"))
-    total = counts.groupBy(*[quoted(c).alias(f"{c}_of") for c in by]).agg(F.sum("held").alias("n"))
+    total = placed.groupBy(*[quoted(c).alias(f"{c}_of") for c in by]).agg(F.sum("held").alias("n"))  # of the table that the ranges are, not of the rows anew
     on = F.lit(True)
     for c in by:
         on = on & quoted(c).eqNullSafe(F.col(f"{c}_of"))
