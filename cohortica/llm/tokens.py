@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortica.llm._store import save
+from cohortica.llm._store import save, small
 from cohortica.llm._text import U, mix
+from cohortica.operators.order import running
 
 #: Pre-tokenisation of byte-level BPE with the 50k vocabulary (a fixed value of that tokenizer).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -124,8 +125,10 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = 512) -> DataFrame:
     """Numbered sequences: seq (0 .. count - 1), doc_id, chunk, n_tokens, tokens (little-endian uint16, padded with END).
 
     Each document's ids end with END and are cut every ``length``; a null or
-    empty text is the sequence of END alone.  The numbers follow the partitions
-    of the written table; only one count per partition comes to the driver.
+    empty text is the sequence of END alone.  Documents are numbered in the order
+    of (doc_id, md5 of the text), nulls first, so a sequence's number hangs on the
+    documents alone and not on files or partitions; repeated rows follow each
+    other and are alike.  Of an empty table there are no sequences.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,21 +149,18 @@ def sequences(docs: DataFrame, vocabulary: str, length: int = 512) -> DataFrame:
                 chunk = np.arange(n) - first[doc]
                 records = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * 2 * length, 2 * length, dtype=np.int32)), pa.py_buffer(out)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(made, made + n)), ids_.take(pa.array(a + doc)), pa.array(chunk), pa.array(np.minimum(lens[doc] - chunk * length, length)), records],
-                    names=["part", "at", "doc_id", "chunk", "n_tokens", "tokens"],
+                    [pa.array(np.full(n, part, np.int32)), pa.array(made + doc), ids_.take(pa.array(a + doc)), b.column("digest").take(pa.array(a + doc)), pa.array(many[doc]), pa.array(chunk), pa.array(np.minimum(lens[doc] - chunk * length, length)), records],
+                    names=["part", "at", "doc_id", "digest", "chunks", "chunk", "n_tokens", "tokens"],
                 )
-                made += n
-
-    table = save(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, at bigint, doc_id bigint, chunk bigint, n_tokens bigint, tokens binary"),
-        "sequences",
-    )
-    counts = {r[0]: r[1] for r in table.groupBy("part").agg(F.max("at") + 1).collect()}
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    offsets = docs.sparkSession.createDataFrame([(p, o, total) for p, o in before.items()] or [(0, 0, 0)], "part int, before bigint, total bigint")
-    return table.join(F.broadcast(offsets), "part").select((F.col("before") + F.col("at")).alias("seq"), "total", "doc_id", "chunk", "n_tokens", "tokens")  # a row per partition
+                made += len(lens)
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.unhex(F.md5("text")).alias("digest"))
+    table = save(rows.mapInArrow(run, "part int, at bigint, doc_id bigint, digest binary, chunks bigint, chunk bigint, n_tokens bigint, tokens binary"), "sequences")
+    heads = table.where("chunk = 0").select("part", "at", "doc_id", "digest", "chunks")
+    placed = save(running(heads, [], ["doc_id", "digest", "part", "at"], before=F.col("chunks")).select("part", "at", "before", "chunks"), "numbers")
+    total = placed.agg(F.coalesce(F.sum("chunks"), F.lit(0))).first()[0]
+    numbered = table.drop("chunks").join(small(placed.drop("chunks")), ["part", "at"])
+    return numbered.select((F.col("before") + F.col("chunk")).alias("seq"), F.lit(total).cast("bigint").alias("total"), "doc_id", "chunk", "n_tokens", "tokens")
 
 
 def training_order(numbered: DataFrame, key: int = 20240229) -> DataFrame:

@@ -311,3 +311,35 @@ def test_rivals(spark):
     assert sum(x["n_prompt_turns"] > 0 for x in got.values()) >= 38
     assert chat.rivals(turns.limit(0)).count() == 0
     assert chat.rivals(turns.where("conv_id = 51")).first()["rejected_id"] == 51
+
+
+def walked(x, n, key, rounds=6):
+    """A plain walk of the keyed permutation, one number at a time."""
+
+    def mixed(h):
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> shift)) * by % 2**64
+        return h ^ (h >> 31)
+
+    half = max(1, ((max(2, n) - 1).bit_length() + 1) // 2)
+    while True:
+        a, b = x >> half, x & ((1 << half) - 1)
+        for r in range(rounds):
+            a, b = b, a ^ (mixed((b + key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) % 2**64) & ((1 << half) - 1))
+        x = (a << half) | b
+        if x < n:
+            return x
+
+
+def test_training_order_is_of_the_documents_not_of_the_files(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    docs = [d for d in texts(11)[:75] if d[0] is not None] + [(5, "x y"), (5, "x y"), (5, None), (5, "")]
+    seen = []
+    for parts in (1, 40):
+        made = tokens.training_order(tokens.sequences(frame(spark, docs).repartition(parts), path, 32), 77).collect()
+        n = len(made)
+        assert sorted(r["slot"] for r in made) == sorted(r["seq"] for r in made) == list(range(n))
+        assert all(r["slot"] == walked(r["seq"], n, 77) for r in made)
+        seen.append(sorted((r["slot"], r["doc_id"], r["chunk"], bytes(r["tokens"])) for r in made))
+    assert seen[0] == seen[1]
+    assert tokens.shards(tokens.training_order(tokens.sequences(frame(spark, []), path, 32))).count() == 0
