@@ -62,7 +62,6 @@ def brute_tree(rule, x, y, key, margin, seed, number):
 @pytest.mark.parametrize("family,params", [("gbt", GBT), ("gbt", GBT | {"minChildWeight": 5, "regLambda": 10.0, "balance": False}), ("rf", RF), ("rf", RF | {"maxDepth": 2, "featureSubsetStrategy": "sqrt"})])
 def test_trees_against_every_split(spark, family, params):
     df, x, y = table(spark)
-    _, labels, keys = forests._held(df)
     key = np.array([r[0] for r in df.orderBy("row_id").select(F.xxhash64("row_id")).collect()])
     rule = forests.rules(family, params, int((y == 0).sum()), int((y == 1).sum()))
     margin, total = np.zeros(len(y)), np.zeros(len(y))
