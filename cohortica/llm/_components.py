@@ -59,18 +59,20 @@ def of_pairs(table: DataFrame, pairs: DataFrame) -> DataFrame:
     return table.join(F.broadcast(ids), "id", "left_semi")
 
 
-def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], deeper: Callable[[DataFrame, int], DataFrame | None] | None = None, rare: int | None = None, pivots: int | None = None) -> DataFrame | None:
+def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], deeper: Callable[[DataFrame, int], DataFrame | None] | None = None, rare: int | None = None, pivots: int | None = None, stars: int = 2, alike: str = "true") -> DataFrame | None:
     """Groups of the nodes that links connect; a link lies between two members of a bucket.
 
     members: b (bucket), id and whatever ``near`` looks at, a cheap test that
-    every link passes; verify: the pairs (p, x) that are links.  -> node, root
-    of every linked node, None if there is no link.
+    every link passes in one of its buckets at least; verify: the pairs (p, x)
+    that are links.  -> node, root of every linked node, None if there is no
+    link.  alike: of which members ``near`` says the same in all buckets.
 
     Pairs are compared only where their ends are in different groups so far.
 
     1. Buckets of up to ``rare`` members are compared as they are; in larger
        ones ``pivots`` / 8 pivots or so meet all members, each member in one
-       bucket alone, and then ``pivots`` in those that hold several groups yet.
+       bucket alone, and then ``pivots`` in those that hold several groups yet,
+       and eight times as many if ``stars`` is 3.
     2. Where they do so even then, the members outside of a bucket's largest
        group meet all members, in blocks of ``BLOCK``.  Of buckets over
        ``BLOCK`` without a majority ``deeper`` gives finer ones, in which all
@@ -80,6 +82,7 @@ def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callabl
     own = [c for c in members.columns if c not in ("b", "id")]
     label: DataFrame | None = None
     rows, turn, level = members, 0, 0
+    met = [pivots // 8 or 1, pivots, pivots * 8][:stars]
 
     def pairs(one: DataFrame, two: DataFrame, on: list[str], apart: str) -> DataFrame:
         """Pairs of a bucket that may be linked; where ``bs``, first buckets of each, have some in common, in the first of these alone."""
@@ -99,21 +102,21 @@ def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callabl
         made.append(large)
         none = F.lit(None).cast("array<bigint>")
         pivot = lambda n: F.expr(f"pmod(xxhash64(id), shiftleft(1L, cast(greatest(ceil(log2(m / {n})), 0) as int))) = 0")
-        if turn < 2:
+        if turn < stars:
             star = save(gathered(large).groupBy("id").agg(F.max_by(F.struct("b", "m", "c", *own), F.struct("m", "b")).alias("r")).select("id", "r.*").withColumn("bs", none), "stars")
             made.append(star)
-            found = pairs(star.where(pivot(pivots if turn else pivots // 8 or 1)), star, ["b"], "_id <> id")
+            found = pairs(star.where(pivot(met[turn])), star, ["b"], "_id <> id")
         if turn == 0:
             few = named.where(F.col("m") <= rare).withColumn("bs", none)
             found = found.unionByName(pairs(few, few, ["b"], "_id < id"))
-        if turn == 2:
+        if turn == stars:
             split = f"m > {BLOCK} and 2 * held <= m"
             most = save(large.groupBy("b", "c").agg(F.count(F.lit(1)).alias("held")).groupBy("b").agg(F.max(F.struct("held", "c")).alias("top")).select("b", "top.held", F.col("top.c").alias("main")), "majorities")
             of = save(large.join(small(most), "b"), "open")
             made += [most, of]
             finer = deeper(of.where(split).select("b", "id", *own), level) if deeper else None
             stay = of.where(f"not ({split})") if finer is not None else of
-            stay = stay.join(stay.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("b")), 1, RARE).alias("bs")), "id")
+            stay = stay.join(stay.groupBy("id").agg(F.when(F.min(F.expr(alike)), F.slice(F.sort_array(F.collect_list("b")), 1, RARE)).alias("bs")), "id")
             blocks = F.ceil(F.col("m") / BLOCK).cast("int")
             open_ = stay.where("c <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), blocks - 1)))
             found = pairs(open_, stay.withColumn("salt", F.pmod(F.xxhash64("id"), blocks).cast("int")), ["b", "salt"], "_id <> id")
@@ -126,7 +129,7 @@ def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callabl
         before, label = label, components(all_)
         if before is not None:
             discard(before)
-        if turn < 2:
+        if turn < stars:
             rows, turn = large.select("b", "id", *own), turn + 1
             rows = save(rows, "members")
         elif finer is not None:

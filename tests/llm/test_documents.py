@@ -242,6 +242,27 @@ def test_lines_against_edit_distance_alone(spark, monkeypatch, rare):
         assert len(got) >= least * len(want)
 
 
+@pytest.mark.parametrize("rare, percent", [(64, 90), (2, 90), (64, 80)])
+def test_short_lines_lose_no_link(spark, monkeypatch, rare, percent):
+    monkeypatch.setattr(lines, "RARE", rare)
+    monkeypatch.setattr(lines, "PIVOTS", rare)
+    r = random.Random(9)
+    texts = ["a" * n for n in (8, 9, 10, 11, 12, 40, 44)] + ["b" * 59, "b" * 30 + "xxxxx" + "b" * 29]
+    for n in range(1, lines.SHORT, 2):
+        base = "".join(r.choice("abcd ") for _ in range(n))
+        texts.append(base)
+        for _ in range(5):  # edits all over the line, one after the other
+            t = base
+            for _ in range(r.randint(0, max(1, n * (100 - percent) // 100))):
+                i = r.randrange(len(t) + 1)
+                t = r.choice([t[:i] + "x" + t[i:], t[:i] + t[i + 1 :], t[:i] + "y" + t[i + 1 :]])
+            texts.append(t)
+    texts = [t for t in (" ".join(t.split()) for t in texts) if t and (len(t) < (lines.SHORT if percent == 90 else 40) or "bbbb" in t)]
+    root = line_groups(texts, percent)
+    got = {x["doc_id"] for x in lines.line_report(frame(spark, list(enumerate(texts))), percent).where("n_removed > 0").collect()}
+    assert got == {i for i in range(len(texts)) if root[i] != i}
+
+
 def test_what_lies_between_like_words(spark):
     r = random.Random(6)
     some = lambda: " ".join(r.choice(["a", "b", "ab", "é"]) for _ in range(r.randint(1, 5)))
