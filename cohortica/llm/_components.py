@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortica.llm._store import SMALL_ROWS, discard, gathered, save, small
+from cohortica.llm._store import FEW_ROWS, SMALL_ROWS, discard, gathered, save, small
 
 DOUBLINGS = 2
 RARE, PIVOTS, BLOCK = 64, 64, 4096
@@ -59,7 +59,7 @@ def of_pairs(table: DataFrame, pairs: DataFrame) -> DataFrame:
     return table.join(F.broadcast(ids), "id", "left_semi")
 
 
-def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], deeper: Callable[[DataFrame, int], DataFrame | None] | None = None, rare: int | None = None, pivots: int | None = None, stars: int = 2, alike: str = "true") -> DataFrame | None:
+def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], deeper: Callable[[DataFrame, int], DataFrame | None] | None = None, rare: int | None = None, pivots: int | None = None, stars: int = 2, alike: str = "true", parts: int = 1) -> DataFrame | None:
     """Groups of the nodes that links connect; a link lies between two members of a bucket.
 
     members: b (bucket), id and whatever ``near`` looks at, a cheap test that
@@ -77,6 +77,9 @@ def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callabl
        group meet all members, in blocks of ``BLOCK``.  Of buckets over
        ``BLOCK`` without a majority ``deeper`` gives finer ones, in which all
        their links lie, and 1 follows.  No link between groups is lost.
+       With ``parts`` over 1 one in so many of these pairs is verified first,
+       then three, then four times as many, and each time those alone whose
+       ends are in different groups yet.
     """
     rare, pivots = rare or RARE, pivots or PIVOTS
     own = [c for c in members.columns if c not in ("b", "id")]
@@ -122,13 +125,30 @@ def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callabl
             found = pairs(open_, stay.withColumn("salt", F.pmod(F.xxhash64("id"), blocks).cast("int")), ["b", "salt"], "_id <> id")
         found = save(found.distinct(), "pairs")
         made.append(found)
-        new = save(verify(found), "links")
-        all_ = new.select(F.col("p").alias("a"), F.col("x").alias("b"))
-        if label is not None:  # what is known as edges to the roots
-            all_ = all_.unionByName(label.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        before, label = label, components(all_)
-        if before is not None:
-            discard(before)
+        dealt = [(0, 1)]
+        if turn == stars and parts > 1 and found.count() > FEW_ROWS:
+            ends = [0, 1] + [4**i for i in range(1, parts) if 4**i < parts] + [parts]
+            dealt = list(zip(ends, ends[1:]))
+        for lo, hi in dealt:
+            some = found
+            if len(dealt) > 1:
+                part = F.pmod(F.xxhash64("p", "x"), F.lit(parts))
+                some = found.where((part >= lo) & (part < hi))
+                for end in ("p", "x") if label is not None else ():
+                    root = small(label).select(F.col("node").alias(end), F.col("root").alias("_" + end))
+                    some = some.join(root, end, "left").withColumn("_" + end, F.coalesce("_" + end, end))
+                if label is not None:
+                    some = some.where("_p <> _x").select("p", "x")
+                some = save(some, "part")
+                made.append(some)
+            new = save(verify(some), "links")
+            made.append(new)
+            all_ = new.select(F.col("p").alias("a"), F.col("x").alias("b"))
+            if label is not None:  # what is known as edges to the roots
+                all_ = all_.unionByName(label.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            before, label = label, components(all_)
+            if before is not None:
+                discard(before)
         if turn < stars:
             rows, turn = large.select("b", "id", *own), turn + 1
             rows = save(rows, "members")
@@ -136,6 +156,6 @@ def connect(members: DataFrame, near: Callable[[Callable[[str], Column], Callabl
             rows, turn, level = save(finer, "members"), 0, level + 1
         else:
             rows = None
-        discard(*made, new)
+        discard(*made)
         if rows is None:
             return label

@@ -246,6 +246,7 @@ def test_lines_against_edit_distance_alone(spark, monkeypatch, rare):
 def test_short_lines_lose_no_link(spark, monkeypatch, rare, percent):
     monkeypatch.setattr(lines, "RARE", rare)
     monkeypatch.setattr(lines, "PIVOTS", rare)
+    monkeypatch.setattr(_components, "FEW_ROWS", 0)
     r = random.Random(9)
     texts = ["a" * n for n in (8, 9, 10, 11, 12, 40, 44)] + ["b" * 59, "b" * 30 + "xxxxx" + "b" * 29]
     for n in range(1, lines.SHORT, 2):
