@@ -44,6 +44,12 @@ def test_t_tail():
     assert t_tail(np.array([2.0, 2.0, 2.0, 0.0, np.inf]), np.array([1.0, 2.0, 10.0, 5.0, 5.0])) == pytest.approx([1 - 2 / math.pi * math.atan(2), 1 - 2 / math.sqrt(6), 0.0733880348, 1.0, 0.0], abs=1e-9)
 
 
+def test_t_tail_far_out():
+    # by integration of the density with 50 digits: 1 - integral would lose all of these
+    t, df = np.array([7.915147526410022, 6.662803653649559, 5.516187743110638]), np.array([48241.90057348251, 48241.570570780474, 48151.59290881554])
+    assert np.allclose(t_tail(t, df), [2.5219269671e-15, 2.7153220051e-11, 3.4820936168e-08], rtol=1e-7, atol=0)
+
+
 def test_corrections(spark):
     d = spark.createDataFrame([(f"f{i}", i, p) for i, p in enumerate([0.01, 0.04, 0.03, 0.5, 0.04])], "feature string, feat_ord int, pval double")
     fdr = testing.correct(d, "fdr", tie=("feat_ord",))
