@@ -7,9 +7,12 @@ count.  ``sums`` gives, for each set, the sums that the estimators need.
 
 Tables of up to ``TILE_ROWS`` rows are cut into tiles of ``TILE`` features.  A
 task gets the tiles of its sets, so a row is copied once for each combination
-of tiles and not for each set, and the distances along a feature are shared by
-all sets of the task.  Taller tables go through ``nearest``, set by set, whose
-tasks hold a cell or a block of a line each.  Both count alike.
+of tiles and not for each set.  Its rows are dealt to leaves, so a set takes
+n log n steps and not n * n (``functions.balls``), and sets of the same
+features in another order share radius and counts.  Taller tables, and those
+over ``DENSE_ROWS`` with marginals of three features or more, go through
+``nearest``, set by set, whose tasks hold a cell or a block of a line each.
+All count alike.
 """
 
 from __future__ import annotations
@@ -21,16 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortica.functions import balls
 from cohortica.functions.expressions import spare_double
 from cohortica.operators import nearest
 from cohortica.operators.order import scratch, written
 
-TILE_ROWS = 1 << 13  # rows of which one task may hold TILE features
+TILE_ROWS = 1 << 17  # rows of which one task may hold TILE features
+DENSE_ROWS = 1 << 13  # rows whose distances are all worked out, where a marginal has more than two features
 TILE = 8
-SETS = 256  # sets of a task
-_PLANE = 1 << 18  # distances of one feature that are in memory at once
-_PLANES = 40  # such planes
-_TINY = 5e-324
+SETS = 512  # sets of a task
+_PLANE = 1 << 23  # numbers of the planes that a task keeps
 JITTER = 1e-10  # what moves equal points apart where a logarithm of their distance is needed
 
 
@@ -44,45 +47,13 @@ def _known(vectors: DataFrame, by_label: bool) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("key"), grp.alias("grp"), jit.alias("jit"), F.col("features").cast("array<double>").alias("features"))
 
 
-class _Planes:
-    """Distances of some rows to all rows of a group, along features and sets of them; the latest used are kept."""
-
-    def __init__(self, columns: dict[int, np.ndarray], rows: slice):
-        self.columns, self.rows, self.known = columns, rows, {}
-
-    def of(self, dims: tuple[int, ...], via: tuple[tuple[int, ...], ...] = ()) -> np.ndarray:
-        found = self.known.pop(dims, None)
-        if found is None:
-            if len(dims) == 1:
-                x = self.columns[dims[0]]
-                found = np.abs(x[self.rows, None] - x[None, :])
-            else:
-                part = next((m for m in via if len(m) == len(dims) - 1), dims[:-1])
-                rest = tuple(d for d in dims if d not in part) or dims[-1:]
-                found = np.maximum(self.of(part), self.of(rest))
-            while len(self.known) >= _PLANES:
-                del self.known[next(iter(self.known))]
-        self.known[dims] = found
-        return found
-
-
-def _kth(d: np.ndarray, k: int) -> np.ndarray:
-    """The (k + 1)-th least of each row: the point itself is among them."""
-    if k > 5:
-        return np.partition(d, k, axis=1)[:, k]
-    d, at = d.copy(), np.arange(len(d))
-    for _ in range(k):
-        d[at, d.argmin(axis=1)] = np.inf
-    return d.min(axis=1)
-
-
 def _psi(n: int) -> np.ndarray:
     table = np.concatenate([[np.nan, 0.0], np.cumsum(1.0 / np.arange(1, max(n, 1) + 1))])
     return table - 0.57721566490153286061
 
 
-def _tile_sums(columns: dict[int, np.ndarray], sets: np.ndarray, part: int, parts: int, k: int, marginals: tuple, scale: bool) -> np.ndarray:
-    """For each set, the sums over a part of the rows."""
+def _tile_sums(columns: dict[int, np.ndarray], sets: list[tuple[int, ...]], k: int, marginals: tuple, scale: bool) -> np.ndarray:
+    """The sums of each set; those of the same features follow each other."""
     n = len(next(iter(columns.values())))
     out = np.zeros((len(sets), max(1, len(marginals))))
     if n <= k:
@@ -90,23 +61,40 @@ def _tile_sums(columns: dict[int, np.ndarray], sets: np.ndarray, part: int, part
     if scale:
         columns = {f: x / (x.std() if x.std() > 0 else 1.0) for f, x in columns.items()}
     psi = _psi(n)
-    step = max(1, _PLANE // n)
-    for a in range(n * part // parts, n * (part + 1) // parts, step):
-        planes = _Planes(columns, slice(a, min(a + step, n * (part + 1) // parts)))
-        for i, dims in enumerate(sets):
-            subs = tuple(tuple(dims[j] for j in m) for m in marginals)
-            for m in subs:
-                planes.of(m)
-            r = _kth(planes.of(dims, subs), k)
-            if not marginals:
-                out[i, 0] += np.log(r).sum()
-            for j, m in enumerate(subs):
-                near = planes.of(m) < np.maximum(r, _TINY)[:, None]
-                out[i, j] += psi[np.bitwise_count(np.packbits(near, axis=1)).sum(axis=1, dtype=np.int64)].sum()
+    lines: dict[int, balls.Line] = {}
+    planes: dict[tuple[int, ...], balls.Plane] = {}
+    kept = max(2, _PLANE // (2 * (n + 1) * n.bit_length()))
+    now = None
+    for i, dims in enumerate(sets):
+        if tuple(sorted(dims)) != now:
+            now, known, ends = tuple(sorted(dims)), {}, {}
+            r = balls.radius([columns[f] for f in now], k)
+        if not marginals:
+            out[i, 0] = np.log(r).sum()
+        for j, m in enumerate(marginals):
+            of = tuple(sorted({dims[p] for p in m}))
+            if of not in known:
+                for f in of if len(of) < 3 else ():
+                    if f not in lines:
+                        lines[f] = balls.Line(columns[f])
+                    if f not in ends:
+                        ends[f] = lines[f].ends(columns[f], r)
+                if len(of) == 1:
+                    held = ends[of[0]][1] - ends[of[0]][0]
+                elif len(of) == 2:
+                    plane = planes.pop(of, None) or balls.Plane(lines[of[0]], lines[of[1]])
+                    while len(planes) >= kept:
+                        del planes[next(iter(planes))]
+                    planes[of] = plane  # the latest used
+                    held = plane.held(*ends[of[0]], *ends[of[1]])
+                else:
+                    held = balls.held([columns[f] for f in of], r)
+                known[of] = psi[held].sum()
+            out[i, j] = known[of]
     return out
 
 
-def _by_tiles(rows: DataFrame, sets: list[tuple[int, ...]], n: int, width: int, k: int, marginals: tuple, jitter: bool, scale: bool, schema: str) -> DataFrame:
+def _by_tiles(rows: DataFrame, sets: list[tuple[int, ...]], width: int, k: int, marginals: tuple, jitter: bool, scale: bool, schema: str) -> DataFrame:
     spark = rows.sparkSession
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -125,12 +113,11 @@ def _by_tiles(rows: DataFrame, sets: list[tuple[int, ...]], n: int, width: int,
         jobs.setdefault(tuple(sorted({d // TILE for d in s})), []).append(s)
     tasks = []
     for at, own in jobs.items():
-        own.sort(key=lambda s: (s[-1], *s[:-1]))  # neighbouring sets share planes
+        own.sort(key=lambda s: (sorted(s), s))  # sets of the same features, and those that share planes
         tasks += [(list(at), [list(s) for s in own[i : i + SETS]]) for i in range(0, len(own), SETS)]
-    parts = max(1, -(-n // 2048))
     made = spark.createDataFrame([(i, *t) for i, t in enumerate(tasks)], "task int, tiles array<int>, sets array<array<int>>")  # sets of features are metadata
     held = made.select("task", F.explode("tiles").alias("tile")).join(tiles, "tile").groupBy("task").agg(F.collect_list(F.struct("tile", "grp", "data")).alias("held"))  # as many tiles as a set has features
-    asked = held.join(made.select("task", "sets"), "task").select("task", "sets", "held", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    asked = held.join(made.select("task", "sets"), "task").select("task", "sets", "held")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -143,13 +130,10 @@ def _by_tiles(rows: DataFrame, sets: list[tuple[int, ...]], n: int, width: int,
                 own = [tuple(int(x) for x in s) for s in row.sets]
                 for g in np.unique(grp):
                     inside = {f: np.ascontiguousarray(x[grp == g]) for f, x in columns.items()}
-                    found = _tile_sums(inside, own, int(row.part), parts, k, marginals, scale)
+                    found = _tile_sums(inside, own, k, marginals, scale)
                     yield pd.DataFrame({"dims": [list(s) for s in own], "grp": int(g), "n": int((grp == g).sum()), **{f"s{j}": found[:, j] for j in range(found.shape[1])}})
 
-    tasks_at_once = max(1, min(len(tasks) * parts, 10_000))
-    sums = asked.repartition(tasks_at_once, "task", "part").mapInPandas(run, schema)
-    names = [c for c in sums.columns if c.startswith("s")]
-    return sums.groupBy("dims", "grp").agg(F.max("n").alias("n"), *(F.sum(c).alias(c) for c in names))
+    return asked.repartition(max(1, min(4 * len(tasks), 10_000)), "task").mapInPandas(run, schema)
 
 
 def _by_cells(rows: DataFrame, sets: list[tuple[int, ...]], k: int, marginals: tuple, jitter: bool, scale: bool) -> DataFrame:
@@ -203,8 +187,8 @@ def sums(vectors: DataFrame, sets: list[tuple[int, ...]], marginals: tuple[tuple
     rows = written(_known(vectors, by_label), "known")  # from here on a row has one key
     n, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("features")), F.lit(0))).first()
     names = [f"s{j}" for j in range(max(1, len(marginals)))]
-    if n > TILE_ROWS:
+    if n > (TILE_ROWS if max(map(len, marginals), default=0) < 3 else min(TILE_ROWS, DENSE_ROWS)):
         out = _by_cells(rows, sets, k, marginals, jitter, scale)
     else:
-        out = _by_tiles(rows, sets, n, max(1, width), k, marginals, jitter, scale, "dims array<int>, grp bigint, n bigint, " + ", ".join(f"{c} double" for c in names))
+        out = _by_tiles(rows, sets, max(1, width), k, marginals, jitter, scale, "dims array<int>, grp bigint, n bigint, " + ", ".join(f"{c} double" for c in names))
     return out.select("dims", "grp", "n", *[F.when(F.col("n") > k, F.col(c)).alias(c) for c in names])
