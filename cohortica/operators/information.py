@@ -20,7 +20,7 @@ from cohortica.operators import nearest, tiles
 from cohortica.operators.order import running, written
 
 PERMUTED_ROWS = 1 << 17  # rows of which a task may hold one feature and the orders of some rounds
-ROUNDS_AT_ONCE = 50
+ROUNDS_AT_ONCE = 25
 
 
 def _ross(points: DataFrame, by: list[str], k: int) -> DataFrame:
@@ -74,38 +74,44 @@ def permuted_information(long: DataFrame, rounds: int = 1000, k: int = 3, seed:
     A round's order is that of md5 of (row_id, seed, round), worked out once for
     all features; of the rows that have the feature, the i-th by row_id gets the
     label of the i-th in that order.  row_id is unique within a feature.  Up to
-    ``PERMUTED_ROWS`` rows a task takes a feature and ``ROUNDS_AT_ONCE`` rounds;
-    a taller table goes along the line, as the observed scores do.
+    ``PERMUTED_ROWS`` rows a task takes ``ROUNDS_AT_ONCE`` rounds, works out
+    their orders and meets the features one by one, each sorted once for all
+    these rounds; a taller table goes along the line, as the observed scores do.
     """
     x = written(long.where("value is not null and y is not null").select("row_id", F.col("y").cast("int").alias("y"), "feature", F.col("value").cast("double").alias("value")), "values")
     rows = x.select("row_id").distinct()
-    digest = F.md5(F.concat_ws("|", F.col("row_id").cast("string"), F.lit(str(seed)), F.col("round").cast("string")))
-    every = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")
     if rows.count() > PERMUTED_ROWS:
+        digest = F.md5(F.concat_ws("|", F.col("row_id").cast("string"), F.lit(str(seed)), F.col("round").cast("string")))
+        every = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")
         shuffled = x.select("*", every).withColumn("digest", digest)
         to = running(shuffled, ["feature", "round"], ["row_id"], i=F.lit(1)).select("feature", "round", "i", "row_id", "value")
         of = running(shuffled, ["feature", "round"], ["digest", "row_id"], i=F.lit(1)).select("feature", "round", "i", "y")
         return _ross(to.join(of, ["feature", "round", "i"]), ["feature", "round"], k)
     number = written(running(rows, [], ["row_id"], at=F.lit(1)), "numbers")
-    orders = number.select("row_id", "at", every).withColumn("digest", digest).groupBy("round").agg(F.transform(F.array_sort(F.collect_list(F.struct("digest", "at"))), lambda s: s["at"].cast("int")).alias("order"))
-    orders = written(orders.select((F.floor(F.col("round") / ROUNDS_AT_ONCE)).alias("block"), "round", "order"), "orders")
     column = x.join(number, "row_id").groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("at", "y", "value"))).alias("v"))
     column = written(column.select("feature", *[F.col("v")[c].alias(c) for c in ("at", "y", "value")]), "columns")
-    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((rounds - 1) // ROUNDS_AT_ONCE).cast("bigint"))).alias("block")
-    n = int(number.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = column.select("*", blocks).repartition(8 * n, "feature", "block").join(orders, "block").select("feature", "at", "y", "value", "round", "order")
+    text = F.concat_ws("|", F.col("row_id").cast("string"), F.lit(str(seed)), F.lit(""))
+    texts = number.agg(F.array_sort(F.collect_list(F.struct("at", text.alias("text")))).alias("v")).select(F.col("v")["text"].alias("texts"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // ROUNDS_AT_ONCE))).alias("block")
+    asked = written(texts, "texts").select(blocks, "texts").unionByName(column.select(blocks, "feature", "at", "y", "value"), allowMissingColumns=True)
+    asked = asked.repartition(4 * (1 + (rounds - 1) // ROUNDS_AT_ONCE), "block").sortWithinPartitions("block", F.col("texts").isNull())  # the texts of a block come first
+    at_once = ROUNDS_AT_ONCE
 
     def run(batches):
         for b in batches:
-            out = []
             for r in b.itertuples(index=False):
-                at, order = np.asarray(r.at, np.int64), np.asarray(r.order, np.int64)
-                label = np.full(len(order), -1, np.int64)
-                label[at] = np.asarray(r.y)
-                has = np.zeros(len(order), bool)
+                own = range(r.block * at_once, min((r.block + 1) * at_once, rounds))
+                if r.texts is not None:
+                    ids = [t.encode() for t in r.texts]
+                    orders = [nn.md5_order(ids, str(i).encode()) for i in own]
+                    continue
+                at, y, has = np.asarray(r.at, np.int64), np.asarray(r.y), np.zeros(len(ids), bool)
                 has[at] = True
-                out.append((r.feature, r.round, nn.mi_ross(np.asarray(r.value, float), label[order[has[order]]], k)))
-            yield pd.DataFrame(out, columns=["feature", "round", "mi"])
+                label = np.empty(len(ids), np.int64)
+                label[at] = y
+                column = nn.Column(np.asarray(r.value, float), y, k)
+                mi = [column.mi(label[order[has[order]]]) for order in orders]
+                yield pd.DataFrame({"feature": r.feature, "round": list(own), "mi": mi})
 
     return asked.mapInPandas(run, "feature string, round int, mi double")
 

@@ -1,9 +1,11 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests import dense
 
-from cohortica.functions import balls
+from cohortica.functions import balls, neighbours
 from cohortica.operators import information, tiles
 
 
@@ -45,3 +47,17 @@ def test_nine_thousand_rows_need_no_cells(spark, monkeypatch):
         some = [balls.held([x[f]], r) for f in (a, b)]
         assert got[a, b] == pytest.approx(dense.psi(9000) + dense.psi(3) - sum(tiles._psi(9000)[m].mean() for m in some), abs=1e-8)
     assert len(got) == 2
+
+
+def test_labellings_of_a_sorted_feature():
+    g = np.random.default_rng(3)
+    for n in (8, 50, 300):
+        x, y = np.round(g.normal(size=n), 1), np.arange(n) % 2  # tenths: distances that are equal on paper differ as they are computed
+        column = neighbours.Column(x, y, 5)
+        for _ in range(5):
+            z = g.permutation(y)
+            assert column.mi(z) == pytest.approx(dense.ross(x, z, 5), abs=1e-9)
+    texts = [f"{i}|42|".encode() for i in range(500)]
+    want = sorted(range(500), key=lambda i: hashlib.md5(texts[i] + b"7").hexdigest())
+    assert neighbours.md5_order(texts, b"7").tolist() == want
+    assert neighbours.md5_order([b"a", b"b", b"a"], b"").tolist() == sorted(range(3), key=lambda i: (hashlib.md5([b"a", b"b", b"a"][i]).digest(), i))
