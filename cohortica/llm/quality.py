@@ -70,7 +70,7 @@ def n_dup_lines(c: Chunk) -> np.ndarray:
     s, e, row = c.spans(inside)
     ws = np.concatenate([c.words[0], [np.iinfo(np.int64).max]])
     full = ws[np.searchsorted(ws, s)] < e if len(s) else np.zeros(0, bool)
-    later = repeated(row, c.hashed(inside, s, e))[1]
+    later = repeated(row, c.hashed(s, e))[1]
     return np.bincount(row[later & full], minlength=c.n)
 
 

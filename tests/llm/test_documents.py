@@ -1,11 +1,13 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from tests.llm import brute
 from tests.llm.test_repeats import frame, texts
 
-from cohortica.llm import _components, chat, decontaminate, jaccard, langid, lines, packing, quality, tokens
+from cohortica.llm import _components, _text, chat, decontaminate, jaccard, langid, lines, packing, quality, tokens
 
 
 def near_texts(seed=1):
@@ -365,3 +367,25 @@ def test_training_order_is_of_the_documents_not_of_the_files(spark):
         seen.append(sorted((r["slot"], r["doc_id"], r["chunk"], bytes(r["tokens"])) for r in made))
     assert seen[0] == seen[1]
     assert tokens.shards(tokens.training_order(tokens.sequences(frame(spark, []), path, 32))).count() == 0
+
+
+def test_words_are_counted_with_the_sets(spark):
+    docs = frame(spark, [(0, "A b  c d"), (1, None), (2, " \n"), (3, "one"), (4, "a B c d"), (4, "a B c d")])
+    of = {(r["doc_id"], r["words"]) for r in jaccard.memberships(docs, k=3, percent=90).join(jaccard.named(docs), "k").collect()}
+    assert of == {(0, 4), (3, 1), (4, 4)}
+    sized = packing.sizes(docs, None, jaccard.memberships(docs, k=3, percent=90))
+    assert "MapInArrow" not in sized._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["doc_id"], r["n"]) for r in sized.collect()) == [(0, 4), (1, 0), (2, 0), (3, 1), (4, 4), (4, 4)]
+
+
+def test_hashes_of_runs_are_those_of_their_bytes():
+    r = random.Random(1)
+    words = [bytes(r.choice(b"ab\x00") for _ in range(n)) for n in list(range(1, 140)) * 6]
+    at = np.cumsum([0] + [len(w) + 1 for w in words])
+    c = _text.Chunk(np.frombuffer(b" ".join(words) + b" ", np.uint8), np.array([0, at[-1]]), np.array([0]))
+    got: dict = {}
+    for w, h in zip(words, c.hashed(at[:-1], at[1:] - 1).tolist(), strict=True):
+        assert got.setdefault(w, h) == h
+    assert len(set(got.values())) == len(got)
+    rows = [x for x in _text.chunks(pa.array(["", "a b", None, " ", "c", "", "dd e  "]))]
+    assert [x.tolist() for x in rows[0].words] == [[0, 2, 4, 5, 8], [1, 3, 5, 7, 9], [1, 1, 4, 6, 6]]
