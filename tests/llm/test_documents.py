@@ -369,6 +369,26 @@ def test_training_order_is_of_the_documents_not_of_the_files(spark):
     assert tokens.shards(tokens.training_order(tokens.sequences(frame(spark, []), path, 32))).count() == 0
 
 
+@pytest.mark.parametrize("stars", [2, 3])
+def test_pairs_of_a_large_group_meet_once(spark, monkeypatch, stars):
+    kind, made = type(spark.range(1)), []
+    distinct = kind.distinct
+
+    def counted(df):
+        if df.columns == ["p", "x"]:
+            made.append((df.count(), distinct(df).count()))
+        return distinct(df)
+
+    monkeypatch.setattr(kind, "distinct", counted)
+    rows = spark.range(300).selectExpr("1L as b", "id", "id % 7 as r")
+    label = _components.connect(rows, lambda a, b: a("r") >= 0, lambda pairs: pairs.where("p % 7 = x % 7 and p % 7 < 5"), rare=8, pivots=8, stars=stars)
+    root = {r["node"]: r["root"] for r in label.collect()}
+    for i in range(5):
+        assert len({root[x] for x in range(i, 300, 7)}) == 1
+    assert len(set(root.values())) == 5 and all(x % 7 < 5 for x in root)
+    assert len(made) == stars + 1 and made[-1][1] > 0 and all(n == m for n, m in made)
+
+
 def test_words_are_counted_with_the_sets(spark):
     docs = frame(spark, [(0, "A b  c d"), (1, None), (2, " \n"), (3, "one"), (4, "a B c d"), (4, "a B c d")])
     of = {(r["doc_id"], r["words"]) for r in jaccard.memberships(docs, k=3, percent=90).join(jaccard.named(docs), "k").collect()}
