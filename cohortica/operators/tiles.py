@@ -8,8 +8,9 @@ count.  ``sums`` gives, for each set, the sums that the estimators need.
 Tables of up to ``TILE_ROWS`` rows are cut into tiles of ``TILE`` features.  A
 task gets the tiles of its sets, so a row is copied once for each combination
 of tiles and not for each set.  Its rows are dealt to leaves, so a set takes
-n log n steps and not n * n (``functions.balls``), and sets of the same
-features in another order share radius and counts.  Taller tables, and those
+n log n steps and not n * n (``kernels``; ``functions.balls`` where there is no
+compiler), and sets of the same features in another order share radius and
+counts.  Taller tables, and those
 over ``DENSE_ROWS`` with marginals of three features or more, go through
 ``nearest``, set by set, whose tasks hold a cell or a block of a line each.
 All count alike.
@@ -21,9 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortica import kernels
 from cohortica.functions import balls
 from cohortica.functions.expressions import spare_double
 from cohortica.operators import nearest
@@ -94,18 +98,37 @@ def _tile_sums(columns: dict[int, np.ndarray], sets: list[tuple[int, ...]], k: i
     return out
 
 
-def _by_tiles(rows: DataFrame, sets: list[tuple[int, ...]], width: int, k: int, marginals: tuple, jitter: bool, scale: bool, schema: str) -> DataFrame:
-    spark = rows.sparkSession
+def _asked(own: list[tuple[int, ...]], held: list[int], k: int, marginals: tuple, scale: bool) -> bytes:
+    """What the kernel ``Sets`` is asked, by places in the tiles that it holds."""
+    out = [k, int(scale), max(1, len(marginals)), TILE, len(own)]
+    for s in own:
+        out += [len(s), *(held.index(f // TILE) * TILE + f % TILE for f in s), len(marginals)]
+        for m in marginals:
+            out += [len(m), *m]
+    return np.array(out, "<i4").tobytes()
+
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
-        block = np.array(pdf["part"].tolist(), float).T.copy()
-        if jitter:
-            block += JITTER * pdf["jit"].to_numpy(float)
-        return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "grp": [pdf["grp"].to_numpy(np.int64).tobytes()], "data": [block.tobytes()]})
+def _by_tiles(rows: DataFrame, sets: list[tuple[int, ...]], width: int, k: int, marginals: tuple, jitter: bool, scale: bool, by_label: bool, schema: str) -> DataFrame:
+    spark = rows.sparkSession
+    sums = max(1, len(marginals))
+
+    def pack(table: pa.Table) -> pa.Table:
+        """A tile's columns as [8 or 4, rows, columns, values], of 4 bytes where these hold the same values; with the first one what rows have besides, as tiles -1 and -2."""
+        order = np.argsort(table["key"].to_numpy())
+        part = table["part"].combine_chunks()
+        if len(set(pc.list_value_length(part).to_pylist())) > 1:
+            raise ValueError("rows have different numbers of features")
+        block = np.ascontiguousarray(part.flatten().to_numpy(zero_copy_only=False).reshape(len(order), -1)[order].T)
+        with np.errstate(over="ignore"):
+            short = block.astype("<f4")
+        values = short if (short == block).all() else block.astype("<f8")
+        out = [(table["tile"][0].as_py(), np.array([values.itemsize, len(order), len(block)], "<i4").tobytes() + values.tobytes())]
+        if out[0][0] == 0:
+            out += [(-1, table["grp"].to_numpy()[order].astype("<i8").tobytes() if by_label else b""), (-2, (JITTER * table["jit"].to_numpy()[order]).astype("<f8").tobytes() if jitter else b"")]
+        return pa.table({"tile": pa.array([t for t, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
     cut = F.transform(F.sequence(F.lit(0), F.lit((width - 1) // TILE)), lambda t: F.slice("features", t * TILE + 1, F.lit(TILE)))
-    tiles = rows.select("key", "grp", "jit", F.posexplode(cut).alias("tile", "part")).groupBy("tile").applyInPandas(pack, "tile int, grp binary, data binary")
+    tiles = rows.select("key", "grp", "jit", F.posexplode(cut).alias("tile", "part")).groupBy("tile").applyInArrow(pack, "tile int, data binary")
     tiles = written(tiles, "tiles")
 
     jobs: dict[tuple[int, ...], list[tuple[int, ...]]] = {}
@@ -114,26 +137,43 @@ def _by_tiles(rows: DataFrame, sets: list[tuple[int, ...]], width: int, k: int,
     tasks = []
     for at, own in jobs.items():
         own.sort(key=lambda s: (sorted(s), s))  # sets of the same features, and those that share planes
-        tasks += [(list(at), [list(s) for s in own[i : i + SETS]]) for i in range(0, len(own), SETS)]
-    made = spark.createDataFrame([(i, *t) for i, t in enumerate(tasks)], "task int, tiles array<int>, sets array<array<int>>")  # sets of features are metadata
-    held = made.select("task", F.explode("tiles").alias("tile")).join(tiles, "tile").groupBy("task").agg(F.collect_list(F.struct("tile", "grp", "data")).alias("held"))  # as many tiles as a set has features
-    asked = held.join(made.select("task", "sets"), "task").select("task", "sets", "held")
+        tasks += [(list(at), own[i : i + SETS]) for i in range(0, len(own), SETS)]
+    asked = [(i, [-2, -1, *at], [list(s) for s in own], _asked(own, list(at), k, marginals, scale)) for i, (at, own) in enumerate(tasks)]
+    made = spark.createDataFrame(asked, "task int, tiles array<int>, sets array<array<int>>, asked binary")  # sets of features are metadata
+    places = max(1, min(4 * len(tasks), 10_000))
+    held = F.broadcast(made.select("task", F.explode("tiles").alias("tile"))).join(tiles, "tile").repartition(places, "task").groupBy("task")
+    held = held.agg(F.transform(F.array_sort(F.collect_list(F.struct("tile", "data"))), lambda t: t["data"]).alias("held"))  # as many tiles as a set has features
+    held = held.join(F.broadcast(made.select("task", "sets", "asked")), "task")
+
+    def parts(found: bytes, count: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Number, rows and sums of each group."""
+        words = np.frombuffer(found, "<i8")
+        values = words.view("<f8")
+        for at in range(1, len(words), 2 + count * sums):
+            yield int(words[at]), int(words[at + 1]), values[at + 2 : at + 2 + count * sums].reshape(count, sums)
+
+    def in_numpy(held: list[bytes], asked: list[tuple[int, ...]], tiles: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+        shift, grp, columns = np.frombuffer(held[0], "<f8"), np.frombuffer(held[1], "<i8"), {}
+        for t, data in zip(tiles, held[2:], strict=True):
+            size, n, _ = np.frombuffer(data, "<i4", 3)
+            for j, x in enumerate(np.frombuffer(data, f"<f{size}", -1, 12).astype(float).reshape(-1, n)):
+                columns[t * TILE + j] = x + shift if len(shift) else x
+        grp = grp if len(grp) else np.zeros(n, np.int64)
+        for g in np.unique(grp):
+            yield int(g), int((grp == g).sum()), _tile_sums({f: np.ascontiguousarray(x[grp == g]) for f, x in columns.items()}, asked, k, marginals, scale)
+
+    fast = kernels.ready(spark, "Sets")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples(index=False):
-                grp = np.frombuffer(row.held[0]["grp"], np.int64)
-                columns = {}
-                for t in row.held:
-                    for j, x in enumerate(np.frombuffer(t["data"], float).reshape(-1, len(grp))):
-                        columns[t["tile"] * TILE + j] = x
                 own = [tuple(int(x) for x in s) for s in row.sets]
-                for g in np.unique(grp):
-                    inside = {f: np.ascontiguousarray(x[grp == g]) for f, x in columns.items()}
-                    found = _tile_sums(inside, own, k, marginals, scale)
-                    yield pd.DataFrame({"dims": [list(s) for s in own], "grp": int(g), "n": int((grp == g).sum()), **{f"s{j}": found[:, j] for j in range(found.shape[1])}})
+                for g, n, found in parts(row.found, len(own)) if fast else in_numpy(list(row.held), own, sorted({d // TILE for s in own for d in s})):
+                    yield pd.DataFrame({"dims": [list(s) for s in own], "grp": g, "n": n, **{f"s{j}": found[:, j] for j in range(sums)}})
 
-    return asked.repartition(max(1, min(4 * len(tasks), 10_000)), "task").mapInPandas(run, schema)
+    if fast:
+        held = held.select("sets", kernels.call("Sets", F.slice("held", 3, F.size("held")), F.col("held")[1], F.col("held")[0], F.col("asked")).alias("found"))
+    return held.mapInPandas(run, schema)
 
 
 def _by_cells(rows: DataFrame, sets: list[tuple[int, ...]], k: int, marginals: tuple, jitter: bool, scale: bool) -> DataFrame:
@@ -190,5 +230,5 @@ def sums(vectors: DataFrame, sets: list[tuple[int, ...]], marginals: tuple[tuple
     if n > (TILE_ROWS if max(map(len, marginals), default=0) < 3 else min(TILE_ROWS, DENSE_ROWS)):
         out = _by_cells(rows, sets, k, marginals, jitter, scale)
     else:
-        out = _by_tiles(rows, sets, max(1, width), k, marginals, jitter, scale, "dims array<int>, grp bigint, n bigint, " + ", ".join(f"{c} double" for c in names))
+        out = _by_tiles(rows, sets, max(1, width), k, marginals, jitter, scale, by_label, "dims array<int>, grp bigint, n bigint, " + ", ".join(f"{c} double" for c in names))
     return out.select("dims", "grp", "n", *[F.when(F.col("n") > k, F.col(c)).alias(c) for c in names])
