@@ -20,18 +20,20 @@ grown.  Two ways to grow:
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortica import kernels
 from cohortica.operators.order import running, scratch, written
 
 BINS = 256
 SMALL_CELLS = 1 << 23  # values of the training rows that one task may hold
+TREES_PER_TASK = 25  # of a forest
 LEAST_GAIN = 1e-6  # of a boosted split
 DEEPEST = 64  # levels of a forest's tree, if it has no bound of its own
 _U = np.uint64
@@ -77,8 +79,28 @@ def rules(family: str, params: dict, negatives: int, positives: int) -> Rules:
     return Rules(True, params["maxDepth"], params["stepSize"], params["regLambda"], params["minChildWeight"], rows=params["subsamplingRate"], columns=params["colsampleByTree"], positive=weight)
 
 
+class _Walked:
+    def leaves(self, bins: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
+        return self._walk(bins, *self.nodes()[:3])
+
+    def predict(self, bins: np.ndarray) -> np.ndarray:
+        feature, at, left, value = self.nodes()
+        return value[self._walk(bins, feature, at, left)]
+
+    @staticmethod
+    def _walk(bins: np.ndarray, feature: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(bins), np.int64)
+        rows = np.arange(len(bins))
+        while len(rows):
+            rows = rows[feature[node[rows]] >= 0]
+            n = node[rows]
+            node[rows] = left[n] + (bins[rows, feature[n]] > at[n])
+        return node
+
+
 @dataclass
-class Tree:
+class Tree(_Walked):
     """Nodes: a row goes left where its bin of ``feature`` is at most ``bin``; leaves (feature -1) have values."""
 
     feature: list[int] = field(default_factory=lambda: [-1])
@@ -93,26 +115,39 @@ class Tree:
             part += [new, new]
         return self.left[node]
 
-    def leaves(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of each row."""
-        feature, at, left = (np.array(x) for x in (self.feature, self.bin, self.left))
-        node = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
-        while len(rows):
-            rows = rows[feature[node[rows]] >= 0]
-            n = node[rows]
-            node[rows] = left[n] + (bins[rows, feature[n]] > at[n])
-        return node
+    def nodes(self) -> tuple[np.ndarray, ...]:
+        return tuple(np.array(x) for x in (self.feature, self.bin, self.left, self.value))
 
-    def predict(self, bins: np.ndarray) -> np.ndarray:
-        return np.array(self.value)[self.leaves(bins)]
+
+@dataclass
+class Packed(_Walked):
+    """A tree as the kernel gives it: a byte a node for the feature (255: a leaf) and for the bin, and the leaves' values."""
+
+    features: bytes
+    bins: bytes
+    values: bytes
+
+    @property
+    def feature(self) -> list[int]:
+        return self.nodes()[0].tolist()
+
+    @property
+    def bin(self) -> list[int]:
+        return self.nodes()[1].tolist()
+
+    def nodes(self) -> tuple[np.ndarray, ...]:
+        feature, at = (np.frombuffer(x, np.uint8).astype(np.int64) for x in (self.features, self.bins))
+        leaf = feature == 255
+        feature[leaf], value = -1, np.zeros(len(leaf))
+        value[leaf] = np.frombuffer(self.values, "<f8")
+        return feature, at, np.where(leaf, 0, 2 * np.cumsum(~leaf) - 1), value
 
 
 @dataclass
 class Model:
     boosting: bool
     edges: list[np.ndarray]
-    trees: list[Tree]
+    trees: list[Tree | Packed]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Probability of label 1."""
@@ -302,24 +337,61 @@ def small(rows: DataFrame) -> bool:
     return n * width <= SMALL_CELLS
 
 
+def _fast(spark: SparkSession, edges: list[np.ndarray]) -> bool:
+    """Whether the kernel ``Trees`` can grow them: it has a byte for a feature and for a bin."""
+    return 0 < len(edges) < 255 and max(map(len, edges)) <= 256 and kernels.ready(spark, "Trees")
+
+
+def _table(spark: SparkSession, edges: list[np.ndarray], t: tuple, v: tuple | None = None) -> DataFrame:
+    """The one row that the kernel has of a table, and of the rows that it scores; see there."""
+    v = v or (np.zeros((0, len(edges))), np.zeros(0, np.int64), None)
+    head = np.array([len(t[1]), len(edges), max(map(len, edges)), len(v[1])], "<i4")
+    held = b"".join(x.tobytes() for x in (head, binned(t[0], edges).astype(np.uint8), t[1].astype(np.uint8), t[2].astype("<i8"), binned(v[0], edges).astype(np.uint8), v[1].astype(np.uint8)))
+    return F.broadcast(spark.createDataFrame([(held,)], "held binary"))
+
+
+def _job(rule: Rules, width: int, seed: int, trees: range, stages: Iterable[int] = ()) -> bytes:
+    few = rule.columns * width if rule.boosting else np.sqrt(width) if rule.at_node == "sqrt" else float(rule.at_node) * width
+    whole = [trees.start, trees.stop, int(rule.boosting), rule.depth or 0, rule.leaf, rule.split, max(1, int(few))]
+    real = [rule.rate, rule.lam, rule.child, rule.rows, rule.positive, LEAST_GAIN if rule.boosting else -1.0, *_POISSON]
+    return b"".join(np.array(x, kind).tobytes() for x, kind in (([seed], "<i8"), (whole, "<i4"), (real, "<f8"), ([len(stages), *stages], "<i4")))
+
+
+def _read(found: bytes) -> Iterator[Packed]:
+    at = 0
+    while at < len(found):
+        n = int.from_bytes(found[at : at + 4], "little")
+        features, bins = found[at + 4 : at + 4 + n], found[at + 4 + n : at + 4 + 2 * n]
+        at += 4 + 2 * n
+        yield Packed(features, bins, found[at : (at := at + 8 * features.count(b"\xff"))])
+
+
 def grid_scores(family: str, grid: list[dict], trees: str, train: DataFrame, val: DataFrame, seed: int) -> list[float]:
     """AUC on the validation rows of every candidate, in full; ``trees``: the parameter that says how many trees.  Small tables."""
     spark = train.sparkSession
     edges = edges_of(train)
     t, v = _held(train), _held(val)
-    shared = spark.sparkContext.broadcast((t, v, edges))
     fits: dict[tuple, dict[int, list[int]]] = {}
     for i, c in enumerate(grid):
         fits.setdefault(tuple((k, x) for k, x in c.items() if k != trees), {}).setdefault(c[trees], []).append(i)
-    jobs = spark.createDataFrame([(i, pickle.dumps((dict(p), stages))) for i, (p, stages) in enumerate(fits.items())], "fit int, job binary")  # candidates are metadata
+    ruled = [(i, rules(family, dict(p), int((t[1] == 0).sum()), int((t[1] == 1).sum())), stages) for i, (p, stages) in enumerate(fits.items())]
+
+    if _fast(spark, edges):
+        asked = [(i, _job(rule, len(edges), seed, range(max(stages)), sorted(stages))) for i, rule, stages in ruled]
+        jobs = spark.createDataFrame(spark.sparkContext.parallelize(asked, len(asked)), "fit int, job binary")  # candidates are metadata; a fit a task
+        found = jobs.crossJoin(_table(spark, edges, t, v)).select("fit", kernels.call("Trees", "held", "job").alias("found")).collect()
+        scores = {c: s for r in found for n, s in zip(sorted(ruled[r["fit"]][2]), np.frombuffer(r["found"], "<f8"), strict=True) for c in ruled[r["fit"]][2][n]}
+        return [float(scores[i]) for i in range(len(grid))]
+
+    shared = spark.sparkContext.broadcast((t, v, edges))
+    jobs = spark.createDataFrame([(i, pickle.dumps((rule, stages))) for i, rule, stages in ruled], "fit int, job binary")  # candidates are metadata
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t, v, edges = shared.value
         ahead = binned(v[0], edges)
         for b in batches:
             for job in b["job"]:
-                params, stages = pickle.loads(job)
-                rule = rules(family, params, int((t[1] == 0).sum()), int((t[1] == 1).sum()))
+                rule, stages = pickle.loads(job)
                 total, out = np.zeros(len(ahead)), []
                 for n, tree in _staged(rule, t, edges, max(stages), seed):
                     total += tree.predict(ahead)
@@ -331,18 +403,28 @@ def grid_scores(family: str, grid: list[dict], trees: str, train: DataFrame, val
 
 
 def fit_small(family: str, params: dict, trees: str, train: DataFrame, seed: int) -> Model:
-    """One task grows the model."""
+    """One task grows a boosted model; a forest's trees are dealt over tasks."""
+    spark = train.sparkSession
     edges = edges_of(train)
-    shared = train.sparkSession.sparkContext.broadcast((_held(train), edges))
+    t = _held(train)
+    rule, count = rules(family, params, int((t[1] == 0).sum()), int((t[1] == 1).sum())), params[trees]
+    if _fast(spark, edges):
+        step = count if rule.boosting else TREES_PER_TASK
+        parts = [range(a, min(a + step, count)) for a in range(0, count, step)]
+        asked = [(a.start, _job(rule, len(edges), seed, a)) for a in parts]
+        jobs = spark.createDataFrame(spark.sparkContext.parallelize(asked, max(1, len(asked))), "first int, job binary")
+        grown = jobs.crossJoin(_table(spark, edges, t)).select("first", kernels.call("Trees", "held", "job").alias("grown")).collect()
+        return Model(rule.boosting, edges, [tree for r in sorted(grown, key=lambda r: r["first"]) for tree in _read(r["grown"])])
+
+    shared = spark.sparkContext.broadcast((t, edges))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _ in batches:
             t, edges = shared.value
-            rule = rules(family, params, int((t[1] == 0).sum()), int((t[1] == 1).sum()))
-            yield pd.DataFrame({"model": [pickle.dumps([x for _, x in _staged(rule, t, edges, params[trees], seed)])]})
+            yield pd.DataFrame({"model": [pickle.dumps([x for _, x in _staged(rule, t, edges, count, seed)])]})
 
-    grown = train.sparkSession.range(0, 1, 1, 1).mapInPandas(run, "model binary").first()[0]
-    return Model(family != "rf", edges, pickle.loads(grown))
+    grown = spark.range(0, 1, 1, 1).mapInPandas(run, "model binary").first()[0]
+    return Model(rule.boosting, edges, pickle.loads(grown))
 
 
 # -- tall tables ------------------------------------------------------------

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortica import kernels
-from cohortica.operators import tiles
+from cohortica.operators import forests, models, tiles
 
 
 def _asked(n, kind):
@@ -46,3 +46,21 @@ def test_sums_without_a_compiler_are_the_same(spark, monkeypatch):
     for a, b in zip(*found, strict=True):
         assert len(a) and [r[:3] for r in a] == [r[:3] for r in b]
         assert np.array([r[3:] for r in a]) == pytest.approx(np.array([r[3:] for r in b]), rel=1e-9)
+
+
+@pytest.mark.parametrize("family,params,vary", [("gbt", {"stepSize": 0.3, "maxDepth": 4, "subsamplingRate": 0.8, "colsampleByTree": 0.8, "regLambda": 1.0, "minChildWeight": 1, "balance": True, "maxIter": 7}, {"maxIter": [3, 7], "subsamplingRate": [0.8, 1.0]}), ("rf", {"maxDepth": None, "minSplit": 5, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt", "numTrees": 30}, {"numTrees": [4, 9], "maxDepth": [None, 5]})])
+def test_trees_are_those_of_numpy(spark, monkeypatch, family, params, vary):
+    g = np.random.default_rng(5)
+    x = np.round(g.normal(size=(1500, 6)), 2)
+    x[:, 5], x[:, 4] = 1.0, x[:, 4] > 0
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (g.random(len(x)) < 0.2)).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), [float(v) for v in x[i]]) for i in range(len(x))], "row_id bigint, y int, x array<double>").cache()
+    train, val = df.where("row_id % 3 > 0"), df.where("row_id % 3 = 0")
+    grid = models.candidates({k: [v] for k, v in params.items()} | vary)
+    assert forests._fast(spark, forests.edges_of(train))
+    model, scores = forests.fit_small(family, params, models.TREES[family], train, 42), forests.grid_scores(family, grid, models.TREES[family], train, val, 42)
+    monkeypatch.setattr(forests, "_fast", lambda *_: False)
+    want = forests.fit_small(family, params, models.TREES[family], train, 42)
+    assert scores == pytest.approx(forests.grid_scores(family, grid, models.TREES[family], train, val, 42), abs=1e-9) and len(set(scores)) == 4
+    assert [(t.feature, t.bin) for t in model.trees] == [(t.feature, t.bin) for t in want.trees] and len(want.trees) in (7, 30)
+    assert model.scores(x) == pytest.approx(want.scores(x), abs=1e-9)
