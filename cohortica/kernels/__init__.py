@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 #: Classes, each after those that it uses.
-SOURCES = {"Sets": ("Line", "Tree", "Sweep", "Sets"), "Trees": ("Trees",)}
+SOURCES = {"Sets": ("Line", "Tree", "Sweep", "Sets"), "Trees": ("Trees",), "Labellings": ("Line", "Labellings")}
 _lock = threading.Lock()
 _ready: dict[tuple[str, str], bool] = {}
 

@@ -11,15 +11,20 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortica import kernels
 from cohortica.functions import neighbours as nn
 from cohortica.functions.expressions import spare_double
 from cohortica.operators import nearest, tiles
 from cohortica.operators.order import running, written
 
-PERMUTED_ROWS = 1 << 17  # rows of which a task may hold one feature and the orders of some rounds
+PERMUTED_ROWS = 1 << 20  # rows of which a task may hold COLUMNS features and the order of a round
+COLUMNS = 16  # features of a task, for
+ROUNDS = 64  # rounds
+NUMPY_ROWS = 1 << 17  # rows of which a task may hold one feature and the orders of some rounds without the kernel
 ROUNDS_AT_ONCE = 25
 
 
@@ -68,19 +73,67 @@ def mutual_information(long: DataFrame, k: int = 3, method: str = "sklearn") ->
     return names.join(found, "feature").select("feature", "feat_ord", "mi")
 
 
+def _labellings(x: DataFrame, number: DataFrame, n: int, rounds: int, k: int, seed: int) -> DataFrame:
+    """feature, round, mi by the kernel ``Labellings``, of x (at, y, feature, value) and the numbered rows (row_id, at)."""
+    spark = x.sparkSession
+
+    def column(table: pa.Table) -> pa.Table:
+        at, y, value = (table[c].to_numpy() for c in ("at", "y", "value"))
+        has = np.zeros(n, bool)
+        has[at] = True
+        if has.sum() < len(at):
+            raise ValueError("a row has a feature twice")
+        order = np.argsort(at)
+        labels, codes = np.unique(y[order], return_inverse=True)
+        codes = codes.astype(np.uint8 if len(labels) <= 256 else "<i4")
+        with np.errstate(over="ignore"):
+            short = value[order].astype("<f4")
+        value = short if (short == value[order]).all() else value[order].astype("<f8")
+        head = np.array([len(at), codes.itemsize, value.itemsize, len(labels)], "<i4")
+        data = b"".join(v.tobytes() for v in (head, np.packbits(has, bitorder="little"), codes, value))
+        return pa.table({"feature": table["feature"][:1], "data": pa.array([data], pa.binary())})
+
+    def ids(table: pa.Table) -> pa.Table:
+        text = [t.encode() for t in table.sort_by("at")["text"].to_pylist()]
+        begin = np.cumsum([0, *map(len, text)]).astype("<i4")
+        return pa.table({"texts": pa.array([b"".join([np.array([len(text)], "<i4").tobytes(), begin.tobytes(), *text])], pa.binary())})
+
+    columns = written(x.groupBy("feature").applyInArrow(column, "feature string, data binary"), "columns")
+    text = F.concat_ws("|", F.col("row_id").cast("string"), F.lit(str(seed)), F.lit(""))
+    texts = written(number.select("at", text.alias("text")).groupBy(F.lit(0).alias("all")).applyInArrow(ids, "texts binary"), "texts")
+    names = [r[0] for r in columns.select("feature").collect()]
+    parts = [(names[i : i + COLUMNS], a, min(a + ROUNDS, rounds)) for i in range(0, len(names), COLUMNS) for a in range(0, rounds, ROUNDS)]
+    made = spark.createDataFrame([(i, own, np.array([a, b, k], "<i4").tobytes()) for i, (own, a, b) in enumerate(parts)], "task int, own array<string>, asked binary")  # features and rounds are metadata
+    of = made.select("task", "asked", F.explode("own").alias("feature"))
+    every = columns.join(F.broadcast(of), "feature").select("task", "asked", "feature", "data").unionByName(texts.crossJoin(F.broadcast(made.select("task", "asked"))).select("task", "asked", F.lit(None).cast("string").alias("feature"), F.col("texts").alias("data")))
+    held = every.repartition(max(1, 4 * len(parts)), "task").groupBy("task", "asked").agg(F.array_sort(F.collect_list(F.struct(F.col("feature").isNotNull(), "feature", "data"))).alias("v"))  # the texts come first
+    own = F.slice("v", 2, F.size("v") - 1)
+    found = held.select("asked", own["feature"].alias("features"), kernels.call("Labellings", F.col("v")[0]["data"], own["data"], "asked").alias("found"))
+
+    def run(batches):
+        for b in batches:
+            for r in b.itertuples(index=False):
+                first, end, _ = np.frombuffer(r.asked, "<i4")
+                for name, mi in zip(r.features, np.frombuffer(r.found, "<f8").reshape(-1, end - first), strict=True):
+                    yield pd.DataFrame({"feature": name, "round": np.arange(first, end), "mi": mi})
+
+    return found.mapInPandas(run, "feature string, round int, mi double")
+
+
 def permuted_information(long: DataFrame, rounds: int = 1000, k: int = 3, seed: int = 42) -> DataFrame:
     """feature, round, mi (Ross): each round shuffles the labels, alike for all features.
 
     A round's order is that of md5 of (row_id, seed, round), worked out once for
     all features; of the rows that have the feature, the i-th by row_id gets the
     label of the i-th in that order.  row_id is unique within a feature.  Up to
-    ``PERMUTED_ROWS`` rows a task takes ``ROUNDS_AT_ONCE`` rounds, works out
-    their orders and meets the features one by one, each sorted once for all
-    these rounds; a taller table goes along the line, as the observed scores do.
+    ``PERMUTED_ROWS`` rows a task takes ``COLUMNS`` features, each sorted once,
+    and works out the orders of ``ROUNDS`` rounds one after the other; a taller
+    table goes along the line, as the observed scores do.
     """
     x = written(long.where("value is not null and y is not null").select("row_id", F.col("y").cast("int").alias("y"), "feature", F.col("value").cast("double").alias("value")), "values")
     rows = x.select("row_id").distinct()
-    if rows.count() > PERMUTED_ROWS:
+    n, fast = rows.count(), kernels.ready(x.sparkSession, "Labellings")
+    if n > (PERMUTED_ROWS if fast else min(PERMUTED_ROWS, NUMPY_ROWS)):
         digest = F.md5(F.concat_ws("|", F.col("row_id").cast("string"), F.lit(str(seed)), F.col("round").cast("string")))
         every = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")
         shuffled = x.select("*", every).withColumn("digest", digest)
@@ -88,6 +141,8 @@ def permuted_information(long: DataFrame, rounds: int = 1000, k: int = 3, seed:
         of = running(shuffled, ["feature", "round"], ["digest", "row_id"], i=F.lit(1)).select("feature", "round", "i", "y")
         return _ross(to.join(of, ["feature", "round", "i"]), ["feature", "round"], k)
     number = written(running(rows, [], ["row_id"], at=F.lit(1)), "numbers")
+    if fast:
+        return _labellings(x.join(number, "row_id"), number, n, rounds, k, seed)
     column = x.join(number, "row_id").groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("at", "y", "value"))).alias("v"))
     column = written(column.select("feature", *[F.col("v")[c].alias(c) for c in ("at", "y", "value")]), "columns")
     text = F.concat_ws("|", F.col("row_id").cast("string"), F.lit(str(seed)), F.lit(""))

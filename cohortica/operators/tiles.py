@@ -10,10 +10,8 @@ task gets the tiles of its sets, so a row is copied once for each combination
 of tiles and not for each set.  Its rows are dealt to leaves, so a set takes
 n log n steps and not n * n (``kernels``; ``functions.balls`` where there is no
 compiler), and sets of the same features in another order share radius and
-counts.  Taller tables, and those
-over ``DENSE_ROWS`` with marginals of three features or more, go through
-``nearest``, set by set, whose tasks hold a cell or a block of a line each.
-All count alike.
+counts.  Taller tables go through ``nearest``, set by set, whose tasks hold a
+cell or a block of a line each.  All count alike.
 """
 
 from __future__ import annotations
@@ -33,8 +31,9 @@ from cohortica.functions.expressions import spare_double
 from cohortica.operators import nearest
 from cohortica.operators.order import scratch, written
 
-TILE_ROWS = 1 << 17  # rows of which one task may hold TILE features
-DENSE_ROWS = 1 << 13  # rows whose distances are all worked out, where a marginal has more than two features
+TILE_ROWS = 1 << 20  # rows of which one task may hold TILE features
+NUMPY_ROWS = 1 << 17  # the same without the kernel
+DENSE_ROWS = 1 << 13  # rows whose distances are all worked out without the kernel, where a marginal has more than two features
 TILE = 8
 SETS = 512  # sets of a task
 _PLANE = 1 << 23  # numbers of the planes that a task keeps
@@ -227,7 +226,8 @@ def sums(vectors: DataFrame, sets: list[tuple[int, ...]], marginals: tuple[tuple
     rows = written(_known(vectors, by_label), "known")  # from here on a row has one key
     n, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("features")), F.lit(0))).first()
     names = [f"s{j}" for j in range(max(1, len(marginals)))]
-    if n > (TILE_ROWS if max(map(len, marginals), default=0) < 3 else min(TILE_ROWS, DENSE_ROWS)):
+    most = TILE_ROWS if kernels.ready(vectors.sparkSession, "Sets") else min(TILE_ROWS, NUMPY_ROWS if max(map(len, marginals), default=0) < 3 else DENSE_ROWS)
+    if n > most:
         out = _by_cells(rows, sets, k, marginals, jitter, scale)
     else:
         out = _by_tiles(rows, sets, max(1, width), k, marginals, jitter, scale, by_label, "dims array<int>, grp bigint, n bigint, " + ", ".join(f"{c} double" for c in names))

@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tests import dense
 
 from cohortica import kernels
-from cohortica.operators import forests, models, tiles
+from cohortica.functions import balls, neighbours
+from cohortica.operators import forests, information, models, nearest, tiles
 
 
 def _asked(n, kind):
@@ -64,3 +66,46 @@ def test_trees_are_those_of_numpy(spark, monkeypatch, family, params, vary):
     assert scores == pytest.approx(forests.grid_scores(family, grid, models.TREES[family], train, val, 42), abs=1e-9) and len(set(scores)) == 4
     assert [(t.feature, t.bin) for t in model.trees] == [(t.feature, t.bin) for t in want.trees] and len(want.trees) in (7, 30)
     assert model.scores(x) == pytest.approx(want.scores(x), abs=1e-9)
+
+
+@pytest.mark.parametrize("labels", [2, 40])
+def test_labellings_of_features_with_missing_values_and_ties(spark, labels):
+    g = np.random.default_rng(labels)
+    n, x = 70, g.normal(size=(3, 70))
+    x[1] = np.round(x[1], 1)
+    x[2, :30] = 0.5
+    y = np.arange(n) % labels  # of 40, ten stand alone
+    has = [g.random(n) < 0.8, np.ones(n, bool), np.ones(n, bool)]
+    rows = [(1000 - 7 * i, int(y[i]), f"f{f}", f, float(x[f, i])) for f in range(3) for i in range(n) if has[f][i]]
+    got = {(r["feature"], r["round"]): r["mi"] for r in information.permuted_information(spark.createDataFrame(rows, "row_id bigint, y int, feature string, feat_ord int, value double"), 70, 3).collect()}
+    assert len(got) == 210
+    by_id = np.arange(n)[::-1]
+    texts = [f"{1000 - 7 * i}|42|".encode() for i in by_id]
+    for f in range(3):
+        own = has[f][by_id]
+        for r in (0, 9, 63, 64, 69):
+            order = neighbours.md5_order(texts, str(r).encode())
+            want = dense.ross(x[f][by_id][own], y[by_id][order[own[order]]], 3)
+            assert got[f"f{f}", r] == pytest.approx(want, abs=1e-9)
+
+
+def test_tables_of_more_rows_need_neither_cells_nor_lines(spark, monkeypatch):
+    def tall(*_, **__):
+        raise AssertionError("set by set, or along the line")
+
+    monkeypatch.setattr(tiles, "_by_cells", tall)
+    monkeypatch.setattr(nearest, "line_radius", tall)
+    n = 140_000
+    v = spark.range(n).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("y"), F.array(F.randn(1), F.round(F.randn(2), 2)).alias("features")).cache()
+    rows = v.orderBy("row_id").select("features").collect()
+    x = np.array([r[0] for r in rows]).T
+    r = balls.radius([x[0], x[1]], 3)
+    counts = [a[1] - a[0] for a in (balls.Line(c).ends(c, r) for c in x)]
+    got = information.pair_information(v, [(0, 1)]).first()["mi"]
+    assert got == pytest.approx(float(neighbours.digamma(n) + neighbours.digamma(3) - sum(neighbours.digamma(c).mean() for c in counts)), abs=1e-8)
+    assert information.interaction_ccd(v, [(0, 1)], 3, "npeet_3").count() == information.interactions(v, [(0, 1)]).count() == 1
+    long = v.select("row_id", "y", F.lit("a").alias("feature"), F.lit(0).alias("feat_ord"), F.col("features")[1].alias("value"))
+    found = {p["round"]: p["mi"] for p in information.permuted_information(long, 2).collect()}
+    y, texts = np.arange(n) % 2, [f"{i}|42|".encode() for i in range(n)]
+    for i in (0, 1):
+        assert found[i] == pytest.approx(neighbours.mi_ross(x[1], y[neighbours.md5_order(texts, str(i).encode())], 3), abs=1e-9)
